@@ -1,0 +1 @@
+"""Empty on purpose: every input is a landed batch table, so there is no streaming operator."""
