@@ -14,6 +14,7 @@ from gamelog.operators.series import add_ewm_means, ewm_reach, rolling
 from gamelog.operators.ordering import with_sequences
 from gamelog.plans import boxscore, dataset, evaluation, matrix, model, plays, predict, shots
 from gamelog.plans.feature_set import KEYS, chain, keyed, series_order, transform_together
+from gamelog.session import prefer_skew_splits
 from gamelog.sources import catalog, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,7 @@ def query(build: Query) -> Query:
     """Register under the function's name, results rounded for comparison."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
+        prefer_skew_splits(spark)
         return rounded(build(spark, folder))
 
     _QUERIES[build.__name__] = run
@@ -386,7 +388,8 @@ def scaled_features(spark, folder):
 
 
 def _folded(spark, folder):
-    return evaluation.with_time_folds(dataset.with_next_game(_box_matrix(spark, folder)))
+    rows = dataset.with_next_game(_box_matrix(spark, folder))
+    return evaluation.with_time_folds(rows.select(*GAME, "Round", "pir_ma3", "next_PIR"))
 
 
 def _trend_forecasts(spark, folder):
