@@ -8,6 +8,7 @@ rows its frames can reach.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -19,15 +20,19 @@ from gamelog.session import require_checkpoint_dir
 CHUNK = "_chunk"
 
 
-def range_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def range_chunks(df: DataFrame, order: Sequence[str], rows: int = 0) -> DataFrame:
     """Add ``_chunk``: increasing along ``order``, one value per range partition.
 
+    There are as many chunks as shuffle partitions, and more if ``rows``, where known,
+    would make chunks larger than one task should sort.
+
     Range bounds come from a sample, so a second planning of the same query may cut
     elsewhere. The result is checkpointed: every later reader, and every retried
     task, sees the same cut.
     """
     require_checkpoint_dir(df.sparkSession)
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(configured, math.ceil(rows / HOT_ROWS))
     cut = df.repartitionByRange(partitions, *[F.col(c) for c in order])
     return cut.withColumn(CHUNK, F.spark_partition_id()).checkpoint()
 
@@ -62,22 +67,38 @@ def with_sequences(
     add: Callable[[DataFrame, list[str]], DataFrame],
     before: int = 0,
     after: int = 0,
+    carry: Sequence[str] = (),
     limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Apply ``add(df, partition_columns)``, which adds window columns over ``order``.
 
     ``add`` may look at most ``before`` rows back and ``after`` rows ahead of each
-    row. Keys with more than ``limit`` rows are processed in chunks; the result is
-    the same as one window per key.
+    row. Only the columns in ``carry`` reach further: where NULL, they take their last
+    known value. Keys with more than ``limit`` rows are processed in chunks; the result
+    is the same as one window per key.
     """
-    ordinary, hot = split_hot(df, keys, limit)
+    ordinary, hot, rows = split_hot(df, keys, limit)
     result = add(ordinary, list(keys))
     if hot is None:
         return result
-    chunks = range_chunks(hot, [*keys, *order])
-    padded = _with_neighbours(chunks, list(keys), list(order), before, after)
-    done = add(padded, [*keys, CHUNK]).where(~F.col("_borrowed")).drop(CHUNK, "_borrowed")
-    return result.unionByName(done)
+    keys, order = list(keys), list(order)
+    chunks = range_chunks(hot, [*keys, *order], rows)
+    padded = _with_neighbours(chunks, keys, order, before, after)
+    done = add(padded, [*keys, CHUNK]).where(~F.col("_borrowed")).drop("_borrowed")
+    if carry:
+        done = _carried(done, keys, order, carry)
+    return result.unionByName(done.drop(CHUNK))
+
+
+def _join_chunks(
+    rows: DataFrame, listed: DataFrame, keys: list[str], chunk: str, how: str
+) -> DataFrame:
+    """Join rows with a list of chunks on the (null-safe) keys and ``_chunk`` = ``chunk``."""
+    listed = listed.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    match = F.col(CHUNK) == F.col(chunk)
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(listed, match, how).drop(*[f"_of_{k}" for k in keys])
 
 
 def _with_neighbours(
@@ -85,39 +106,67 @@ def _with_neighbours(
 ) -> DataFrame:
     """Every chunk plus copies, marked ``_borrowed``, of the rows just outside it.
 
-    Only chunk edges are looked at: at most 2 x max(before, after) rows per chunk. The
-    rows preceding a chunk's first row among the edges are exactly those preceding it
-    in the full sequence, also when whole chunks are shorter than the reach.
+    Which chunks are near enough to borrow from is worked out on the list of chunk
+    sizes: mostly the adjacent one, further ones if those between are short. A row's
+    distance to a chunk is the rows between plus its distance to its own chunk's edge.
     """
-    reach = max(before, after, 1)
+    own = chunks.withColumn("_borrowed", F.lit(False))
+    reach = max(before, after)
+    if not reach:
+        return own
     columns = [c for c in chunks.columns if c != CHUNK]
+    sequence = Window.partitionBy(*keys).orderBy(CHUNK)
+    earlier = F.collect_list(F.struct(F.col(CHUNK).alias("left"), F.col("_end").alias("end")))
+    links = (
+        chunks.groupBy(*keys, CHUNK)
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .withColumn("_end", F.sum("_size").over(sequence))
+        .withColumn("_start", F.col("_end") - F.col("_size"))
+        # Chunks have at least one row, so nothing further back is in reach.
+        .withColumn("_earlier", earlier.over(sequence.rowsBetween(-reach, -1)))
+        .select(*keys, F.col(CHUNK).alias("_right"), "_start", F.explode("_earlier").alias("_at"))
+        .withColumns({"_left": F.col("_at.left"), "_gap": F.col("_start") - F.col("_at.end")})
+        .where(F.col("_gap") < reach)
+        .select(*keys, "_left", "_right", "_gap")
+    )
     inside = Window.partitionBy(*keys, CHUNK)
     edges = (
         chunks.withColumn("_from_start", F.row_number().over(inside.orderBy(*order)))
-        .withColumn("_size", F.count(F.lit(1)).over(inside))
-        .where(
-            (F.col("_from_start") <= reach) | (F.col("_from_start") > F.col("_size") - reach)
-        )
+        .withColumn("_to_end", F.count(F.lit(1)).over(inside) - F.col("_from_start") + 1)
+        .where((F.col("_from_start") <= reach) | (F.col("_to_end") <= reach))
     )
-    sequence = Window.partitionBy(*keys).orderBy(CHUNK, "_from_start")
-    row = F.struct(*columns)
-    nothing = F.array().cast(edges.select(F.array(row)).schema[0].dataType)
-    parts = []
-    if before:
-        preceding = F.collect_list(row).over(sequence.rowsBetween(-before, -1))
-        parts.append(F.when(F.col("_from_start") == 1, preceding).otherwise(nothing))
-    if after:
-        following = F.collect_list(row).over(sequence.rowsBetween(1, after))
-        parts.append(
-            F.when(F.col("_from_start") == F.col("_size"), following).otherwise(nothing)
-        )
-    own = chunks.withColumn("_borrowed", F.lit(False))
-    if not parts:
-        return own
-    borrowed = (
-        edges.select(CHUNK, F.concat(*parts).alias("_rows"))
-        .select(CHUNK, F.explode("_rows").alias("_row"))
-        .select(CHUNK, "_row.*")
-        .withColumn("_borrowed", F.lit(True))
+    borrowed = []
+    for use, distance, source, target in (
+        (before, "_to_end", "_left", "_right"),
+        (after, "_from_start", "_right", "_left"),
+    ):
+        if use:
+            near = edges.where(F.col(distance) <= use)
+            pairs = _join_chunks(near, links, keys, source, "inner")
+            borrowed.append(
+                pairs.where(F.col("_gap") + F.col(distance) <= use).select(
+                    *columns, F.col(target).alias(CHUNK), F.lit(True).alias("_borrowed")
+                )
+            )
+    for rows in borrowed:
+        own = own.unionByName(rows)
+    return own
+
+
+def _carried(
+    done: DataFrame, keys: list[str], order: list[str], names: Sequence[str]
+) -> DataFrame:
+    """Fill leading NULLs of each chunk with the last known value of the chunks before."""
+    position = F.struct(*order)
+    ends = done.groupBy(*keys, CHUNK).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(c) for c in names]
+    )
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    known = ends.select(
+        *keys,
+        F.col(CHUNK).alias("_at"),
+        *[F.last(c, True).over(earlier).alias(f"_{c}") for c in names],
     )
-    return own.unionByName(borrowed)
+    joined = _join_chunks(done, known, keys, "_at", "left")
+    filled = {c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in names}
+    return joined.withColumns(filled).select(*done.columns)

@@ -81,7 +81,7 @@ def nearest_quantiles(
     A group without a known value gets NULL.
     """
     extra = extra or {}
-    ordinary, hot = split_hot(df, keys, limit)
+    ordinary, hot, _ = split_hot(df, keys, limit)
     others = [column.alias(name) for name, column in extra.items()]
     result = (
         add_ranks(ordinary, keys, value)

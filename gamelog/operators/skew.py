@@ -20,8 +20,10 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame | None:
-    """The keys with more than ``limit`` rows, or None.
+def hot_keys(
+    df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS
+) -> tuple[DataFrame, int] | None:
+    """The keys with more than ``limit`` rows and how many rows they hold, or None.
 
     Runs a row count, and only if that exceeds the limit a second job that reads the
     key columns and counts them, map-side first. The answer has at most rows / limit
@@ -29,20 +31,26 @@ def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataF
     """
     if df.count() <= limit:
         return None
-    counted = df.groupBy(*keys).count().where(F.col("count") > limit).drop("count")
+    counted = df.groupBy(*keys).count().where(F.col("count") > limit)
     rows = counted.collect()
     if not rows:
         return None
-    found = df.sparkSession.createDataFrame(rows, counted.schema)
-    return F.broadcast(found) if len(rows) <= BROADCAST_KEYS else found
+    found = df.sparkSession.createDataFrame(rows, counted.schema).drop("count")
+    if len(rows) <= BROADCAST_KEYS:
+        found = F.broadcast(found)
+    return found, sum(row["count"] for row in rows)
 
 
 def split_hot(
     df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None). Together they are all of ``df``."""
+) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows of ordinary keys, rows of hot keys or None, number of the latter).
+
+    Together they are all of ``df``.
+    """
     hot = hot_keys(df, keys, limit)
     if hot is None:
-        return df, None
-    match = same_keys(df, hot, keys)
-    return df.join(hot, match, "left_anti"), df.join(hot, match, "left_semi")
+        return df, None, 0
+    found, rows = hot
+    match = same_keys(df, found, keys)
+    return df.join(found, match, "left_anti"), df.join(found, match, "left_semi"), rows

@@ -83,7 +83,10 @@ def add_form(
         return add_ewm_means(rows.withColumns(columns), parts, order, weighted, alpha)
 
     reach = max(max(sizes) - 1, ewm_reach(alpha))
-    formed = with_sequences(df, SERIES_KEYS, order, add, before=reach, limit=limit)
+    weighted = ("pir_ewm", "points_ewm")
+    formed = with_sequences(
+        df, SERIES_KEYS, order, add, before=reach, carry=weighted, limit=limit
+    )
     return formed.withColumn("recent_form", F.col("pir_ma3") - F.col("pir_ma10"))
 
 

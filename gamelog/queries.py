@@ -166,9 +166,9 @@ def ewm_form(spark, folder):
         weighted = {"pir_ewm": "PIR", "points_ewm": "Points"}
         return add_ewm_means(rows, parts, order, weighted, alpha)
 
-    reach = ewm_reach(alpha)
-    weighted = with_sequences(box, boxscore.SERIES_KEYS, order, add, before=reach)
-    return weighted.select(*GAME, "pir_ewm", "points_ewm")
+    names, reach = ["pir_ewm", "points_ewm"], ewm_reach(alpha)
+    weighted = with_sequences(box, boxscore.SERIES_KEYS, order, add, before=reach, carry=names)
+    return weighted.select(*GAME, *names)
 
 
 @query

@@ -84,6 +84,8 @@ def test_latest_rows_need_no_player_list(spark, landed):
     box = catalog.read_table(spark, landed, "player_stats")
     plan = plan_of(predict.latest_active_rows(box, 2024))
     assert "Join" not in plan and "Window" not in plan and "Subquery" in plan
+    # The round is filtered below the grouping, at the scan.
+    assert plan.index("Aggregate") < plan.index("Filter (") < plan.index("FileScan")
 
 
 def test_adapter_reads_only_needed_columns(spark):

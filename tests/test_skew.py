@@ -32,10 +32,11 @@ def skewed(spark):
 def test_hot_keys_are_those_above_the_limit(skewed):
     assert hot_keys(skewed, ["k"], 2000) is None
     assert hot_keys(skewed, ["k"], 500) is None
-    assert [r.k for r in hot_keys(skewed, ["k"], 400).collect()] == ["hot"]
-    ordinary, hot = split_hot(skewed, ["k"], 400)
+    found, rows = hot_keys(skewed, ["k"], 400)
+    assert [r.k for r in found.collect()] == ["hot"] and rows == 500
+    ordinary, hot, _ = split_hot(skewed, ["k"], 400)
     assert hot.count() == 500 and ordinary.count() == 1000
-    ordinary, hot = split_hot(skewed, ["k"], 10)
+    ordinary, hot, _ = split_hot(skewed, ["k"], 10)
     assert ordinary.count() == 0 and hot.count() == 1500
 
 
@@ -63,19 +64,47 @@ def test_sequences_match_plain_windows(skewed, limit, before, after):
             }
         )
 
-    split = with_sequences(skewed, ["k"], ["at", "id"], add, before, after, limit)
+    split = with_sequences(skewed, ["k"], ["at", "id"], add, before, after, limit=limit)
     assert_same(split, add(skewed, ["k"]))
 
 
+def test_short_chunks_borrow_across_several(spark):
+    """Eight chunks of a few rows each, frames longer than a chunk."""
+    df = spark.createDataFrame([("k", i, float(i * i)) for i in range(40)], "k string, i int, x double")
+
+    def add(rows, parts):
+        w = Window.partitionBy(*parts).orderBy("i")
+        return rows.withColumn("s", F.sum("x").over(w.rowsBetween(-17, 12)))
+
+    split = with_sequences(df, ["k"], ["i"], add, 17, 12, limit=5)
+    assert_same(split, add(df, ["k"]))
+
+
 @pytest.mark.parametrize("limit", [10, 400])
 def test_ewm_over_chunks(skewed, limit):
     def add(df, parts):
         return add_ewm_means(df, parts, ["at", "id"], {"m": "x"}, 0.3)
 
-    split = with_sequences(skewed, ["k"], ["at", "id"], add, ewm_reach(0.3), 0, limit)
+    split = with_sequences(
+        skewed, ["k"], ["at", "id"], add, ewm_reach(0.3), carry=["m"], limit=limit
+    )
     assert_same(split, add(skewed, ["k"]))
 
 
+def test_ewm_carries_over_chunks_without_values(spark):
+    """A gap of several chunks, far longer than the reach, and unknown first rows."""
+    series = [None] * 50 + [float(i % 9) for i in range(100)] + [None] * 2500 + [3.0, 5.0]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(series)], "k string, i int, v double")
+
+    def add(rows, parts):
+        return add_ewm_means(rows, parts, ["i"], {"m": "v"}, 0.3)
+
+    reach = ewm_reach(0.3)
+    split = with_sequences(df, ["k"], ["i"], add, reach, carry=["m"], limit=100)
+    assert_same(split, add(df, ["k"]))
+    assert split.where("m is null").count() == 50
+
+
 def test_lead_over_chunks(skewed):
     for limit in (10, 400):
         assert_same(
