@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.functions.aggregates import distinct_with_null, share, success_rate
+from gamelog.functions.aggregates import share, success_rate
 from gamelog.functions.scalars import (
     angle_from_origin,
     distance_from_origin,
@@ -40,6 +40,7 @@ class ShotRules:
 TWO, THREE, MISSED = "Two Pointer", "Three Pointer", "Missed"
 
 QUARTILES = {"shot_distance_75th": 0.75, "shot_distance_25th": 0.25}
+DISTINCT = {"unique_scoring_zones": "ZONE"}
 
 
 def is_two() -> Column:
@@ -97,7 +98,7 @@ def distance_bands(rules: ShotRules = ShotRules()) -> dict[str, Column]:
 
 
 def shot_measures(rules: ShotRules = ShotRules()) -> dict[str, Column]:
-    """Everything but the quartiles; expects :func:`add_distance`."""
+    """Everything but the quartiles and the zones; expects :func:`add_distance`."""
     made, two, three = is_made(), is_two(), is_three()
     weighted_makes = F.count_if(made & two) + F.lit(1.5) * F.count_if(made & three)
     measures = {
@@ -105,7 +106,6 @@ def shot_measures(rules: ShotRules = ShotRules()) -> dict[str, Column]:
         "avg_shot_distance": F.avg("shot_distance"),
         "shot_distance_variation": F.stddev_samp("shot_distance"),
         "court_coverage_area": F.stddev_samp("COORD_X") * F.stddev_samp("COORD_Y"),
-        "unique_scoring_zones": distinct_with_null(F.col("ZONE")),
         "fastbreak_rate": F.avg("FASTBREAK"),
         "second_chance_rate": F.avg("SECOND_CHANCE"),
         "three_point_attempt_rate": share(three),
@@ -123,7 +123,7 @@ def shot_measures(rules: ShotRules = ShotRules()) -> dict[str, Column]:
 
 
 def group_shots(df: DataFrame, measures: dict[str, Column], limit: int = HOT_ROWS) -> DataFrame:
-    return nearest_quantiles(df, KEYS, "shot_distance", QUARTILES, measures, limit)
+    return nearest_quantiles(df, KEYS, "shot_distance", QUARTILES, measures, DISTINCT, limit)
 
 
 FEATURES = (

@@ -47,7 +47,9 @@ def test_shots_are_one_exchange(spark, landed):
     raw = read(spark, landed, "shot_data", "ID_PLAYER")
     plan = plan_of(shots.make_set().transform(raw))
     assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
-    assert plan.count("Sort [") == 1 and "ID_ACTION" not in plan.split("FileScan")[1]
+    # One sort for the ranks, one for the zones; the aggregate is not grouped by zone.
+    assert plan.count("Sort [") == 2 and plan.count("HashAggregate(") == 2
+    assert "ID_ACTION" not in plan.split("FileScan")[1]
 
 
 def test_box_score_is_one_exchange_and_two_sorts(spark, landed):

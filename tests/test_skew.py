@@ -7,6 +7,7 @@ from helpers import assert_same, box_table, rows_of
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gamelog.functions.aggregates import distinct_with_null
 from gamelog.operators.latest import latest_per_key
 from gamelog.operators.ordering import global_row_index, with_sequences
 from gamelog.operators.quantile import nearest_quantiles
@@ -118,11 +119,14 @@ def test_quantiles_of_hot_groups(skewed, limit):
     unknown = skewed.limit(3).select(F.lit("none").alias("k"), "at", "id", F.lit(None).cast("double").alias("x"))
     df = skewed.unionByName(unknown)
     wanted = {"lo": 0.25, "mid": 0.5, "hi": 0.75}
-    extra = {"n": F.count(F.lit(1)), "kinds": F.count_distinct("x")}
-    assert_same(
-        nearest_quantiles(df, ["k"], "x", wanted, extra, limit),
-        nearest_quantiles(df, ["k"], "x", wanted, extra),
+    df = df.withColumn("z", F.when(F.col("id") % 4 != 0, F.col("id") % 7))
+    extra, distinct = {"n": F.count(F.lit(1))}, {"kinds": "z", "values": "x"}
+    plain = nearest_quantiles(df, ["k"], "x", wanted, extra, distinct)
+    assert_same(nearest_quantiles(df, ["k"], "x", wanted, extra, distinct, limit), plain)
+    counted = df.groupBy("k").agg(
+        distinct_with_null(F.col("z")).alias("kinds"), distinct_with_null(F.col("x")).alias("values")
     )
+    assert_same(plain.select("k", "kinds", "values"), counted)
     assert_same(
         nearest_quantiles(df, ["k"], "x", wanted, limit=2),
         nearest_quantiles(df, ["k"], "x", wanted),
