@@ -38,7 +38,6 @@ HEADLINE = (
     "forecast_metrics",
     "prediction_table",
     "gbt_cv_metrics",
-    "permutation_importance",
 )
 
 
