@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gamelog.llm import byte_bpe
-from gamelog.llm.tables import read
+from gamelog.llm import byte_bpe, license_scan, piecewise_hash
+from gamelog.llm.tables import id_of, keyed_texts, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -31,6 +31,15 @@ def sha256(column):
     return F.sha2(column, 256)
 
 
+@query
+def op7_license_scan(spark, folder):
+    found = license_scan.license_scan(keyed_texts(read(spark, folder, "documents")))
+    return found.select(
+        id_of(F.col("doc")).alias("doc_id"),
+        *("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"),
+    )
+
+
 @query
 def op8_byte_bpe(spark, folder):
     tokens = byte_bpe.load_ranks(RANKS)
@@ -43,3 +52,14 @@ def op8_byte_bpe(spark, folder):
         sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         sha256("decoded").alias("decoded_sha256"),
     )
+
+
+@query
+def op10_piecewise_hash(spark, folder):
+    found = piecewise_hash.edited_neighbours(read(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        sha256("edited_text").alias("edited_sha256"),
+        *("fingerprint", "edited_fingerprint", "near_edited", "near_next"),
+    )
