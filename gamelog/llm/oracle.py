@@ -1,5 +1,50 @@
 """SQL twins of the registered queries that SQL can express."""
 
+#: Poisson replication at the default parameters: power 0.5, one epoch, seed "mix".
+MIXING = """
+WITH sizes AS (
+    SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS size FROM documents GROUP BY source
+), weighed AS (
+    SELECT source, size, CASE WHEN size > 0 THEN sqrt(size) ELSE 0 END AS weight FROM sizes
+), rates AS (
+    SELECT source, weight / sum(weight) OVER () * sum(size) OVER () / size AS rate
+    FROM weighed WHERE size > 0
+), terms AS (
+    SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+    FROM rates, generate_series(0, 400) AS g(k)
+), numbered AS (
+    SELECT *, row_number() OVER () AS row_no,
+        ('0x' || substr(md5('mix/count/0:' || coalesce(doc_id::VARCHAR, 'null') || ':' || coalesce(source, 'null')), 1, 13))::BIGINT
+            / pow(2, 52) AS u
+    FROM documents
+), counted AS (
+    SELECT d.row_no, count(*) AS n
+    FROM numbered d JOIN terms t ON d.source IS NOT DISTINCT FROM t.source AND d.u >= t.cdf
+    GROUP BY d.row_no
+)
+SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy::INTEGER AS copy,
+    md5('mix/place:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || c.copy) AS place
+FROM numbered d JOIN counted n USING (row_no), generate_series(1, 1000) AS c(copy)
+WHERE c.copy <= n.n
+ORDER BY place, copy
+"""
+
+#: Integer inner products of the queries with all other rows; the best five of each.
+TOP_K = """
+WITH whole AS (
+    SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+    FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mixing": MIXING, "op6_va_file": TOP_K}

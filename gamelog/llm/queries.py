@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gamelog.llm import byte_bpe, license_scan, piecewise_hash
+from gamelog.llm import byte_bpe, license_scan, piecewise_hash, site_style_tree, source_mixing, toxicity, va_file
 from gamelog.llm.tables import id_of, keyed_texts, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,9 @@ _QUERIES: dict[str, Query] = {}
 #: The rank file of the registered encoding query.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+#: Scores from here on count as toxic.
+TOXIC = 0.3
+
 
 def query(build: Query) -> Query:
     _QUERIES[build.__name__] = build
@@ -31,6 +34,35 @@ def sha256(column):
     return F.sha2(column, 256)
 
 
+@query
+def op1_site_style_tree(spark, folder):
+    found = site_style_tree.extract_main_text(read(spark, folder, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op3_source_mixing(spark, folder):
+    return source_mixing.mix_sources(read(spark, folder, "documents"))
+
+
+@query
+def op4_toxicity(spark, folder):
+    docs = read(spark, folder, "documents")
+    model = toxicity.learn(docs, read(spark, folder, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= TOXIC).cast("int").alias("predicted"),
+    )
+
+
+@query
+def op6_va_file(spark, folder):
+    return va_file.exact_top_k(read(spark, folder, "embeddings"), k=5, every=50)
+
+
 @query
 def op7_license_scan(spark, folder):
     found = license_scan.license_scan(keyed_texts(read(spark, folder, "documents")))
