@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gamelog.llm import byte_bpe, license_scan, piecewise_hash, site_style_tree, source_mixing, toxicity, va_file
+from gamelog.llm import (
+    block_anchors, byte_bpe, license_scan, piecewise_hash, site_style_tree, source_mixing, suffix_doubling, toxicity, va_file,
+)
 from gamelog.llm.tables import id_of, keyed_texts, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +60,14 @@ def op4_toxicity(spark, folder):
     )
 
 
+@query
+def op5_suffix_doubling(spark, folder):
+    found = suffix_doubling.dedup_bytes(keyed_texts(read(spark, folder, "documents")))
+    return found.select(
+        id_of(F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", sha256("kept").alias("kept_sha256")
+    )
+
+
 @query
 def op6_va_file(spark, folder):
     return va_file.exact_top_k(read(spark, folder, "embeddings"), k=5, every=50)
@@ -86,6 +96,12 @@ def op8_byte_bpe(spark, folder):
     )
 
 
+@query
+def op9_block_anchors(spark, folder):
+    found = block_anchors.dedup_windows(keyed_texts(read(spark, folder, "documents")))
+    return found.select(id_of(F.col("doc")).alias("doc_id"), "n_words", "n_removed", sha256("kept").alias("kept_sha256"))
+
+
 @query
 def op10_piecewise_hash(spark, folder):
     found = piecewise_hash.edited_neighbours(read(spark, folder, "documents"))
