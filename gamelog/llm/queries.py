@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gamelog.llm import (
-    block_anchors, byte_bpe, license_scan, piecewise_hash, site_style_tree, source_mixing, suffix_doubling, toxicity, va_file,
+    block_anchors, byte_bpe, jaccard_join, license_scan, piecewise_hash, site_style_tree, source_mixing, suffix_doubling, toxicity, va_file,
 )
 from gamelog.llm.tables import id_of, keyed_texts, read
 
@@ -42,6 +42,15 @@ def op1_site_style_tree(spark, folder):
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op2_jaccard_join(spark, folder):
+    docs = keyed_texts(read(spark, folder, "documents"))
+    found = jaccard_join.jaccard_components(docs, size=4, percent=85)
+    return found.select(
+        id_of(F.col("doc")).alias("doc_id"), "n_shingles", id_of(F.col("component_doc")).alias("component_id")
+    )
+
+
 @query
 def op3_source_mixing(spark, folder):
     return source_mixing.mix_sources(read(spark, folder, "documents"))
