@@ -22,6 +22,8 @@ from gamelog.llm.textbytes import U64
 
 #: Entries gathered before they are dealt out; bounds a task's memory.
 GATHERED = 2_000_000
+#: Bytes of the two hashes that name a whole window, beside the bits of the bucket number.
+STRING_BYTES = (5, 4)
 PACKED = "bucket int, meta binary, keys binary"
 MARKS = "doc long, tag long, kind int, marks binary"
 
@@ -69,8 +71,14 @@ def changes(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _planes(at: np.ndarray) -> bytes:
+    """The steps from each number to the next, all lowest bytes first: small steps pack well."""
+    steps = np.diff(at, prepend=0).astype("<i8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
 def _meta(entries: Entries) -> bytes:
-    """Documents once, with the number of their entries, then all positions."""
+    """Documents once, with the number of their entries, then the steps between positions."""
     new = changes(entries.doc, entries.tag)
     first = np.flatnonzero(new)
     count = np.diff(np.append(first, len(entries)))
@@ -80,8 +88,7 @@ def _meta(entries: Entries) -> bytes:
             entries.doc[first].astype("<i8").tobytes(),
             entries.tag[first].astype("<u4").tobytes(),
             count.astype("<u4").tobytes(),
-            entries.at.astype("<i8").view("<u4").reshape(-1, 2)[:, 0].tobytes(),
-            entries.at.astype("<i8").view("<u4").reshape(-1, 2)[:, 1].tobytes(),
+            _planes(entries.at),
         ]
     )
     return zstandard.compress(raw, 1)
@@ -94,15 +101,14 @@ def _unpack(meta: bytes, keys: bytes | None, widths: tuple[int, ...]) -> Entries
     doc = np.frombuffer(raw, "<i8", documents, at)
     tag = np.frombuffer(raw, "<u4", documents, at := at + 8 * documents)
     count = np.frombuffer(raw, "<u4", documents, at := at + 4 * documents)
-    low = np.frombuffer(raw, "<u4", size, at := at + 4 * documents)
-    high = np.frombuffer(raw, "<u4", size, at + 4 * size)
+    steps = np.frombuffer(raw, np.uint8, 8 * size, at + 4 * documents).reshape(8, size)
     columns, start = [], 0
     for width in widths if keys is not None else ():
         part = np.zeros((size, 8), np.uint8)
         part[:, :width] = np.frombuffer(keys, np.uint8, size * width, start).reshape(size, width)
         columns.append(part.view("<u8").ravel())
         start += size * width
-    place = low.astype(np.int64) | (high.astype(np.int64) << 32)
+    place = np.cumsum(np.ascontiguousarray(steps.T).view("<i8").ravel(), dtype=np.int64)
     return Entries(np.repeat(doc, count), np.repeat(tag, count), place, tuple(columns))
 
 
@@ -213,14 +219,13 @@ def later_windows(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for entries in gathered(batches, window_entries):
             first, later = first_places(entries)
-            yield from deal(together(first), buckets, (8,) * len(first.keys))
+            yield from deal(together(first), buckets, STRING_BYTES)
             yield from forwarded(together(later), buckets)
 
     def judge(entries: Entries) -> list[tuple[int, Entries]]:
         return [(kind, first_places(entries)[1])]
 
-    # two hash columns, 16 bytes, name a window
-    return exchange(docs_with_marks, scan, judge, (8, 8), kind)
+    return exchange(docs_with_marks, scan, judge, STRING_BYTES, kind)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], entries_of: Callable[[pa.RecordBatch], Iterator[Entries]]) -> Iterator[Entries]:
