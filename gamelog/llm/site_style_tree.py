@@ -197,17 +197,27 @@ def page_nodes(root: Node) -> list[tuple[int, int, list[int]]]:
     ]
 
 
-def composite_importance(root: Node, importance: dict[int, tuple[float, float]]) -> dict[int, float]:
-    """By id of the node object: its composite importance, from the leaves up."""
-    out: dict[int, float] = {}
+def composite_importance(root: Node, importance: dict[int, tuple[float, float]]) -> dict[int, tuple[float, float]]:
+    """By id of the node object: its composite importance, and the greatest in its branch.
+
+    A node of text alone has the importance of its content; another one mixes the mean of
+    its branches (its own text is one) with its presentation, the more branches the less.
+    A branch is low only if nothing in it is important.
+    """
+    out: dict[int, tuple[float, float]] = {}
     for node in reversed(list(_walk(root))):
         presentation, content = importance.get(node.path, (1.0, 1.0))
         below = [out[id(c)] for c in node.children if isinstance(c, Node)]
         if any(isinstance(c, str) for c in node.children):
-            below.append(content)
+            below.append((content, content))
+        if node.furniture or not node.children:
+            out[id(node)] = (0.0, 0.0)
+            continue
         weight = DAMPING ** len(below)
-        mean = sum(below) / len(below) if below else 0.0
-        out[id(node)] = 0.0 if node.furniture else (1 - weight) * mean + weight * presentation
+        own = below[0][0] if isinstance(node.children[0], str) and len(below) == 1 else (
+            (1 - weight) * sum(v for v, _ in below) / len(below) + weight * presentation
+        )
+        out[id(node)] = (own, max(own, *(best for _, best in below)))
     return out
 
 
@@ -218,12 +228,17 @@ def main_text(root: Node, importance: dict[int, tuple[float, float]], least: flo
     its entropy. Elsewhere furniture and branches below ``least`` go; if that leaves
     nothing, only furniture goes.
     """
-    marked = any(n.main and not n.furniture for n in _walk_plain(root))
+    marked = any(n.main for n in _walk_plain(root))
     if marked:
-        return "\n".join(_blocks(root, lambda n: True, False))
+        return "\n".join(_blocks(root, lambda *_: True, False))
     value = composite_importance(root, importance)
-    found = list(_blocks(root, lambda n: value[id(n)] >= least, True))
-    return "\n".join(found or _blocks(root, lambda n: True, True))
+
+    def stays(item: Node | str, node: Node) -> bool:
+        if isinstance(item, str):
+            return importance.get(node.path, (1.0, 1.0))[1] >= least
+        return value[id(item)][1] >= least
+
+    return "\n".join(list(_blocks(root, stays, True)) or _blocks(root, lambda *_: True, True))
 
 
 def _walk_plain(root: Node) -> Iterator[Node]:
@@ -243,10 +258,10 @@ def _blocks(root: Node, stays, inside: bool) -> Iterator[str]:
             if on:
                 yield node
             continue
-        if node.furniture or not stays(node):
-            continue
         on = on or node.main
-        todo += [(c, on) for c in reversed(node.children)]
+        todo += [
+            (c, on) for c in reversed(node.children) if not (isinstance(c, Node) and c.furniture) and stays(c, node)
+        ]
 
 
 def _keyed_pages(pages: DataFrame) -> DataFrame:
@@ -306,8 +321,8 @@ def node_importance(page_trees: DataFrame) -> DataFrame:
     return sums.select(
         "site",
         "node",
-        F.when(several, presentation).otherwise(1.0).alias("presentation"),
-        F.coalesce(F.when(several, content), F.lit(1.0)).alias("content"),
+        F.when(several, presentation).otherwise(1.0).cast("float").alias("presentation"),
+        F.coalesce(F.when(several, content), F.lit(1.0)).cast("float").alias("content"),
     )
 
 
@@ -324,10 +339,9 @@ def extract_main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> Data
     importance = node_importance(trees)
     of_page = (
         trees.select("doc", "tag", "site", F.explode("nodes.node").alias("node"))
-        .distinct()
         .join(importance, ["site", "node"])
         .groupBy("doc", "tag", "site")
-        .agg(F.collect_list(F.struct("node", "presentation", "content")).alias("known"))
+        .agg(F.collect_set(F.struct("node", "presentation", "content")).alias("known"))
     )
     joined = keyed.join(of_page, ["doc", "tag", "site"], "left").select("doc", "url", "html", "known")
 
