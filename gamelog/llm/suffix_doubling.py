@@ -122,14 +122,15 @@ def _open_strings(length: int):
     return entries
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 100, whole_characters: bool = False) -> DataFrame:
     """(doc, tag, n_bytes, n_removed, n_spans, gone, kept): each row of ``docs``
     (``tables.keyed_texts``) without the bytes of strings that also start earlier.
 
     Texts are UTF-8 bytes, NULL is empty; a string is ``length`` bytes of one document;
     earlier is a smaller (doc, tag), or the same document and an earlier byte, overlaps
     included; strings are judged on the input. ``gone`` lists the maximal removed runs as
-    (start, end), ``kept`` has the other bytes. Texts shorter than ``length`` lose nothing.
+    (start, end), ``kept`` has the other bytes; with ``whole_characters`` a character goes
+    only if all of its bytes do, so ``kept`` is UTF-8. Texts shorter than ``length`` lose nothing.
     Rows equal in id and text are one document and give equal results; rows that share an
     id only are ordered by their checksum; a NULL id comes first.
     """
@@ -153,6 +154,9 @@ def dedup_bytes(docs: DataFrame, length: int = 100) -> DataFrame:
                         np.add.at(depth, start, 1)
                         np.add.at(depth, start + (marks & ((1 << LENGTH_BITS) - 1)) - 1 + length, -1)
                 stay = np.cumsum(depth)[:-1] == 0
+                if whole_characters and len(data):
+                    head = (data & 0xC0) != 0x80
+                    stay = np.maximum.reduceat(stay, np.flatnonzero(head))[np.cumsum(head) - 1]
                 kept = np.concatenate([[0], np.cumsum(stay)])[offsets]
                 row = np.repeat(np.arange(high - low), np.diff(offsets))
                 begin = np.flatnonzero(~stay & changes(row, stay))

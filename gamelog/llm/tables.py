@@ -21,18 +21,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def keyed(docs: DataFrame, *columns) -> DataFrame:
+    """(doc, tag, columns): the id with NULL first, and a checksum of the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return docs.select(doc.alias("doc"), F.crc32(text.cast("binary")).alias("tag"), *columns)
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(doc, tag, text): the id with NULL first, and a checksum of the text.
+    """(doc, tag, text), a NULL text being empty.
 
     Rows that share an id are told apart and ordered by the checksum; rows equal in both
     are one document. Only these columns are read, whatever else the table holds.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"),
-        F.crc32(text.cast("binary")).alias("tag"),
-        text.alias("text"),
-    )
+    return keyed(docs, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def id_of(doc):
