@@ -26,6 +26,8 @@ FIT_ROWS = 4096
 SMOOTHING = 1.0
 #: Ratios nearer to 0 than this many standard errors are taken as 0.
 LEAST_Z = 2.0
+#: So are all but this many ratios, those that are the most standard errors away from 0.
+KEPT = 1 << 15
 PENALTY = 1e-3
 STEPS = 150
 SHARES = 16  # parts of the count vectors, summed apart
@@ -114,7 +116,9 @@ def log_count_ratios(seen: np.ndarray, texts: np.ndarray) -> np.ndarray:
     zero, one = seen + SMOOTHING
     ratio = np.log(one / (texts[1] + 2 * SMOOTHING)) - np.log(zero / (texts[0] + 2 * SMOOTHING))
     error = np.sqrt(1 / one + 1 / zero)
-    return np.where(np.abs(ratio) >= LEAST_Z * error, ratio, 0.0)
+    z = np.abs(ratio) / error
+    least = max(LEAST_Z, np.partition(z, -KEPT)[-KEPT] if len(z) > KEPT else 0.0)
+    return np.where(z >= least, ratio, 0.0)
 
 
 def fit_regression(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:
@@ -190,7 +194,8 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     texts = texts.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     first = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
-    return fit(texts.join(known, "doc_id").select("text", "label"), texts.join(first, "doc_id").select("text", "label"))
+    # labels grow with the documents, so they are never broadcast
+    return fit(texts.join(known.hint("merge"), "doc_id").select("text", "label"), texts.join(first, "doc_id").select("text", "label"))
 
 
 def score_documents(docs: DataFrame, model: Model, bits: int = BUCKET_BITS, orders: tuple[int, ...] = ORDERS) -> DataFrame:
