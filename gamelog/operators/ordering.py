@@ -1,38 +1,35 @@
 """Ordered operators that never need a whole group, or the whole table, in one task.
 
 A plain window sends each partition-by group to one task. That is the plan used
-for ordinary groups. Groups that :mod:`gamelog.operators.skew` finds hot are cut
+for ordinary groups. Groups that the caller names as hot (:mod:`gamelog.operators.skew`) are cut
 into range chunks along the ordering, and each chunk borrows the few neighbouring
 rows its frames can reach.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.operators.skew import HOT_ROWS, split_hot
+from gamelog.operators.skew import split_hot
 from gamelog.session import require_checkpoint_dir
 
 CHUNK = "_chunk"
 
 
-def range_chunks(df: DataFrame, order: Sequence[str], rows: int = 0) -> DataFrame:
+def range_chunks(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``_chunk``: increasing along ``order``, one value per range partition.
 
-    There are as many chunks as shuffle partitions, and more if ``rows``, where known,
-    would make chunks larger than one task should sort.
+    There are as many chunks as the session has shuffle partitions.
 
     Range bounds come from a sample, so a second planning of the same query may cut
     elsewhere. The result is checkpointed: every later reader, and every retried
     task, sees the same cut.
     """
     require_checkpoint_dir(df.sparkSession)
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    partitions = max(configured, math.ceil(rows / HOT_ROWS))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = df.repartitionByRange(partitions, *[F.col(c) for c in order])
     return cut.withColumn(CHUNK, F.spark_partition_id()).checkpoint()
 
@@ -68,21 +65,22 @@ def with_sequences(
     before: int = 0,
     after: int = 0,
     carry: Sequence[str] = (),
-    limit: int = HOT_ROWS,
+    hot: Sequence[int] = (),
 ) -> DataFrame:
     """Apply ``add(df, partition_columns)``, which adds window columns over ``order``.
 
     ``add`` may look at most ``before`` rows back and ``after`` rows ahead of each
     row. Only the columns in ``carry`` reach further: where NULL, they take their last
-    known value. Keys with more than ``limit`` rows are processed in chunks; the result
-    is the same as one window per key.
+    known value. The keys in ``hot`` (see :func:`gamelog.operators.skew.hot_keys`) are
+    processed in chunks; the result is the same as one window per key. Without them no
+    job runs here.
     """
-    ordinary, hot, rows = split_hot(df, keys, limit)
+    ordinary, apart = split_hot(df, keys, hot)
     result = add(ordinary, list(keys))
-    if hot is None:
+    if apart is None:
         return result
     keys, order = list(keys), list(order)
-    chunks = range_chunks(hot, [*keys, *order], rows)
+    chunks = range_chunks(apart, [*keys, *order])
     padded = _with_neighbours(chunks, keys, order, before, after)
     done = add(padded, [*keys, CHUNK]).where(~F.col("_borrowed")).drop("_borrowed")
     if carry:

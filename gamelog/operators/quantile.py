@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gamelog.functions.aggregates import distinct_with_null
-from gamelog.operators.ordering import global_row_index
-from gamelog.operators.skew import HOT_ROWS, same_keys, split_hot
+from gamelog.operators.skew import same_keys, split_hot
+
+#: Bins of a hot group's range of values; the few bins that hold a quantile are ordered.
+BINS = 1000
 
 
 def nearest_rank(q: float, known: Column) -> Column:
@@ -40,32 +44,38 @@ def picked(value: str, q: float) -> Column:
 def quantiles_by_position(
     df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float]
 ) -> DataFrame:
-    """The same quantiles without putting a group into one task.
+    """The same quantiles without putting a group into one task. Meant for hot keys.
 
-    All values are numbered once in (keys, value) order; each group then covers a
-    known run of numbers, and a quantile is an equi-join on one number. Meant for the
-    hot keys, of which there are few.
+    Equal values are counted first, map-side. Counts per equally wide bin tell which bin of
+    a group holds a rank, and only the distinct values of that bin are ordered.
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    numbered = global_row_index(known, [*keys, value], "_at")
-    runs = numbered.groupBy(*keys).agg(F.count(value).alias("_known"), F.min("_at").alias("_first"))
-    wanted = runs.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("_name"),
-                        (F.col("_first") + nearest_rank(q, F.col("_known"))).alias("_at"),
-                    )
-                    for name, q in quantiles.items()
-                ]
-            )
-        ).alias("_want"),
-    ).select(*keys, "_want.*")
-    found = wanted.join(numbered.select("_at", value), "_at")
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    spans = counts.groupBy(*keys).agg(F.sum("_n").alias("_known"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+    named = spans.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    match = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
+    width = F.col("_high") - F.col("_low")
+    place = F.floor((F.col(value) - F.col("_low")) / F.nullif(width, F.lit(0.0)) * BINS)
+    binned = counts.join(F.broadcast(named), match).select(
+        *keys, value, "_n", "_known", F.coalesce(F.least(place, F.lit(BINS - 1)), F.lit(0)).alias("_bin")
+    )
+    ranks = F.array(*[F.struct(F.lit(n).alias("_name"), nearest_rank(q, F.col("_known")).alias("_at")) for n, q in quantiles.items()])
+    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = (
+        binned.groupBy(*keys, "_known", "_bin")
+        .agg(F.sum("_n").alias("_in_bin"))
+        .withColumn("_end", F.sum("_in_bin").over(before))
+        .select("*", F.explode(ranks).alias("_want"))
+        .select(*keys, "_bin", "_want._name", (F.col("_want._at") - F.col("_end") + F.col("_in_bin")).alias("_at"), "_in_bin")
+        .where((F.col("_at") >= 0) & (F.col("_at") < F.col("_in_bin")))
+        .withColumnsRenamed({k: f"_of_{k}" for k in keys} | {"_bin": "_of_bin"})
+    )
+    chosen = binned.join(F.broadcast(bins), match & (F.col("_bin") == F.col("_of_bin")))
+    within = Window.partitionBy(*keys, "_name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    picked_value = F.min(F.when(F.col("_upto") > F.col("_at"), F.col(value)))
+    found = chosen.withColumn("_upto", F.sum("_n").over(within)).groupBy(*keys, "_name").agg(picked_value.alias("_value"))
     return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in quantiles]
+        *[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name in quantiles]
     )
 
 
@@ -76,7 +86,7 @@ def nearest_quantiles(
     quantiles: dict[str, float],
     extra: dict[str, Column] | None = None,
     distinct: dict[str, str] | None = None,
-    limit: int = HOT_ROWS,
+    hot: Sequence[int] = (),
 ) -> DataFrame:
     """Per-key nearest-rank quantiles, ``{name: q}``, plus other aggregates of the group.
 
@@ -89,7 +99,7 @@ def nearest_quantiles(
     anyway, so the first row of each value is marked instead: one more sort, no exchange.
     """
     extra, distinct = extra or {}, distinct or {}
-    ordinary, hot, _ = split_hot(df, keys, limit)
+    ordinary, apart = split_hot(df, keys, hot)
     others = [column.alias(name) for name, column in extra.items()]
     firsts = {
         f"_first_{name}": F.row_number().over(Window.partitionBy(*keys, c).orderBy(value)) == 1
@@ -104,12 +114,12 @@ def nearest_quantiles(
             *[picked(value, q).alias(name) for name, q in quantiles.items()],
         )
     )
-    if hot is None:
+    if apart is None:
         return result
     others += [distinct_with_null(F.col(c)).alias(name) for name, c in distinct.items()]
     # Every hot group keeps a row, also one without a known value.
-    groups = hot.groupBy(*keys).agg(*(others or [F.count(F.lit(1)).alias("_rows")]))
-    ranked = quantiles_by_position(hot, keys, value, quantiles)
+    groups = apart.groupBy(*keys).agg(*(others or [F.count(F.lit(1)).alias("_rows")]))
+    ranked = quantiles_by_position(apart, keys, value, quantiles)
     joined = groups.join(ranked, same_keys(groups, ranked, keys), "left").select(
         *[groups[k] for k in keys], *[groups[name] for name in (*extra, *distinct)], *quantiles
     )

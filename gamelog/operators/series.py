@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from gamelog.functions.scalars import ratio
 from gamelog.operators.ordering import with_sequences
-from gamelog.operators.skew import HOT_ROWS
 
 _AGGREGATES = {"mean": F.avg, "std": F.stddev_samp, "sum": F.sum}
 
@@ -28,7 +27,14 @@ def rolling(
 
 
 def ewm_horizon(alpha: float) -> int:
-    """Rows after which a weight is below 1e-19, i.e. invisible in a double."""
+    """Rows after which a weight is below 1e-19, i.e. invisible in a double.
+
+    ``alpha`` lies between 0 and 1; at 1 only the row itself counts.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError(f"alpha must be above 0 and at most 1, not {alpha}")
+    if alpha == 1:
+        return 1
     return math.ceil(math.log(1e-19) / math.log(1.0 - alpha))
 
 
@@ -59,6 +65,10 @@ def add_ewm_means(
     if null_rows not in ("carry", "null"):
         raise ValueError(f"null_rows must be 'carry' or 'null', not {null_rows!r}")
     size = ewm_horizon(alpha)
+    if alpha == 1:  # a weight of 0 for every earlier row
+        so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        last = (lambda c: F.last(c, True).over(so_far)) if null_rows == "carry" else F.col
+        return df.withColumns({name: last(source).cast("double") for name, source in columns.items()})
     decay = F.lit(1.0 - alpha)
     series = Window.partitionBy(*keys).orderBy(*order)
     numbered = df.withColumn("_n", F.row_number().over(series) - 1).withColumns(
@@ -107,11 +117,11 @@ def lead_value(
     order: Sequence[str],
     value: str,
     name: str,
-    limit: int = HOT_ROWS,
+    hot: Sequence[int] = (),
 ) -> DataFrame:
     """The value of the next row of the same series, NULL on the last one."""
 
     def add(rows: DataFrame, parts: list[str]) -> DataFrame:
         return rows.withColumn(name, F.lead(value).over(Window.partitionBy(*parts).orderBy(*order)))
 
-    return with_sequences(df, keys, order, add, after=1, limit=limit)
+    return with_sequences(df, keys, order, add, after=1, hot=hot)

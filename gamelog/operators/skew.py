@@ -1,18 +1,22 @@
-"""Finding keys that hold too many rows for one task."""
+"""Finding keys that hold more rows than one task should, and setting them apart.
+
+A key is named by the hash of its columns. A hash shared by two keys only sets one key more
+apart: the plans for ordinary and for hot keys give the same rows.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A group up to this size is sorted by one task without trouble (it can spill).
-HOT_ROWS = 2_000_000
-# Hot keys are at most (rows / HOT_ROWS); beyond this many, no broadcast is asked for.
-BROADCAST_KEYS = 100_000
+# Keys looked for, and counters kept per task and group while looking: both fixed, so what
+# detection holds and returns does not grow with the data.
+MOST_HOT = 64
+TRACKED = 1024
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -20,37 +24,46 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS
-) -> tuple[DataFrame, int] | None:
-    """The keys with more than ``limit`` rows and how many rows they hold, or None.
+def key_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*keys)
 
-    Runs a row count, and only if that exceeds the limit a second job that reads the
-    key columns and counts them, map-side first. The answer has at most rows / limit
-    entries, so it may pass through the driver.
-    """
-    if df.count() <= limit:
-        return None
-    counted = df.groupBy(*keys).count().where(F.col("count") > limit)
-    rows = counted.collect()
-    if not rows:
-        return None
-    found = df.sparkSession.createDataFrame(rows, counted.schema).drop("count")
-    if len(rows) <= BROADCAST_KEYS:
-        found = F.broadcast(found)
-    return found, sum(row["count"] for row in rows)
-
-
-def split_hot(
-    df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS
-) -> tuple[DataFrame, DataFrame | None, int]:
-    """(rows of ordinary keys, rows of hot keys or None, number of the latter).
-
-    Together they are all of ``df``.
+
+def hot_keys_of(
+    tables: Mapping[str, tuple[DataFrame, Sequence[str]]], share: float | None = None
+) -> dict[str, list[int]]:
+    """The hot keys of each ``{name: (table, key columns)}``, in one job over the key columns.
+
+    Hot is a key with more than a task's share of its table's rows, whatever their number
+    (or with more than ``share`` of them).
+    Counts are approximate (heavy hitters in bounded space); a key they miss or overrate is
+    only placed in the other plan.
     """
-    hot = hot_keys(df, keys, limit)
-    if hot is None:
-        return df, None, 0
-    found, rows = hot
-    match = same_keys(df, found, keys)
-    return df.join(found, match, "left_anti"), df.join(found, match, "left_semi"), rows
+    if not tables:
+        return {}
+    parts = [df.select(F.lit(n).alias("_table"), key_hash(keys).alias("_key")) for n, (df, keys) in tables.items()]
+    tops = (
+        reduce(DataFrame.unionAll, parts)
+        .groupBy("_table")
+        .agg(F.expr(f"approx_top_k(_key, {MOST_HOT}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n"))
+    )
+    found = {row["_table"]: row for row in tops.collect()}
+    spark = parts[0].sparkSession
+    if share is None:
+        share = 1 / max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return {
+        name: [item["item"] for item in found[name]["top"] if item["count"] > share * found[name]["n"]] if name in found else []
+        for name in tables
+    }
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) -> list[int]:
+    """The hot keys of one table, for the ``hot`` argument of the operators."""
+    return hot_keys_of({"table": (df, keys)}, share)["table"]
+
+
+def split_hot(df: DataFrame, keys: Sequence[str], hot: Sequence[int]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary keys, rows of the given hot keys or None); together all of ``df``."""
+    if not hot:
+        return df, None
+    is_hot = key_hash(keys).isin(*hot)
+    return df.where(~is_hot), df.where(is_hot)

@@ -6,6 +6,8 @@ quantiles are picked from sorted lists, folds come from one global row number.
 
 from __future__ import annotations
 
+import random
+
 from gamelog.plans.dataset import MODEL_FEATURES
 
 ADAPTERS = """
@@ -70,8 +72,7 @@ plays as (
       else case event_id % 3 when 0 then 'ST' when 1 then 'BLK' else 'RV' end end as PLAYTYPE,
     case when event_id % 5 = 0 then cast(null as string) else cast(cast(floor(value / 4) as int) as string) end as POINTS_A,
     regexp_extract(props, '([0-9]+)', 1) as POINTS_B
-  from events join orders on o_orderkey = cast(floor(event_id / 8) as bigint)
-  where o_orderkey % 10 <> 0 or event_id % 8 < 2)"""
+  from events join orders on o_orderkey = cast(floor(event_id / 8) as bigint))"""
 
 RAW_TEXT = ("Phase", "Player_ID", "Player", "Team", "Minutes")
 RAW_NUMBERS = (
@@ -392,7 +393,7 @@ _MODEL_COLUMNS = ", ".join(_model_column(c) for c in MODEL_FEATURES)
 
 FOLDS = """
 numbered as (
-  select *, row_number() over (order by Season, Round, Gamecode, Player_ID) - 1 as row_index,
+  select *, row_number() over (order by Season, Round, Gamecode, Player_ID, Team) - 1 as row_index,
     count(*) over () as n from led),
 folded as (
   select *, cast(case when row_index < n - 5 * (n // 6) then 0
@@ -443,7 +444,67 @@ def _quartiles() -> str:
     return f"{_FOLD_CTES} " + " union all ".join(parts)
 
 
+# Least squares of the next rating on the three-game mean, fitted on the rows before a fold.
+LINE = """
+line_rows as (select *, cast(next_PIR as double) as y, pir_ma3 as x from folded),
+lines as (
+  select f as fold, regr_slope(y, x) as slope, regr_intercept(y, x) as base
+  from line_rows, generate_series(1, 5) as g(f) where test_fold < f group by f),
+guesses as (
+  select test_fold as fold, y, slope * x + base as p from line_rows join lines on test_fold = fold),
+line_metrics as (
+  select fold, sqrt(avg((y - p) * (y - p))) as rmse, avg(abs(y - p)) as mae,
+    1 - sum((y - p) * (y - p)) / (sum(y * y) - sum(y) * sum(y) / count(*)) as r2
+  from guesses group by fold)"""
+_LINE_CTES = _with(ADAPTERS, BOX, FORM, FILLED, _target("filled", "Player_ID"), FOLDS, LINE)
+
+
+def _linear_curve() -> str:
+    return f"""{_LINE_CTES},
+sizes as (
+  select i / 10.0 as fraction, greatest(1, cast(floor((i / 10.0) * first_train) as bigint)) as n_train
+  from (select count(*) as first_train from line_rows where test_fold = 0), generate_series(1, 10) as g(i)),
+curves as (
+  select fraction, n_train, regr_slope(y, x) as slope, regr_intercept(y, x) as base
+  from sizes join line_rows on row_index < n_train group by 1, 2),
+errors as (
+  select fraction, n_train, test_fold, row_index < n_train as trained, (y - slope * x - base) ** 2 as e
+  from curves, line_rows)
+select cast(v.fraction as double) as fraction, fold, v.n_train as n_train,
+  round(train_mse, 6) as train_mse, round(val_mse, 6) as val_mse
+from (select fraction, n_train, test_fold as fold, avg(e) as val_mse from errors where test_fold > 0 group by 1, 2, 3) v
+join (select fraction, avg(e) as train_mse from errors where trained group by 1) t using (fraction)"""
+
+
+def _linear_importance(seed: int = 42, repeats: int = 10) -> str:
+    draw = random.Random(seed)
+    shares = ", ".join(f"({r}, {draw.random()!r})" for r in range(repeats))
+    return f"""{_LINE_CTES},
+line as (select regr_slope(y, x) as slope, regr_intercept(y, x) as base from line_rows),
+shuffled as (
+  select x, y, count(*) over () as n, row_number() over (order by
+    md5(concat_ws('|', '{seed}', Season, Round, Gamecode, Player_ID, Team)), Season, Round, Gamecode, Player_ID, Team) - 1 as at
+  from line_rows),
+shares(r, u) as (values {shares}),
+trials as (
+  select r, a.y as y, b.x as moved, a.x as x
+  from shuffled a, shares join shuffled b on true
+  where b.at = (a.at + 1 + cast(floor(u * (a.n - 1)) as bigint)) % a.n),
+losses as (
+  select r, (sum((y - slope * moved - base) ** 2) - sum((y - slope * x - base) ** 2))
+    / (var_pop(y) * count(*)) as loss
+  from trials, line group by r)
+select 'pir_ma3' as feature, round(avg(loss), 6) as importance, round(stddev_pop(loss), 6) as deviation from losses"""
+
+
 def oracle_sql() -> dict[str, str]:
+    twins = _oracle_sql()
+    # the plan for hot keys must give the same rows
+    split = ("rolling_means", "ewm_form", "play_streaks", "next_game_target", "shot_quantiles")
+    return twins | {f"{name}_split": twins[name] for name in split}
+
+
+def _oracle_sql() -> dict[str, str]:
     play_names = list(PLAY_MEASURES)
 
     def plays(*names):
@@ -541,6 +602,14 @@ def oracle_sql() -> dict[str, str]:
         "mean_forecast_metrics": f"{_FOLD_CTES} select "
         + ", ".join(_double(f"avg({m})", m) for m in ("rmse", "mae", "r2"))
         + " from metrics",
+        "metrics_record": f"{_FOLD_CTES} " + " union all ".join(
+            f"select fold, '{m}' as metric, {_double(m, 'value')} from metrics "
+            f"union all select null as fold, '{m}' as metric, {_double(f'avg({m})', 'value')} from metrics"
+            for m in ("rmse", "mae", "r2")
+        ),
+        "linear_cv_metrics": f"{_LINE_CTES} select fold, {_doubles(['rmse', 'mae', 'r2'])} from line_metrics",
+        "linear_learning_curve": _linear_curve(),
+        "linear_importance": _linear_importance(),
         "metric_quartiles": _quartiles(),
         "oof_scatter_bins": f"{_FOLD_CTES} select cast(floor(actual / 5) as bigint) as actual_bin, "
         "cast(floor(predicted / 5) as bigint) as predicted_bin, count(*) as n "

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from gamelog.functions.scalars import clock_minutes, floor_at, ratio
 from gamelog.operators.ordering import with_sequences
 from gamelog.operators.series import add_ewm_means, ewm_reach, rolling
-from gamelog.operators.skew import HOT_ROWS
 from gamelog.plans.feature_set import FeatureSet, series_order
 
 # Counters of the box score and what they are worth in the rating.
@@ -67,7 +66,7 @@ def add_form(
     df: DataFrame,
     sizes: Sequence[int] = WINDOW_SIZES,
     alpha: float = EWM_ALPHA,
-    limit: int = HOT_ROWS,
+    hot: Sequence[int] = (),
 ) -> DataFrame:
     """Rolling means and deviations, exponentially weighted means, and their trend."""
     order = series_order(df)
@@ -85,20 +84,21 @@ def add_form(
     reach = max(max(sizes) - 1, ewm_reach(alpha))
     weighted = ("pir_ewm", "points_ewm")
     formed = with_sequences(
-        df, SERIES_KEYS, order, add, before=reach, carry=weighted, limit=limit
+        df, SERIES_KEYS, order, add, before=reach, carry=weighted, hot=hot
     )
     return formed.withColumn("recent_form", F.col("pir_ma3") - F.col("pir_ma10"))
 
 
-def add_box_features(df: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
-    return add_form(add_shooting(df), limit=limit)
+def add_box_features(df: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
+    return add_form(add_shooting(df), hot=hot)
 
 
-def box_features(df: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def box_features(df: DataFrame, hot: Sequence[int] = ()) -> DataFrame:
     """The features with the columns identifying a player-game, one row per input row."""
-    return make_set(limit).transform(df).select(*PASSED_ON, *FEATURES)
+    return make_set(hot).transform(df).select(*PASSED_ON, *FEATURES)
 
 
+# Names of the features, in order.
 FEATURES = (
     "minutes_played",
     "Points",
@@ -115,7 +115,7 @@ FEATURES = (
 )
 
 
-def make_set(limit: int = HOT_ROWS) -> FeatureSet:
+def make_set(hot: Sequence[int] = ()) -> FeatureSet:
     counters = [c for pair in SHOT_COUNTERS for c in pair]
     return FeatureSet(
         name="combined_stats",
@@ -131,5 +131,5 @@ def make_set(limit: int = HOT_ROWS) -> FeatureSet:
             *counters,
         ),
         features=FEATURES,
-        rows=partial(add_box_features, limit=limit),
+        rows=partial(add_box_features, hot=hot),
     )

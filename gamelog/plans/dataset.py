@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from gamelog.operators.columns import align_columns, present_columns
 from gamelog.operators.series import lead_value
-from gamelog.operators.skew import HOT_ROWS
 from gamelog.plans.feature_set import series_order
 
 TARGET = "next_PIR"
@@ -85,7 +84,7 @@ MODEL_FEATURES = (
 
 
 def with_next_game(
-    features: DataFrame, scope: str = "player", limit: int = HOT_ROWS
+    features: DataFrame, scope: str = "player", hot: Sequence[int] = ()
 ) -> DataFrame:
     """Add the rating of the player's next game; rows without a next game are dropped.
 
@@ -94,7 +93,7 @@ def with_next_game(
     """
     keys = {"player": ["Player_ID"], "season_player": ["Season", "Player_ID"]}[scope]
     order = ["Season", *series_order(features)]
-    led = lead_value(features, keys, order, "PIR", TARGET, limit)
+    led = lead_value(features, keys, order, "PIR", TARGET, hot)
     return led.where(F.col(TARGET).isNotNull())
 
 
@@ -102,10 +101,10 @@ def training_set(
     features: DataFrame,
     names: Sequence[str] = MODEL_FEATURES,
     scope: str = "player",
-    limit: int = HOT_ROWS,
+    hot: Sequence[int] = (),
 ) -> tuple[DataFrame, list[str]]:
     """Feature rows with target and all model columns, and the columns made up as 0."""
-    return align_columns(with_next_game(features, scope, limit), names)
+    return align_columns(with_next_game(features, scope, hot), names)
 
 
 def scoring_set(

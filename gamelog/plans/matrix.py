@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gamelog.operators.skew import HOT_ROWS
+from gamelog.operators.skew import hot_keys_of
 from gamelog.plans import boxscore, plays, shots
 from gamelog.plans.feature_set import (
     KEYS,
@@ -25,11 +25,22 @@ log = logging.getLogger(__name__)
 BASE = "player_stats"
 
 
-def default_registry(limit: int = HOT_ROWS) -> FeatureRegistry:
+# The keys that a source's windows and ranks are partitioned by.
+SEQUENCE_KEYS = {"player_stats": boxscore.SERIES_KEYS, "shot_data": KEYS, "playbyplay": KEYS}
+
+
+def find_hot(tables: Mapping[str, DataFrame], sources: Sequence[str] = tuple(SEQUENCE_KEYS)) -> dict[str, list[int]]:
+    """The hot keys of each source, for ``hot``: one job over the sources' key columns."""
+    wanted = [s for s in sources if s in tables]
+    return hot_keys_of({s: (keyed(tables[s], s), SEQUENCE_KEYS[s]) for s in wanted})
+
+
+def default_registry(hot: Mapping[str, Sequence[int]] | None = None) -> FeatureRegistry:
+    hot = hot or {}
     registry = FeatureRegistry()
-    registry.register(boxscore.make_set(limit))
-    registry.register(shots.make_set(limit=limit))
-    registry.register(plays.make_play_set(limit=limit))
+    registry.register(boxscore.make_set(hot.get("player_stats", ())))
+    registry.register(shots.make_set(hot=hot.get("shot_data", ())))
+    registry.register(plays.make_play_set(hot=hot.get("playbyplay", ())))
     registry.register(plays.make_matchup_set())
     return registry
 
@@ -51,14 +62,16 @@ def feature_matrix(
     registry: FeatureRegistry | None = None,
     season: int | str | None = None,
     exclude_ids: Sequence[str] = (),
+    hot: Mapping[str, Sequence[int]] | None = None,
 ) -> DataFrame:
     """One row per box-score row: its raw columns, then the features, unknown ones 0.
 
     All seasons are computed in one plan; ``season`` restricts it to one, which prunes
     partitions in every source. ``exclude_ids`` leaves players out, e.g. ``("Total",)``
-    for the team totals.
+    for the team totals. ``hot`` (see :func:`find_hot`) are keys to split between tasks;
+    it belongs to the default registry.
     """
-    chosen = choose_sets(registry or default_registry(), sets)
+    chosen = choose_sets(registry or default_registry(hot), sets)
     by_source: dict[tuple, list[FeatureSet]] = {}
     for one in chosen:
         step = one.group if one.measures else None
@@ -101,6 +114,7 @@ class FeatureConfig:
     output_dir: str
     seasons: Sequence[int | str]
     sets: Sequence[str] | None = None
+    exclude_ids: Sequence[str] = ()
 
     @classmethod
     def from_mapping(cls, settings: Mapping[str, object]) -> FeatureConfig:
@@ -112,6 +126,7 @@ class FeatureConfig:
             settings["output_dir"],
             settings["seasons"],
             settings.get("transformers"),
+            settings.get("exclude_ids", ()),
         )
 
 
@@ -119,7 +134,8 @@ def build_features(spark: SparkSession, config: FeatureConfig) -> str:
     """Compute the matrix of the configured seasons and write it; returns its path."""
     tables = read_seasons(spark, config.data_dir, config.seasons)
     path = f"{config.output_dir.rstrip('/')}/features"
-    write_features(feature_matrix(tables, config.sets), path)
+    hot = find_hot(tables)
+    write_features(feature_matrix(tables, config.sets, exclude_ids=config.exclude_ids, hot=hot), path)
     return path
 
 

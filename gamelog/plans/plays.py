@@ -6,6 +6,7 @@ aggregates over the raw columns, so computing both costs one pass.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -22,7 +23,6 @@ from gamelog.functions.aggregates import (
 from gamelog.functions.scalars import first_match, mentions, ratio_or_zero
 from gamelog.operators.ordering import with_sequences
 from gamelog.operators.series import rolling
-from gamelog.operators.skew import HOT_ROWS
 from gamelog.plans.feature_set import KEYS, FeatureSet
 
 # Tokens looked for in the play type, per kind of play.
@@ -101,7 +101,7 @@ def is_positive() -> Column:
 
 
 def add_momentum(
-    df: DataFrame, rules: PlayRules = PlayRules(), limit: int = HOT_ROWS
+    df: DataFrame, rules: PlayRules = PlayRules(), hot: Sequence[int] = ()
 ) -> DataFrame:
     """The impact of each play, of the last three together, and whether a good play follows."""
     order = ["NUMBEROFPLAY"]
@@ -116,7 +116,7 @@ def add_momentum(
         )
 
     valued = df.withColumn("play_impact", rules.impact())
-    return with_sequences(valued, KEYS, order, add, before=2, after=1, limit=limit)
+    return with_sequences(valued, KEYS, order, add, before=2, after=1, hot=hot)
 
 
 def play_measures(rules: PlayRules = PlayRules()) -> dict[str, Column]:
@@ -177,6 +177,7 @@ def matchup_measures(rules: PlayRules = PlayRules()) -> dict[str, Column]:
     }
 
 
+# Names of the features, in order.
 PLAY_FEATURES = (
     "clutch_plays",
     "clutch_scores",
@@ -203,6 +204,7 @@ PLAY_FEATURES = (
     "best_impact_sequence",
     "worst_impact_sequence",
 )
+# Names of the features, in order.
 MATCHUP_FEATURES = (
     "scoring_efficiency",
     "points_in_close_games",
@@ -213,7 +215,7 @@ MATCHUP_FEATURES = (
 )
 
 
-def make_play_set(rules: PlayRules = PlayRules(), limit: int = HOT_ROWS) -> FeatureSet:
+def make_play_set(rules: PlayRules = PlayRules(), hot: Sequence[int] = ()) -> FeatureSet:
     return FeatureSet(
         name="playbyplay",
         source="playbyplay",
@@ -227,7 +229,7 @@ def make_play_set(rules: PlayRules = PlayRules(), limit: int = HOT_ROWS) -> Feat
             "NUMBEROFPLAY",
         ),
         features=PLAY_FEATURES,
-        rows=partial(add_momentum, rules=rules, limit=limit),
+        rows=partial(add_momentum, rules=rules, hot=hot),
         measures=partial(play_measures, rules),
     )
 

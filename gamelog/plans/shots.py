@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -18,7 +19,6 @@ from gamelog.functions.scalars import (
     ratio,
 )
 from gamelog.operators.quantile import nearest_quantiles
-from gamelog.operators.skew import HOT_ROWS
 from gamelog.plans.feature_set import KEYS, FeatureSet
 
 
@@ -122,10 +122,11 @@ def shot_measures(rules: ShotRules = ShotRules()) -> dict[str, Column]:
     return measures
 
 
-def group_shots(df: DataFrame, measures: dict[str, Column], limit: int = HOT_ROWS) -> DataFrame:
-    return nearest_quantiles(df, KEYS, "shot_distance", QUARTILES, measures, DISTINCT, limit)
+def group_shots(df: DataFrame, measures: dict[str, Column], hot: Sequence[int] = ()) -> DataFrame:
+    return nearest_quantiles(df, KEYS, "shot_distance", QUARTILES, measures, DISTINCT, hot)
 
 
+# Names of the features, in order.
 FEATURES = (
     "shot_quality_index",
     "avg_shot_distance",
@@ -148,7 +149,7 @@ FEATURES = (
 )
 
 
-def make_set(rules: ShotRules = ShotRules(), limit: int = HOT_ROWS) -> FeatureSet:
+def make_set(rules: ShotRules = ShotRules(), hot: Sequence[int] = ()) -> FeatureSet:
     return FeatureSet(
         name="shot_patterns",
         source="shot_data",
@@ -165,5 +166,5 @@ def make_set(rules: ShotRules = ShotRules(), limit: int = HOT_ROWS) -> FeatureSe
         features=FEATURES,
         rows=add_distance,
         measures=partial(shot_measures, rules),
-        group=partial(group_shots, limit=limit),
+        group=partial(group_shots, hot=hot),
     )

@@ -38,15 +38,19 @@ def train(
     """Fit and save the model and write how good it is; returns the made-up columns."""
     rows, made_up = training_set(read_features(spark, features_path))
     rows = rows.persist()
-    model = fit_forecaster(rows, params)
+    names = [c for c in MODEL_FEATURES if c not in made_up]  # a constant tells nothing
+    model = fit_forecaster(rows, params, names)
     save_model(model, f"{output}/model")
-    forecasts = cross_validate(rows, params).persist()
-    per_fold = fold_metrics(forecasts)
+    forecasts = cross_validate(rows, params, names).persist()
+    per_fold = fold_metrics(forecasts).persist()
     metrics_record(per_fold).coalesce(1).write.mode("overwrite").json(f"{output}/metrics")
     write_report_files(metric_quartiles(per_fold), f"{output}/metric_quartiles")
     write_report_files(scatter_bins(forecasts), f"{output}/forecast_scatter")
-    write_report_files(learning_curve(rows, params), f"{output}/learning_curve")
-    write_report_files(permutation_importance(model, rows), f"{output}/feature_importance")
+    write_report_files(learning_curve(rows, params, names), f"{output}/learning_curve")
+    importance = permutation_importance(model, rows, names=MODEL_FEATURES)
+    write_report_files(importance, f"{output}/feature_importance")
+    for kept in (per_fold, forecasts, rows):
+        kept.unpersist()
     return made_up
 
 
@@ -59,6 +63,8 @@ def predict(
     model = load_model(model_path)
     predictions = next_predictions(model, features, stats, season).persist()
     current, _ = scoring_set(latest_active_rows(features, season), MODEL_FEATURES)
-    importance = permutation_importance(model, current, target="PIR").persist()
+    importance = permutation_importance(model, current, target="PIR", names=MODEL_FEATURES)
     save_predictions(predictions, importance, output)
-    return report_text(predictions, importance)
+    report = report_text(predictions, importance)
+    predictions.unpersist()
+    return report

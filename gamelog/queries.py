@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,10 +12,10 @@ from gamelog.functions.aggregates import distinct_with_null, success_rate
 from gamelog.functions.scalars import clock_minutes
 from gamelog.operators.quantile import nearest_quantiles
 from gamelog.operators.series import add_ewm_means, ewm_reach, rolling
-from gamelog.operators.ordering import with_sequences
+from gamelog.operators.ordering import global_row_index, with_sequences
+from gamelog.operators.skew import hot_keys
 from gamelog.plans import boxscore, dataset, evaluation, matrix, model, plays, predict, shots
 from gamelog.plans.feature_set import KEYS, chain, keyed, series_order, transform_together
-from gamelog.session import prefer_skew_splits
 from gamelog.sources import catalog, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,8 +23,6 @@ _QUERIES: dict[str, Query] = {}
 
 SEASON = 2024
 GAME = ("Season", "Player_ID", "Gamecode")
-# The registered model queries grow fewer trees than the default; all rows are used.
-QUICK = model.ForecastParams(max_iter=5)
 DIGITS = 6
 
 
@@ -37,7 +36,6 @@ def query(build: Query) -> Query:
     """Register under the function's name, results rounded for comparison."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        prefer_skew_splits(spark)
         return rounded(build(spark, folder))
 
     _QUERIES[build.__name__] = run
@@ -56,12 +54,20 @@ def _plays(spark: SparkSession, folder: str) -> DataFrame:
     return keyed(samples.playbyplay(spark, folder), "playbyplay")
 
 
-def _matrix(spark: SparkSession, folder: str, sets: list[str] | None = None) -> DataFrame:
-    return matrix.feature_matrix(samples.game_tables(spark, folder), sets)
+def _matrix(spark: SparkSession, folder: str, season: int | None = None) -> DataFrame:
+    tables = samples.game_tables(spark, folder)
+    return matrix.feature_matrix(tables, season=season, hot=matrix.find_hot(tables))
 
 
 def _box_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return _matrix(spark, folder, ["combined_stats"])
+    tables = samples.game_tables(spark, folder)
+    hot = matrix.find_hot(tables, ["player_stats"])
+    return matrix.feature_matrix(tables, ["combined_stats"], hot=hot)
+
+
+# The share of the rows from which the ``_split`` queries set a key apart: any, so that
+# the plan for hot keys runs at every size.
+ANY_SHARE = 0.0
 
 
 # --- sources -----------------------------------------------------------------
@@ -87,17 +93,6 @@ def raw_manifest(spark, folder):
     return catalog.season_counts(samples.game_tables(spark, folder))
 
 
-@query
-def table_schema(spark, folder):
-    paths = {name: f"{folder}/{name}.parquet" for name in samples.SOURCES}
-    return catalog.table_columns(spark, paths)
-
-
-@query
-def parquet_files(spark, folder):
-    return catalog.list_parquet_files(spark, folder)
-
-
 # --- box score ---------------------------------------------------------------
 
 
@@ -126,8 +121,10 @@ def pir(spark, folder):
     return boxscore.add_shooting(samples.player_stats(spark, folder)).select(*GAME, "PIR")
 
 
-def _rolled(spark, folder, how, columns):
-    box = boxscore.add_shooting(samples.player_stats(spark, folder))
+def _rolled(spark, folder, how, columns, share=None):
+    stats = samples.player_stats(spark, folder)
+    hot = hot_keys(stats, boxscore.SERIES_KEYS, share)
+    box = boxscore.add_shooting(stats)
     order = series_order(box)
 
     def add(rows, parts):
@@ -141,15 +138,22 @@ def _rolled(spark, folder, how, columns):
         )
 
     reach = max(boxscore.WINDOW_SIZES) - 1
-    rolled = with_sequences(box, boxscore.SERIES_KEYS, order, add, before=reach)
+    rolled = with_sequences(box, boxscore.SERIES_KEYS, order, add, before=reach, hot=hot)
     names = [f"{name}_ma{n}" for n in boxscore.WINDOW_SIZES for name in columns]
     return rolled.select(*GAME, *names)
 
 
+MEANS = {"minutes": "minutes_played", "Points": "Points", "pir": "PIR"}
+
+
 @query
 def rolling_means(spark, folder):
-    sources = {"minutes": "minutes_played", "Points": "Points", "pir": "PIR"}
-    return _rolled(spark, folder, "mean", sources)
+    return _rolled(spark, folder, "mean", MEANS)
+
+
+@query
+def rolling_means_split(spark, folder):
+    return _rolled(spark, folder, "mean", MEANS, ANY_SHARE)
 
 
 @query
@@ -157,9 +161,10 @@ def rolling_std(spark, folder):
     return _rolled(spark, folder, "std", {"pir_std": "PIR"})
 
 
-@query
-def ewm_form(spark, folder):
-    box = boxscore.add_shooting(samples.player_stats(spark, folder))
+def _weighted(spark, folder, share=None):
+    stats = samples.player_stats(spark, folder)
+    hot = hot_keys(stats, boxscore.SERIES_KEYS, share)
+    box = boxscore.add_shooting(stats)
     order, alpha = series_order(box), boxscore.EWM_ALPHA
 
     def add(rows, parts):
@@ -167,21 +172,34 @@ def ewm_form(spark, folder):
         return add_ewm_means(rows, parts, order, weighted, alpha)
 
     names, reach = ["pir_ewm", "points_ewm"], ewm_reach(alpha)
-    weighted = with_sequences(box, boxscore.SERIES_KEYS, order, add, before=reach, carry=names)
+    weighted = with_sequences(box, boxscore.SERIES_KEYS, order, add, before=reach, carry=names, hot=hot)
     return weighted.select(*GAME, *names)
 
 
+@query
+def ewm_form(spark, folder):
+    return _weighted(spark, folder)
+
+
+@query
+def ewm_form_split(spark, folder):
+    return _weighted(spark, folder, ANY_SHARE)
+
+
 @query
 def recent_form(spark, folder):
-    steps = (boxscore.add_shooting, boxscore.add_form)
-    return chain(steps, samples.player_stats(spark, folder)).select(
+    stats = samples.player_stats(spark, folder)
+    hot = hot_keys(stats, boxscore.SERIES_KEYS)
+    steps = (boxscore.add_shooting, partial(boxscore.add_form, hot=hot))
+    return chain(steps, stats).select(
         *GAME, "pir_ma3", "pir_ma10", "recent_form"
     )
 
 
 @query
 def box_features(spark, folder):
-    return boxscore.box_features(samples.player_stats(spark, folder))
+    stats = samples.player_stats(spark, folder)
+    return boxscore.box_features(stats, hot_keys(stats, boxscore.SERIES_KEYS))
 
 
 # --- shots -------------------------------------------------------------------
@@ -216,9 +234,19 @@ def shot_spread(spark, folder):
     return _shot_measures(spark, folder, *names)
 
 
+def _quantiles(spark, folder, share=None):
+    rows = _shots(spark, folder)
+    return nearest_quantiles(rows, KEYS, "shot_distance", shots.QUARTILES, hot=hot_keys(rows, KEYS, share))
+
+
 @query
 def shot_quantiles(spark, folder):
-    return nearest_quantiles(_shots(spark, folder), KEYS, "shot_distance", shots.QUARTILES)
+    return _quantiles(spark, folder)
+
+
+@query
+def shot_quantiles_split(spark, folder):
+    return _quantiles(spark, folder, ANY_SHARE)
 
 
 @query
@@ -248,7 +276,7 @@ def effective_fg(spark, folder):
 @query
 def shot_features(spark, folder):
     raw = keyed(samples.shot_data(spark, folder), "shot_data")
-    return shots.make_set().transform(raw)
+    return shots.make_set(hot=hot_keys(raw, KEYS)).transform(raw)
 
 
 # --- plays -------------------------------------------------------------------
@@ -300,20 +328,29 @@ def score_volatility(spark, folder):
     return _play_measures(spark, folder, "game_volatility", "close_game_time_ratio")
 
 
+def _play_set(spark, folder, rules=plays.PlayRules(), share=None):
+    rows = _plays(spark, folder)
+    return plays.make_play_set(rules, hot_keys(rows, KEYS, share)).transform(rows)
+
+
 @query
 def play_streaks(spark, folder):
-    streaks = plays.PLAY_FEATURES[-3:]
-    return plays.make_play_set().transform(_plays(spark, folder)).select(*KEYS, *streaks)
+    return _play_set(spark, folder).select(*KEYS, *plays.PLAY_FEATURES[-3:])
+
+
+@query
+def play_streaks_split(spark, folder):
+    return _play_set(spark, folder, share=ANY_SHARE).select(*KEYS, *plays.PLAY_FEATURES[-3:])
 
 
 @query
 def play_features(spark, folder):
-    return plays.make_play_set().transform(_plays(spark, folder))
+    return _play_set(spark, folder)
 
 
 @query
 def play_features_exact(spark, folder):
-    return plays.make_play_set(plays.PlayRules(exact=True)).transform(_plays(spark, folder))
+    return _play_set(spark, folder, plays.PlayRules(exact=True))
 
 
 @query
@@ -323,8 +360,9 @@ def matchup_features(spark, folder):
 
 @query
 def play_and_matchup_features(spark, folder):
-    sets = [plays.make_play_set(), plays.make_matchup_set()]
-    return transform_together(sets, _plays(spark, folder))
+    rows = _plays(spark, folder)
+    sets = [plays.make_play_set(hot=hot_keys(rows, KEYS)), plays.make_matchup_set()]
+    return transform_together(sets, rows)
 
 
 # --- feature matrix ----------------------------------------------------------
@@ -337,7 +375,7 @@ def feature_matrix(spark, folder):
 
 @query
 def feature_matrix_season(spark, folder):
-    return matrix.feature_matrix(samples.game_tables(spark, folder), season=SEASON)
+    return _matrix(spark, folder, SEASON)
 
 
 @query
@@ -355,9 +393,19 @@ def feature_summary(spark, folder):
 # --- model input -------------------------------------------------------------
 
 
+def _next_games(spark, folder, share=None):
+    hot = hot_keys(samples.player_stats(spark, folder), ["Player_ID"], share)
+    return dataset.with_next_game(_box_matrix(spark, folder), hot=hot)
+
+
 @query
 def next_game_target(spark, folder):
-    return dataset.with_next_game(_box_matrix(spark, folder)).select(*GAME, "PIR", "next_PIR")
+    return _next_games(spark, folder).select(*GAME, "PIR", "next_PIR")
+
+
+@query
+def next_game_target_split(spark, folder):
+    return _next_games(spark, folder, ANY_SHARE).select(*GAME, "PIR", "next_PIR")
 
 
 @query
@@ -387,9 +435,13 @@ def scaled_features(spark, folder):
 # --- evaluation; the forecast is the three-game mean, so SQL can repeat it ----
 
 
+def _timed(spark, folder):
+    rows = _next_games(spark, folder)
+    return rows.select(*GAME, "Round", "Team", "pir_ma3", "next_PIR").persist()
+
+
 def _folded(spark, folder):
-    rows = dataset.with_next_game(_box_matrix(spark, folder))
-    return evaluation.with_time_folds(rows.select(*GAME, "Round", "pir_ma3", "next_PIR"))
+    return evaluation.with_time_folds(_timed(spark, folder))
 
 
 def _trend_forecasts(spark, folder):
@@ -406,7 +458,9 @@ def _trend_forecasts(spark, folder):
 
 @query
 def time_split_folds(spark, folder):
-    return _folded(spark, folder).select(*GAME, "Round", "row_index", "test_fold")
+    folded = _folded(spark, folder)
+    numbered = global_row_index(folded, evaluation.time_order(folded))
+    return numbered.select(*GAME, "Round", "row_index", "test_fold")
 
 
 @query
@@ -419,6 +473,11 @@ def mean_forecast_metrics(spark, folder):
     return evaluation.mean_metrics(evaluation.fold_metrics(_trend_forecasts(spark, folder)))
 
 
+@query
+def metrics_record(spark, folder):
+    return evaluation.flat_metrics_record(evaluation.fold_metrics(_trend_forecasts(spark, folder)))
+
+
 @query
 def metric_quartiles(spark, folder):
     return evaluation.metric_quartiles(evaluation.fold_metrics(_trend_forecasts(spark, folder)))
@@ -434,7 +493,7 @@ def oof_scatter_bins(spark, folder):
 
 @query
 def latest_round(spark, folder):
-    return predict.latest_round(_box_matrix(spark, folder), SEASON)
+    return predict.latest_round(samples.player_stats(spark, folder), SEASON)
 
 
 @query
@@ -471,33 +530,59 @@ def top_n_report(spark, folder):
     return predict.top_lines(_trend_predictions(spark, folder), top_n=20)
 
 
-# --- fitted models: no SQL equivalent ----------------------------------------
+# --- fitted models -----------------------------------------------------------
+# A least-squares line on the three-game mean is what SQL can repeat; the boosted trees run
+# the same code with the default learner.
+
+LINE = ["pir_ma3"]
+
+
+@query
+def linear_cv_metrics(spark, folder):
+    forecasts = model.cross_validate(_timed(spark, folder), names=LINE, fit=model.fit_linear)
+    return evaluation.fold_metrics(forecasts)
+
+
+@query
+def linear_learning_curve(spark, folder):
+    return model.learning_curve(_timed(spark, folder), names=LINE, fit=model.fit_linear)
+
+
+@query
+def linear_importance(spark, folder):
+    rows = _timed(spark, folder)
+    return model.permutation_importance(model.fit_linear(rows, LINE, dataset.TARGET), rows)
 
 
 def _training(spark, folder):
-    rows, _ = dataset.training_set(_matrix(spark, folder))
-    return rows.persist()
+    """The training rows and the model inputs that some feature set provides."""
+    hot = hot_keys(samples.player_stats(spark, folder), ["Player_ID"])
+    rows, made_up = dataset.training_set(_matrix(spark, folder), hot=hot)
+    return rows.persist(), [c for c in dataset.MODEL_FEATURES if c not in made_up]
 
 
 @query
 def gbt_cv_metrics(spark, folder):
-    return evaluation.fold_metrics(model.cross_validate(_training(spark, folder), QUICK))
+    rows, names = _training(spark, folder)
+    return evaluation.fold_metrics(model.cross_validate(rows, names=names))
 
 
 @query
 def learning_curve(spark, folder):
-    return model.learning_curve(_training(spark, folder), QUICK)
+    rows, names = _training(spark, folder)
+    return model.learning_curve(rows, names=names)
 
 
 @query
 def permutation_importance(spark, folder):
-    train = _training(spark, folder)
-    return model.permutation_importance(model.fit_forecaster(train, QUICK), train)
+    rows, names = _training(spark, folder)
+    fitted = model.fit_forecaster(rows, names=names)
+    return model.permutation_importance(fitted, rows, names=dataset.MODEL_FEATURES)
 
 
 @query
 def next_predictions(spark, folder):
-    features = _matrix(spark, folder).persist()
-    train, _ = dataset.training_set(features)
-    fitted = model.fit_forecaster(train, QUICK)
-    return predict.next_predictions(fitted, features, samples.player_stats(spark, folder), SEASON)
+    rows, names = _training(spark, folder)
+    fitted = model.fit_forecaster(rows, names=names)
+    stats = samples.player_stats(spark, folder)
+    return predict.next_predictions(fitted, _matrix(spark, folder), stats, SEASON)

@@ -15,6 +15,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Split a skewed join even when that costs one more shuffle: a join that feeds a
+        # window on the same key would otherwise keep the hot key in one task.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -22,17 +25,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
-def prefer_skew_splits(spark: SparkSession) -> None:
-    """Let AQE split a skewed join even when the split costs one more shuffle.
-
-    Without it a join feeding a window on the same key keeps the hot key in one task.
-    A session configured otherwise is left as it is.
-    """
-    name = "spark.sql.adaptive.forceOptimizeSkewedJoin"
-    if not spark.sparkContext.getConf().contains(name):
-        spark.conf.set(name, "true")
-
-
 def require_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 

@@ -32,20 +32,23 @@ def read_table(
     ``keep`` persists it (memory and disk) for callers that read it several times.
     """
     path = table_path(root, table)
-    df = read_parquet(spark, path, f"table {table!r}, seasons {seasons or 'all'}")
-    if seasons is not None:
-        wanted = [int(s) for s in seasons]
-        df = df.where(F.col(SEASON).isin(wanted))
+    if seasons is None:
+        df = read_parquet(spark, [path], f"table {table!r}")
+    else:
+        # The folders themselves are read, so a season that was never landed is an error.
+        parts = [f"{path}/{SEASON}={int(s)}" for s in seasons]
+        df = read_parquet(spark, parts, f"table {table!r}, seasons {[int(s) for s in seasons]}", path)
     return df.persist() if keep else df
 
 
-def read_parquet(spark: SparkSession, path: str, what: str = "table") -> DataFrame:
+def read_parquet(spark: SparkSession, paths: Sequence[str], what: str = "table", base: str | None = None) -> DataFrame:
     """Read parquet; a missing path is reported with what was looked for."""
+    reader = spark.read if base is None else spark.read.option("basePath", base)
     try:
-        return spark.read.parquet(path)
+        return reader.parquet(*paths)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"no data for {what} at {path}") from error
+            raise FileNotFoundError(f"no data for {what}: {error.getMessageParameters().get('path', paths)}") from error
         raise
 
 
@@ -64,13 +67,13 @@ def union_seasons(parts: Sequence[DataFrame]) -> DataFrame:
     return stacked
 
 
-def land_season(df: DataFrame, root: str, table: str, season: int | str) -> str | None:
-    """Write one season of a raw table and return its path; an empty one is skipped."""
+def land_season(df: DataFrame, root: str, table: str, season: int | str) -> tuple[str, int] | None:
+    """Write one season of a raw table; returns its path and rows. An empty one is skipped."""
+    path = f"{table_path(root, table)}/{SEASON}={int(season)}"
     if df.isEmpty():
         return None
-    path = f"{table_path(root, table)}/{SEASON}={int(season)}"
     df.drop(SEASON).write.mode("overwrite").parquet(path)
-    return path
+    return path, df.sparkSession.read.parquet(path).count()  # from the footers
 
 
 def land_seasons(
@@ -80,12 +83,12 @@ def land_seasons(
 ) -> DataFrame:
     """Land ``{season: {table: frame}}`` and return the manifest of what was written."""
     written = [
-        (int(season), table, path)
+        (int(season), table, *landed)
         for season, tables in sources.items()
         for table, df in tables.items()
-        if (path := land_season(df, root, table, season)) is not None
+        if (landed := land_season(df, root, table, season)) is not None
     ]
-    schema = f"{SEASON} int, table_name string, path string"
+    schema = f"{SEASON} int, table_name string, path string, n_rows long"
     return spark.createDataFrame(written, schema)
 
 
@@ -128,7 +131,20 @@ def table_columns(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """Write the feature matrix by season; only the seasons present are replaced."""
+    """Write the feature matrix by season; only the seasons present are replaced.
+
+    All seasons must have the same columns: a matrix whose columns differ from the stored
+    ones is refused.
+    """
+    try:
+        stored = features.sparkSession.read.parquet(path)
+    except AnalysisException:
+        stored = None  # nothing is stored yet
+    if stored is not None:
+        have, new = ({f.name: f.dataType for f in df.schema} for df in (stored, features))
+        if have != new:
+            differing = sorted(c for c in {*have, *new} if have.get(c) != new.get(c))
+            raise ValueError(f"columns differ from the stored seasons at {path}: {differing}")
     (
         features.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -138,7 +154,7 @@ def write_features(features: DataFrame, path: str) -> None:
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return read_parquet(spark, path, "the feature matrix; build it first")
+    return read_parquet(spark, [path], "the feature matrix; build it first")
 
 
 def write_report_files(df: DataFrame, path: str) -> bool:

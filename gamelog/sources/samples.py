@@ -151,7 +151,6 @@ def playbyplay(spark: SparkSession, folder: str) -> DataFrame:
             read_source(spark, folder, "orders"),
             F.col("o_orderkey") == F.floor(event / 8).cast("bigint"),
         )
-        .where((F.col("o_orderkey") % 10 != 0) | (event % 8 < 2))
         .select(
             _season().alias("Season"),
             _player().alias("PLAYER_ID"),

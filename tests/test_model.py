@@ -36,13 +36,35 @@ def test_fold_arithmetic(spark):
         )
         size = n // 6
         rows = evaluation.with_time_folds(df).collect()
-        got = {r.row_index: r.test_fold for r in rows}
+        got = {r.Gamecode: r.test_fold for r in rows}
         want = {}
         for f in range(1, 6):
             for i in range(n - (6 - f) * size, n - (5 - f) * size):
                 want[i] = f
         assert got == {i: want.get(i, 0) for i in range(n)}
-        assert all(r.row_index == r.Gamecode for r in rows)
+
+
+def test_cut_points_are_sorted_rows(spark):
+    df = spark.createDataFrame(
+        [(s, r, g, p, t) for s in (1, 2) for r in (None, 3, 4) for g, p in ((5, "a"), (5, None), (6, "a")) for t in ("x", "y")],
+        "Season int, Round int, Gamecode int, Player_ID string, Team string",
+    )
+    order = evaluation.time_order(df)
+    rows = [tuple(r) for r in df.orderBy(*order).collect()]
+    found = evaluation.rows_at(df.repartition(3), order, [0, 7, 13, 35, 36])
+    assert found == {i: rows[i] for i in (0, 7, 13, 35)}
+    before = df.where(evaluation.is_before(order, rows[13]))
+    assert sorted(before.collect(), key=str) == sorted(df.orderBy(*order).limit(13).collect(), key=str)
+
+
+def test_folds_move_no_rows(signal):
+    plan = evaluation.with_time_folds(signal)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("errors,keep", [([5, 4, 3, 2], 4), ([5, 4, 4, 4, 1], 4), ([3, 4, 2, 2, 2.0], 5), ([1, 2, 3], 3)])
+def test_trees_until_the_error_stays(errors, keep):
+    assert model.trees_to_keep(errors, 2, 1e-7) == keep
 
 
 def test_metrics_by_hand(spark):
@@ -98,10 +120,10 @@ def test_importance_matches_brute_force(signal):
     got = {r.feature: r.importance for r in model.permutation_importance(fitted, signal, repeats=2).collect()}
     import random
 
-    key = F.xxhash64(*evaluation.TIME_ORDER, F.lit(42))
+    key = F.md5(F.concat_ws("|", F.lit("42"), *[F.col(c).cast("string") for c in evaluation.TIME_ORDER]))
     rows = signal.withColumn("_k", key).orderBy("_k").collect()
     draw = random.Random(42)
-    shifts = [draw.randrange(1, len(rows)) for _ in range(2)]
+    shifts = [1 + int(draw.random() * (len(rows) - 1)) for _ in range(2)]
     mean = sum(r[TARGET] for r in rows) / len(rows)
     spread = sum((r[TARGET] - mean) ** 2 for r in rows)
 

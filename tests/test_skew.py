@@ -12,9 +12,9 @@ from gamelog.operators.latest import latest_per_key
 from gamelog.operators.ordering import global_row_index, with_sequences
 from gamelog.operators.quantile import nearest_quantiles
 from gamelog.operators.series import add_ewm_means, ewm_reach, lead_value
-from gamelog.operators.skew import hot_keys, split_hot
+from gamelog.operators.skew import hot_keys, hot_keys_of, split_hot
 from gamelog.plans import boxscore, dataset, plays, shots
-from gamelog.plans.feature_set import keyed
+from gamelog.plans.feature_set import KEYS, keyed
 
 
 @pytest.fixture(scope="module")
@@ -30,15 +30,17 @@ def skewed(spark):
     return spark.createDataFrame(rows, schema).repartition(5).persist()
 
 
-def test_hot_keys_are_those_above_the_limit(skewed):
-    assert hot_keys(skewed, ["k"], 2000) is None
-    assert hot_keys(skewed, ["k"], 500) is None
-    found, rows = hot_keys(skewed, ["k"], 400)
-    assert [r.k for r in found.collect()] == ["hot"] and rows == 500
-    ordinary, hot, _ = split_hot(skewed, ["k"], 400)
-    assert hot.count() == 500 and ordinary.count() == 1000
-    ordinary, hot, _ = split_hot(skewed, ["k"], 10)
-    assert ordinary.count() == 0 and hot.count() == 1500
+def test_hot_keys_are_those_above_a_share(skewed):
+    assert hot_keys(skewed, ["k"], 0.4) == []
+    only = hot_keys(skewed, ["k"], 0.3)
+    ordinary, apart = split_hot(skewed, ["k"], only)
+    assert len(only) == 1 and {r.k for r in apart.select("k").distinct().collect()} == {"hot"}
+    assert apart.count() == 500 and ordinary.count() == 1000
+    ordinary, apart = split_hot(skewed, ["k"], hot_keys(skewed, ["k"], 0.0))
+    assert ordinary.count() == 0 and apart.count() == 1500
+    assert split_hot(skewed, ["k"], []) == (skewed, None)
+    found = hot_keys_of({"a": (skewed, ["k"]), "none": (skewed.limit(0), ["k"])}, 0.3)
+    assert found == {"a": only, "none": []}
 
 
 def test_global_row_index_is_the_sorted_position(skewed):
@@ -53,9 +55,9 @@ def test_global_row_index_on_few_and_no_rows(spark):
     assert global_row_index(two.where("v > 9"), ["v"]).count() == 0
 
 
-@pytest.mark.parametrize("limit", [10, 400])
+@pytest.mark.parametrize("share", [0.0, 0.3])
 @pytest.mark.parametrize("before,after", [(0, 1), (2, 1), (30, 0), (200, 3)])
-def test_sequences_match_plain_windows(skewed, limit, before, after):
+def test_sequences_match_plain_windows(skewed, share, before, after):
     def add(df, parts):
         w = Window.partitionBy(*parts).orderBy("at", "id")
         return df.withColumns(
@@ -65,7 +67,7 @@ def test_sequences_match_plain_windows(skewed, limit, before, after):
             }
         )
 
-    split = with_sequences(skewed, ["k"], ["at", "id"], add, before, after, limit=limit)
+    split = with_sequences(skewed, ["k"], ["at", "id"], add, before, after, hot=hot_keys(skewed, ["k"], share))
     assert_same(split, add(skewed, ["k"]))
 
 
@@ -77,17 +79,17 @@ def test_short_chunks_borrow_across_several(spark):
         w = Window.partitionBy(*parts).orderBy("i")
         return rows.withColumn("s", F.sum("x").over(w.rowsBetween(-17, 12)))
 
-    split = with_sequences(df, ["k"], ["i"], add, 17, 12, limit=5)
+    split = with_sequences(df, ["k"], ["i"], add, 17, 12, hot=hot_keys(df, ["k"]))
     assert_same(split, add(df, ["k"]))
 
 
-@pytest.mark.parametrize("limit", [10, 400])
-def test_ewm_over_chunks(skewed, limit):
+@pytest.mark.parametrize("share", [0.0, 0.3])
+def test_ewm_over_chunks(skewed, share):
     def add(df, parts):
         return add_ewm_means(df, parts, ["at", "id"], {"m": "x"}, 0.3)
 
     split = with_sequences(
-        skewed, ["k"], ["at", "id"], add, ewm_reach(0.3), carry=["m"], limit=limit
+        skewed, ["k"], ["at", "id"], add, ewm_reach(0.3), carry=["m"], hot=hot_keys(skewed, ["k"], share)
     )
     assert_same(split, add(skewed, ["k"]))
 
@@ -101,57 +103,67 @@ def test_ewm_carries_over_chunks_without_values(spark):
         return add_ewm_means(rows, parts, ["i"], {"m": "v"}, 0.3)
 
     reach = ewm_reach(0.3)
-    split = with_sequences(df, ["k"], ["i"], add, reach, carry=["m"], limit=100)
+    split = with_sequences(df, ["k"], ["i"], add, reach, carry=["m"], hot=hot_keys(df, ["k"]))
     assert_same(split, add(df, ["k"]))
     assert split.where("m is null").count() == 50
 
 
 def test_lead_over_chunks(skewed):
-    for limit in (10, 400):
+    for share in (0.0, 0.3):
         assert_same(
-            lead_value(skewed, ["k"], ["at", "id"], "x", "next", limit),
+            lead_value(skewed, ["k"], ["at", "id"], "x", "next", hot_keys(skewed, ["k"], share)),
             lead_value(skewed, ["k"], ["at", "id"], "x", "next"),
         )
 
 
-@pytest.mark.parametrize("limit", [10, 400])
-def test_quantiles_of_hot_groups(skewed, limit):
+@pytest.mark.parametrize("share", [0.0, 0.3])
+def test_quantiles_of_hot_groups(skewed, share):
     unknown = skewed.limit(3).select(F.lit("none").alias("k"), "at", "id", F.lit(None).cast("double").alias("x"))
     df = skewed.unionByName(unknown)
     wanted = {"lo": 0.25, "mid": 0.5, "hi": 0.75}
     df = df.withColumn("z", F.when(F.col("id") % 4 != 0, F.col("id") % 7))
     extra, distinct = {"n": F.count(F.lit(1))}, {"kinds": "z", "values": "x"}
     plain = nearest_quantiles(df, ["k"], "x", wanted, extra, distinct)
-    assert_same(nearest_quantiles(df, ["k"], "x", wanted, extra, distinct, limit), plain)
+    assert_same(nearest_quantiles(df, ["k"], "x", wanted, extra, distinct, hot_keys(df, ["k"], share)), plain)
     counted = df.groupBy("k").agg(
         distinct_with_null(F.col("z")).alias("kinds"), distinct_with_null(F.col("x")).alias("values")
     )
     assert_same(plain.select("k", "kinds", "values"), counted)
     assert_same(
-        nearest_quantiles(df, ["k"], "x", wanted, limit=2),
+        nearest_quantiles(df, ["k"], "x", wanted, hot=hot_keys(df, ["k"], share)),
         nearest_quantiles(df, ["k"], "x", wanted),
     )
 
 
+def test_one_value_fills_a_hot_group(spark):
+    """Half of a group is one value, the rest lies far apart."""
+    rows = [("k", 3.0)] * 400 + [("k", float(10**i)) for i in range(12)] + [("k", None)] * 5 + [("one", 7.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    wanted = {"least": 0.0, "lo": 0.25, "high": 0.98, "most": 1.0}
+    assert_same(
+        nearest_quantiles(df, ["k"], "x", wanted, hot=hot_keys(df, ["k"], 0.0)), nearest_quantiles(df, ["k"], "x", wanted)
+    )
+
+
 def test_box_features_of_hot_players(tables):
     box = tables["player_stats"]
-    assert_same(boxscore.box_features(box, limit=3), boxscore.box_features(box))
+    assert_same(boxscore.box_features(box, hot_keys(box, boxscore.SERIES_KEYS, 0.0)), boxscore.box_features(box))
 
 
 def test_play_features_of_hot_games(tables):
     raw = keyed(tables["playbyplay"], "playbyplay")
-    split = plays.make_play_set(limit=1).transform(raw)
+    split = plays.make_play_set(hot=hot_keys(raw, KEYS, 0.0)).transform(raw)
     assert_same(split, plays.make_play_set().transform(raw))
 
 
 def test_shot_features_of_hot_games(tables):
     raw = keyed(tables["shot_data"], "shot_data")
-    assert_same(shots.make_set(limit=2).transform(raw), shots.make_set().transform(raw))
+    assert_same(shots.make_set(hot=hot_keys(raw, KEYS, 0.0)).transform(raw), shots.make_set().transform(raw))
 
 
 def test_targets_of_hot_players(tables):
     box = boxscore.box_features(tables["player_stats"])
-    assert_same(dataset.with_next_game(box, limit=3), dataset.with_next_game(box))
+    assert_same(dataset.with_next_game(box, hot=hot_keys(box, ["Player_ID"], 0.0)), dataset.with_next_game(box))
 
 
 def test_team_totals_as_a_hot_key(spark):
@@ -165,7 +177,7 @@ def test_team_totals_as_a_hot_key(spark):
                 for p in (1, 2)
             ]
     box = box_table(spark, games)
-    split = boxscore.box_features(box, limit=50)
+    split = boxscore.box_features(box, hot_keys(box, boxscore.SERIES_KEYS, 0.3))
     assert split.count() == 240
     assert_same(split, boxscore.box_features(box))
 

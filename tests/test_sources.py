@@ -35,7 +35,8 @@ def test_manifest_file(store, tmp_path):
     _, manifest = store
     catalog.write_manifest(manifest, str(tmp_path / "manifest"))
     lines = [l for f in (tmp_path / "manifest").glob("*.json") for l in f.read_text().splitlines()]
-    assert len(lines) == 6 and {"Season", "table_name", "path"} == set(json.loads(lines[0]))
+    assert len(lines) == 6 and {"Season", "table_name", "path", "n_rows"} == set(json.loads(lines[0]))
+    assert all(json.loads(line)["n_rows"] > 0 for line in lines)
 
 
 def test_round_trip_of_a_table(spark, store, tables):
@@ -48,7 +49,7 @@ def test_seasons_prune_partitions(spark, store):
     root, _ = store
     df = catalog.read_table(spark, root, "shot_data", ["2024"])
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(Season" in plan
+    assert "Season=2024" in plan and "Season=2023" not in plan
     assert {r.Season for r in df.select("Season").distinct().collect()} == {2024}
 
 
@@ -60,6 +61,8 @@ def test_unknown_and_missing_tables(spark, store, tmp_path):
         catalog.read_table(spark, root, "quarter_data")
     with pytest.raises(FileNotFoundError):
         catalog.read_seasons(spark, str(tmp_path))
+    with pytest.raises(FileNotFoundError, match="shot_data.*2031"):
+        catalog.read_table(spark, root, "shot_data", [2024, 2031])
     with pytest.raises(FileNotFoundError, match="build it first"):
         catalog.read_features(spark, str(tmp_path / "features"))
 
@@ -88,9 +91,14 @@ def test_build_writes_all_seasons(spark, store, tables, tmp_path):
     assert {p.name for p in Path(path).glob("Season=*")} == {"Season=2023", "Season=2024"}
 
     # Building one season again replaces that season only.
-    again = matrix.FeatureConfig(root, str(tmp_path), [2024], ["combined_stats"])
+    again = matrix.FeatureConfig(root, str(tmp_path), [2024], exclude_ids=["Total"])
     matrix.build_features(spark, again)
-    assert catalog.read_features(spark, path).count() == tables["player_stats"].count()
+    totals = tables["player_stats"].where("Player_ID = 'Total' and Season = 2024").count()
+    assert totals and catalog.read_features(spark, path).count() == tables["player_stats"].count() - totals
+
+    fewer = matrix.FeatureConfig(root, str(tmp_path), [2024], ["combined_stats"])
+    with pytest.raises(ValueError, match="columns differ"):
+        matrix.build_features(spark, fewer)
 
 
 def test_season_argument_equals_that_season(tables):
