@@ -30,7 +30,10 @@ from gamelog.llm.textbytes import LOWER, NOT_SPACE, U64, mix, room, row_slices,
 
 #: Shares of a group in the rounds that look for leaders: a large group of copies is first
 #: split by hash, its leaders meet in later rounds.
-ROUND_SHARES = (32, 4, 1, 1)
+ROUND_SHARES = (32, 4, 1, 1, 1)
+#: Leaders that a set is compared with in one round, at most; they are the sets of its group
+#: that hold the most widespread shingles and match no leader before them.
+LEADERS = 12
 KEY_BYTES = 6
 KEY_MASK = np.int64(2 ** (8 * KEY_BYTES) - 1)
 #: Frequencies above this are equal in the order of shingles; any fixed order is right.
@@ -88,7 +91,8 @@ def shared_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     ``tokens`` are the shingles that other sets have too, sorted; ``prefix`` those among
     the first n - ceil(percent n / 100) + 1 of the set in rising frequency, with their
-    places in that order; ``keys`` the minima of several hashes of the tokens.
+    places in that order; ``keys`` the minima of several hashes of the tokens; ``spread`` the
+    mean log frequency of all its shingles: the least edited of many copies has the most.
     """
     buckets = 2 * shuffle_partitions(docs.sparkSession)
 
@@ -126,9 +130,10 @@ def shared_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 continue
             own = n - shared
             tokens = e.at[low:high] & KEY_MASK
+            spread = float(np.log(e.at[low:high] >> (8 * KEY_BYTES)).sum() / n)
             prefix = tokens[: max(0, n - need + 1 - own)]
             keys = [int(mix(tokens.view(U64) + U64(r + 1)).min() >> U64(1)) for r in range(len(ROUND_SHARES))]
-            rows.append((int(e.doc[low]), n, np.sort(tokens).astype("<i8").tobytes(), prefix.tolist(), list(range(own, own + len(prefix))), keys))
+            rows.append((int(e.doc[low]), n, np.sort(tokens).astype("<i8").tobytes(), prefix.tolist(), list(range(own, own + len(prefix))), keys, spread))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SETS)], schema=_SETS) if rows else _SETS.empty_table()
 
     packed = docs.mapInArrow(scan, PACKED).groupBy("bucket").applyInArrow(count, PACKED)
@@ -136,8 +141,8 @@ def shared_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("keys", pa.binary())])
-SETS = "id long, n long, tokens binary, prefix array<long>, places array<int>, keys array<long>"
-_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
+SETS = "id long, n long, tokens binary, prefix array<long>, places array<int>, keys array<long>, spread double"
+_SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("spread", pa.float64())])
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -155,31 +160,35 @@ def _linked(shared, n, m, percent: int):
 
 
 def leader_links(sets: DataFrame, number: int, shares: int, percent: int) -> DataFrame:
-    """(id, leader, beyond): sets that match the first set with their key in one round.
+    """(id, leader, beyond): sets that match a leader among the sets with their key in one round.
 
     ``beyond`` is the number of shingles the set has and its leader has not.
     """
     keyed = sets.select(
-        F.col("keys")[number].alias("key"), F.pmod(F.xxhash64("id"), F.lit(shares)).alias("share"), "id", "n", "tokens"
+        F.col("keys")[number].alias("key"), F.pmod(F.xxhash64("id"), F.lit(shares)).alias("share"), "id", "n", "tokens", "spread"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leader, size, tokens = None, 0, 0, np.empty(0, np.int64)
+        group, leaders = None, []
         for batch in batches:
             rows = []
             for key, share, own, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 mine = np.frombuffer(raw, "<i8")
                 if (key, share) != group:
-                    group, leader, size, tokens = (key, share), own, n, mine
-                    continue
-                both = overlap(mine, tokens)
-                if own != leader and _linked(both, n, size, percent):
-                    rows.append((own, leader, n - both))
+                    group, leaders = (key, share), []
+                for leader, size, tokens in leaders:
+                    both = overlap(mine, tokens)
+                    if own != leader and _linked(both, n, size, percent):
+                        rows.append((own, leader, n - both))
+                        break
+                else:
+                    if len(leaders) < LEADERS:
+                        leaders.append((own, n, mine))
             if rows:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["id", "leader", "beyond"])
 
-    met = keyed.repartition(shuffle_partitions(sets.sparkSession), "key", "share").sortWithinPartitions("key", "share", "id")
-    return met.mapInArrow(run, "id long, leader long, beyond long")
+    met = keyed.repartition(shuffle_partitions(sets.sparkSession), "key", "share").sortWithinPartitions("key", "share", F.desc("spread"), "id")
+    return met.drop("spread").mapInArrow(run, "id long, leader long, beyond long")
 
 
 def grouped_sets(sets: DataFrame, percent: int) -> DataFrame:
@@ -232,10 +241,9 @@ def root_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     met = side(blocks, "a").join(side(blocks, "b"), "token").filter(F.col("root_a") < F.col("root_b"))
     sizes_meet = 100 * F.least("most_a", "most_b") >= percent * F.greatest("least_a", "least_b")
     rest_meets = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("least_a") + F.col("least_b"))
-    groups = (
-        met.filter(sizes_meet & rest_meets)
-        .groupBy(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        .agg(F.max("beyond_a").alias("beyond_a"), F.max("beyond_b").alias("beyond_b"), (F.min("least_a") + F.min("least_b")).alias("least"))
+    met = checkpointed(met.filter(sizes_meet & rest_meets))
+    groups = met.groupBy(F.col("root_a").alias("a"), F.col("root_b").alias("b")).agg(
+        F.max("beyond_a").alias("beyond_a"), F.max("beyond_b").alias("beyond_b"), (F.min("least_a") + F.min("least_b")).alias("least")
     )
     sized = lambda name: sets.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"))
     answered = checkpointed(compared(groups.join(sized("a"), "a").join(sized("b"), "b"), sets))
@@ -246,7 +254,9 @@ def root_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     open_pairs = unsure.select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), F.col("shared").alias("root_shared"))
     sets_a, sets_b = side(postings, "a"), side(postings, "b")
     single = (
-        sets_a.join(open_pairs, "root_a")
+        met.select("token", "root_a", "root_b")
+        .join(open_pairs, ["root_a", "root_b"])
+        .join(sets_a, ["token", "root_a"])
         .join(sets_b, ["token", "root_b"])
         .filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         .filter((100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b")))
