@@ -21,7 +21,7 @@ from gamelog.llm.tables import shuffle_partitions
 from gamelog.llm.textbytes import U64
 
 #: Entries gathered before they are dealt out; bounds a task's memory.
-GATHERED = 600_000
+GATHERED = 400_000
 #: Bytes of the two hashes that name a whole window, beside the bits of the bucket number.
 STRING_BYTES = (5, 4)
 PACKED = "bucket int, meta binary, keys binary"
