@@ -76,7 +76,7 @@ def block_hits(docs: DataFrame, block: int, buckets: int) -> DataFrame:
             one.at = (one.at & ~np.int64(1)) | block_of
             yield from deal(together(one), buckets, (4,))
 
-    return exchange(docs, scan, lambda e: [(HITS, _matches(e)[1])], (4,), HITS)
+    return exchange(docs, scan, lambda e: [(HITS, _matches(e)[1])], (4,), HITS, buckets)
 
 
 def _window_entries(window: int, block: int):

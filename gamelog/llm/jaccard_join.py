@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gamelog.llm.components import connected
-from gamelog.llm.marks import PACKED, Entries, _unpack, changes, deal, gathered, together
+from gamelog.llm.marks import PACKED, PACKED_ARROW, Entries, changes, deal, gathered, together, unpack
 from gamelog.llm.tables import checkpointed, shuffle_partitions, stored
 from gamelog.llm.textbytes import LOWER, NOT_SPACE, U64, mix, room, row_slices, span_codes, utf8, windows, word_spans
 
@@ -106,7 +106,7 @@ def shared_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield from deal(e.take(np.flatnonzero(changes(e.doc, e.keys[0]))), buckets, (KEY_BYTES,))
 
     def count(table: pa.Table) -> pa.Table:
-        e = Entries.joined([_unpack(m, k, (KEY_BYTES,)) for m, k in zip(table["meta"].to_pylist(), table["keys"].to_pylist())])
+        e = Entries.joined([unpack(m, k, (KEY_BYTES,)) for m, k in zip(table["meta"].to_pylist(), table["keys"].to_pylist())])
         e = e.take(np.lexsort((e.doc, e.keys[0])))
         e = e.take(np.flatnonzero(changes(e.doc, e.keys[0])))
         head = np.flatnonzero(changes(e.keys[0]))
@@ -116,10 +116,10 @@ def shared_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
         token = e.keys[0][both].astype(np.int64) | frequency[both] << (8 * KEY_BYTES)
         found = together(Entries(e.doc[both], e.tag[both], token, (mix(e.doc[both].view(U64)),)))
         batches = list(deal(found, buckets, ()))
-        return pa.Table.from_batches(batches) if batches else _PACKED.empty_table()
+        return pa.Table.from_batches(batches) if batches else PACKED_ARROW.empty_table()
 
     def gather(table: pa.Table) -> pa.Table:
-        e = Entries.joined([_unpack(m, None, ()) for m in table["meta"].to_pylist()])
+        e = Entries.joined([unpack(m, None, ()) for m in table["meta"].to_pylist()])
         e = e.take(np.lexsort((e.at, e.doc)))  # by set in rising frequency
         ends = np.append(np.flatnonzero(changes(e.doc)), len(e))
         rows = []
@@ -140,7 +140,6 @@ def shared_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(gather, SETS)
 
 
-_PACKED = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("keys", pa.binary())])
 SETS = "id long, n long, tokens binary, prefix array<long>, places array<int>, keys array<long>, spread double"
 _SETS = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("spread", pa.float64())])
 

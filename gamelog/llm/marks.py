@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from gamelog.llm.byte_bpe import binary_rows
 from gamelog.llm.tables import shuffle_partitions
-from gamelog.llm.textbytes import U64
+from gamelog.llm.textbytes import U64, mix
 
 #: Entries gathered before they are dealt out; bounds a task's memory.
 GATHERED = 400_000
+#: Entries of a bucket judged at a time, by key; bounds what sorting them takes.
+JUDGED = 400_000
 #: Bytes of the two hashes that name a whole window, beside the bits of the bucket number.
 STRING_BYTES = (5, 4)
 PACKED = "bucket int, meta binary, keys binary"
@@ -77,6 +79,11 @@ def _planes(at: np.ndarray) -> bytes:
     return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
+def _numbers(raw: bytes, size: int, at: int) -> np.ndarray:
+    steps = np.frombuffer(raw, np.uint8, 8 * size, at).reshape(8, size)
+    return np.cumsum(np.ascontiguousarray(steps.T).view("<i8").ravel(), dtype=np.int64)
+
+
 def _meta(entries: Entries) -> bytes:
     """Documents once, with the number of their entries, then the steps between positions."""
     new = changes(entries.doc, entries.tag)
@@ -85,7 +92,7 @@ def _meta(entries: Entries) -> bytes:
     raw = b"".join(
         [
             np.array([len(first), len(entries)], "<i8").tobytes(),
-            entries.doc[first].astype("<i8").tobytes(),
+            _planes(entries.doc[first]),
             entries.tag[first].astype("<u4").tobytes(),
             count.astype("<u4").tobytes(),
             _planes(entries.at),
@@ -94,21 +101,20 @@ def _meta(entries: Entries) -> bytes:
     return zstandard.compress(raw, 1)
 
 
-def _unpack(meta: bytes, keys: bytes | None, widths: tuple[int, ...]) -> Entries:
+def unpack(meta: bytes, keys: bytes | None, widths: tuple[int, ...]) -> Entries:
     raw = zstandard.decompress(meta)
     documents, size = np.frombuffer(raw, "<i8", 2)
     at = 16
-    doc = np.frombuffer(raw, "<i8", documents, at)
+    doc = _numbers(raw, documents, at)
     tag = np.frombuffer(raw, "<u4", documents, at := at + 8 * documents)
     count = np.frombuffer(raw, "<u4", documents, at := at + 4 * documents)
-    steps = np.frombuffer(raw, np.uint8, 8 * size, at + 4 * documents).reshape(8, size)
+    place = _numbers(raw, size, at + 4 * documents)
     columns, start = [], 0
     for width in widths if keys is not None else ():
         part = np.zeros((size, 8), np.uint8)
         part[:, :width] = np.frombuffer(keys, np.uint8, size * width, start).reshape(size, width)
         columns.append(part.view("<u8").ravel())
         start += size * width
-    place = np.cumsum(np.ascontiguousarray(steps.T).view("<i8").ravel(), dtype=np.int64)
     return Entries(np.repeat(doc, count), np.repeat(tag, count), place, tuple(columns))
 
 
@@ -149,12 +155,13 @@ def mark_rows(entries: Entries, kind: int) -> list[pa.Array]:
     ]
 
 
+PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("keys", pa.binary())])
 _MARKS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("kind", pa.int32()), ("marks", pa.binary())])
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets follow the session's shuffle partitions, some for each to even them out."""
-    return 4 * shuffle_partitions(docs.sparkSession)
+    """Buckets follow the session's shuffle partitions."""
+    return shuffle_partitions(docs.sparkSession)
 
 
 def exchange(
@@ -163,23 +170,45 @@ def exchange(
     judge: Callable[[Entries], list[tuple[int, Entries]]],
     widths: tuple[int, ...],
     forward_kind: int,
+    buckets: int,
 ) -> DataFrame:
     """Marks that ``judge`` finds among all entries of a bucket, and the forwarded ones.
 
-    Returns (doc, tag, kind, marks), several rows per document and kind.
+    Returns (doc, tag, kind, marks), a row per document and kind (0 or 1). The marks
+    themselves travel packed, dealt by document.
     """
 
     def meet(table: pa.Table) -> pa.Table:
-        direct, parts = [], []
-        for meta, keys in zip(table["meta"].to_pylist(), table["keys"].to_pylist()):
-            (direct if keys is None else parts).append(_unpack(meta, keys, widths))
-        found = [(forward_kind, e) for e in direct]
+        found, parts = [], []
+        for meta, keys in zip(table["meta"], table["keys"]):
+            if keys.is_valid:
+                parts.append(unpack(meta.as_py(), keys.as_py(), widths))
+            else:
+                found.append((forward_kind, unpack(meta.as_py(), None, ())))
         if parts:
-            found += judge(Entries.joined(parts))
-        rows = [mark_rows(e, kind) for kind, e in found if len(e)]
-        return pa.Table.from_arrays([pa.chunked_array(c) for c in zip(*rows)], schema=_MARKS) if rows else _MARKS.empty_table()
-
-    return source.mapInArrow(scan, PACKED).groupBy("bucket").applyInArrow(meet, MARKS)
+            entries = Entries.joined(parts)
+            parts.clear()
+            pieces = len(entries) // JUDGED + 1
+            piece = (entries.keys[0] & U64(0xFFFF)) * U64(pieces) >> U64(16)
+            for k in range(pieces):
+                found += judge(entries.take(np.flatnonzero(piece == k)))
+        if not sum(len(e) for _, e in found):
+            return PACKED_ARROW.empty_table()
+        e = together(Entries.joined([Entries(e.doc, e.tag, 2 * e.at + kind, ()) for kind, e in found]))
+        e.keys = (mix(e.doc.view(U64) + e.tag.astype(U64)),)
+        return pa.Table.from_batches(deal(e, buckets, ()))
+
+    def gather(table: pa.Table) -> pa.Table:
+        e = Entries.joined([unpack(meta.as_py(), None, ()) for meta in table["meta"]])
+        rows = []
+        for kind in (0, 1):
+            part = e.take(np.flatnonzero((e.at & 1) == kind))
+            part.at = part.at >> 1
+            rows.append(mark_rows(part, kind))
+        return pa.Table.from_arrays([pa.chunked_array(c) for c in zip(*rows)], schema=_MARKS)
+
+    packed = source.mapInArrow(scan, PACKED).groupBy("bucket").applyInArrow(meet, PACKED)
+    return packed.groupBy("bucket").applyInArrow(gather, MARKS)
 
 
 def by_document(marks: DataFrame) -> DataFrame:
@@ -225,7 +254,7 @@ def later_windows(
     def judge(entries: Entries) -> list[tuple[int, Entries]]:
         return [(kind, first_places(entries)[1])]
 
-    return exchange(docs_with_marks, scan, judge, STRING_BYTES, kind)
+    return exchange(docs_with_marks, scan, judge, STRING_BYTES, kind, buckets)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], entries_of: Callable[[pa.RecordBatch], Iterator[Entries]]) -> Iterator[Entries]:

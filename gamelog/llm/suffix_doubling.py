@@ -99,7 +99,7 @@ def repeated_spans(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         kinds = np.diff(np.append(head, len(first)))
         return [(REPEATED, later), (OPEN, first.take(np.flatnonzero(np.repeat(kinds > 1, kinds))))]
 
-    return exchange(docs, scan, judge, (4, 8), REPEATED)
+    return exchange(docs, scan, judge, (4, 8), REPEATED, buckets)
 
 
 def _expanded(marks: np.ndarray) -> np.ndarray:
