@@ -37,7 +37,11 @@ HEADLINE = (
     "time_split_folds",
     "forecast_metrics",
     "prediction_table",
+    "linear_cv_metrics",
+    "next_predictions",
+    "permutation_importance",
     "gbt_cv_metrics",
+    "learning_curve",
 )
 
 
