@@ -12,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,12 +162,12 @@ def _ordered(docs: DataFrame) -> DataFrame:
     share = [k / buckets for k in range(1, buckets)]
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", share, 0.2 / buckets)))
     # a NULL id comes last, after the smallest
-    bucket = F.when(
-        F.col("doc_id").isNotNull(),
-        F.size(F.filter(F.array([F.lit(c) for c in cuts]), lambda c: c > F.col("doc_id")))
-        if cuts
-        else F.lit(0),
-    ).otherwise(len(cuts) + 1)
+    place = F.lit(0.0)
+    if cuts:
+        borders = [-float("inf"), *cuts, float("inf")]
+        bins = Bucketizer(splits=borders, inputCol="_id", outputCol="_bin", handleInvalid="keep")
+        docs, place = bins.transform(docs.withColumn("_id", F.col("doc_id").cast("double"))), len(cuts) - F.col("_bin")
+    bucket = F.when(F.col("doc_id").isNotNull(), place).otherwise(len(cuts) + 1)
     docs = docs.select(bucket.cast("int").alias("bucket"), "doc_id", "text")
     heads = docs.groupBy("bucket").agg(F.max("doc_id").alias("doc_id")).orderBy("bucket").collect()
     before = [heads[-1].bucket, *[h.bucket for h in heads]] if heads else []

@@ -36,17 +36,21 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; the text up to the end tag is one piece.
-RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes svg math title".split())
-FURNITURE_TAGS = frozenset("nav footer aside form menu dialog head search button select option datalist fieldset object audio video canvas".split())
+RAW = frozenset(
+    "script style noscript template iframe textarea xmp noembed noframes svg math title button select datalist "
+    "object audio video canvas".split()
+)
+FURNITURE_TAGS = frozenset("nav footer aside form menu dialog head search fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 FURNITURE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie "
-    "cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
-    "signup login sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager "
-    "toolbar topbar footer comment comments respond disqus replies share sharing social related recommended "
+    "ad ads adbox adslot adunit adbanner adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie "
+    "cookies cookiebar cookiebanner consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription "
+    "signup login sidebar sidebars aside nav navbar sidenav subnav topnav navigation menu menus breadcrumb breadcrumbs pagination pager "
+    "toolbar topbar footer comment comments commentlist commentform respond disqus replies share sharing social related recommended "
     "widget widgets masthead copyright form search skip".split()
 )
-MAIN_WORDS = frozenset(("articlebody",))
+#: A part named header is furniture unless it is an article's own.
+OWN_HEADER = frozenset(("article", "entry", "post", "content", "story"))
 CLOSED_BY = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"),
@@ -71,8 +75,8 @@ class Node:
     label: str
     path: int
     furniture: bool
-    main: bool
-    depth_main: bool  # lies in an article
+    main: int  # 2 for an article, 1 for the main part of a page
+    depth_main: bool  # lies in one of these
     children: list = field(default_factory=list)
     parts: list = field(default_factory=list)  # pieces of the text block being read
 
@@ -84,17 +88,21 @@ class Node:
                 self.children.append(text)
 
 
-def _label(tag: str, raw: str) -> tuple[str, bool, bool]:
+def _label(tag: str, raw: str) -> tuple[str, bool, int]:
     """The label of an element, whether it says furniture, and whether it says main text."""
+    main = {"article": 2, "main": 1}.get(tag, 0)
     if not raw or not NAMED.search(raw):
-        return tag, tag in FURNITURE_TAGS, tag in ("article", "main")
+        return tag, tag in FURNITURE_TAGS, main
     found = {}
     for name, value in ATTRIBUTE.findall(raw):
         found.setdefault(name.lower(), html.unescape(value.strip("\"'")).lower())
     words = WORD.findall(re.sub(r"([a-z])\d+|\d", r"\1 ", f"{found.get('class', '')} {found.get('id', '')}"))
     role = found.get("role", "")
     hidden = "hidden" in found or found.get("aria-hidden") == "true"
-    main = tag in ("article", "main") or role in ("main", "article") or found.get("itemprop") == "articlebody" or bool(MAIN_WORDS & set(words))
+    if role == "article" or found.get("itemprop") == "articlebody":
+        main = 2
+    elif role == "main":
+        main = max(main, 1)
     furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or hidden or bool(FURNITURE_WORDS & set(words))
     return " ".join([tag, *sorted({*words, *([role] if role else [])})]), furniture, main
 
@@ -103,8 +111,8 @@ def parse(page: str) -> Node:
     """The block elements of a page as a tree. Unclosed, misnested and cut-off markup is
     repaired as browsers do for paragraphs, list items and table cells; inline elements
     leave no trace but their text; a line break is white space."""
-    root = Node("#root", "#root", 0, False, False, False)
-    stack, at, skip = [root], 0, 0  # skip: depth of hidden inline elements is not tracked
+    root = Node("#root", "#root", 0, False, 0, False)
+    stack, at = [root], 0
     end = len(page)
     match = MARKUP.search(page)
     while at < end:
@@ -162,10 +170,11 @@ def _step(stack: list[Node], tag: str, raw: str, closing: bool) -> None:
     if tag == "hr":
         return
     label, furniture, main = _label(tag, raw)
-    if tag == "header":
+    named = set(label.split())
+    if "header" in named and not named & OWN_HEADER:
         furniture = furniture or not (above.main or above.depth_main)
     path = xxhash.xxh64_intdigest(label, above.path & (2**64 - 1))
-    node = Node(tag, label, path - 2**63, furniture, main, above.main or above.depth_main)
+    node = Node(tag, label, path - 2**63, furniture, main, bool(above.main or above.depth_main))
     above.children.append(node)
     stack.append(node)
 
@@ -224,13 +233,13 @@ def composite_importance(root: Node, importance: dict[int, tuple[float, float]])
 def main_text(root: Node, importance: dict[int, tuple[float, float]], least: float) -> str:
     """The blocks of the branches that stay, in page order, joined by line ends.
 
-    Where articles are marked, only what lies in them and in no furniture stays, whatever
-    its entropy. Elsewhere furniture and branches below ``least`` go; if that leaves
+    Where articles are marked (or else a main part), only what lies in them and in no
+    furniture stays, whatever its entropy. Elsewhere furniture and branches below ``least`` go; if that leaves
     nothing, only furniture goes.
     """
-    marked = any(n.main for n in _walk_plain(root))
+    marked = max(n.main for n in _walk_plain(root))
     if marked:
-        return "\n".join(_blocks(root, lambda *_: True, False))
+        return "\n".join(_blocks(root, lambda *_: True, marked))
     value = composite_importance(root, importance)
 
     def stays(item: Node | str, node: Node) -> bool:
@@ -238,7 +247,7 @@ def main_text(root: Node, importance: dict[int, tuple[float, float]], least: flo
             return importance.get(node.path, (1.0, 1.0))[1] >= least
         return value[id(item)][1] >= least
 
-    return "\n".join(list(_blocks(root, stays, True)) or _blocks(root, lambda *_: True, True))
+    return "\n".join(list(_blocks(root, stays, 0)) or _blocks(root, lambda *_: True, 0))
 
 
 def _walk_plain(root: Node) -> Iterator[Node]:
@@ -250,15 +259,16 @@ def _walk_plain(root: Node) -> Iterator[Node]:
         todo += [c for c in node.children if isinstance(c, Node) and not c.furniture]
 
 
-def _blocks(root: Node, stays, inside: bool) -> Iterator[str]:
-    todo: list = [(root, inside)]
+def _blocks(root: Node, stays, marked: int) -> Iterator[str]:
+    """Text blocks in page order, of nodes marked as ``marked`` (of all nodes if 0)."""
+    todo: list = [(root, False)]
     while todo:
         node, on = todo.pop()
         if isinstance(node, str):
             if on:
                 yield node
             continue
-        on = on or node.main
+        on = on or node.main >= marked
         todo += [
             (c, on) for c in reversed(node.children) if not (isinstance(c, Node) and c.furniture) and stays(c, node)
         ]
