@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gamelog.llm.tables import find_package
 from gamelog.llm.textbytes import U64, mix, ranges, row_slices, utf8
 
 NO_PAIR = np.int32(2**31 - 1)
@@ -215,6 +216,7 @@ def encode_documents(docs: DataFrame, tokens: list[bytes], pattern: str) -> Data
     as large as the vocabulary, whatever the number of documents.
     """
     spark = docs.sparkSession
+    find_package(spark)
     shared = spark.sparkContext.broadcast((tokens, pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -46,5 +46,92 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 """
 
 
+#: 20-word windows that also start earlier, and what is left of each document.
+WORD_WINDOWS = """
+WITH split AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+    FROM documents
+), starts AS (
+    SELECT doc_id, words, unnest(generate_series(1, len(words) - 19)) AS s FROM split WHERE len(words) >= 20
+), named AS (
+    SELECT doc_id, s, md5(array_to_string(words[s:s + 19], ' ')) AS h FROM starts
+), later AS (
+    SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM named) WHERE k > 1
+), gone AS (
+    SELECT DISTINCT doc_id, s + o AS i FROM later, generate_series(0, 19) AS g(o)
+), left_over AS (
+    SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS kept, count(*) AS n
+    FROM (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM split) w
+    LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i
+    WHERE g.i IS NULL GROUP BY w.doc_id
+)
+SELECT split.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM split LEFT JOIN left_over USING (doc_id)
+"""
+
+#: The same for 100-byte strings, written as hexadecimal digits.
+BYTE_STRINGS = """
+WITH raw AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits, strlen(coalesce(text, '')) AS n FROM documents
+), named AS (
+    SELECT doc_id, s, md5(substr(digits, 2 * s + 1, 200)) AS h
+    FROM (SELECT doc_id, digits, unnest(generate_series(0, n - 100)) AS s FROM raw WHERE n >= 100)
+), later AS (
+    SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS k FROM named) WHERE k > 1
+), edges AS (
+    SELECT *, max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached
+    FROM later
+), runs AS (
+    SELECT *, sum(CASE WHEN reached IS NULL OR s > reached THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run
+    FROM edges
+), spans AS (
+    SELECT doc_id, run, min(s) AS low, max(s) + 100 AS high FROM runs GROUP BY doc_id, run
+), pieces AS (
+    SELECT doc_id, coalesce(lag(high) OVER w, 0) AS low, low AS high FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY low)
+    UNION ALL SELECT raw.doc_id, coalesce(max(high), 0), n FROM raw LEFT JOIN spans USING (doc_id) GROUP BY raw.doc_id, n
+), left_over AS (
+    SELECT doc_id, string_agg(substr(digits, 2 * low + 1, 2 * (high - low)), '' ORDER BY low) AS kept
+    FROM pieces JOIN raw USING (doc_id) GROUP BY doc_id
+), counted AS (
+    SELECT doc_id, count(*) AS n_spans, sum(high - low) AS n_removed FROM spans GROUP BY doc_id
+)
+SELECT raw.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+    coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM raw JOIN left_over USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+#: Sets of 4-word shingles, links from 85 per cent, and what can be reached by links.
+JACCARD = """
+WITH RECURSIVE split AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+    FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, md5(array_to_string(words[s:s + 3], ' ')) AS h
+    FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 3, 1))) AS s FROM split WHERE len(words) > 0)
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b
+    FROM shingles a JOIN shingles b ON a.h = b.h AND a.doc_id <> b.doc_id
+        JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+    GROUP BY a.doc_id, b.doc_id, x.n, y.n
+    HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))
+), reached AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN reached r ON r.a = d.doc_id
+GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mixing": MIXING, "op6_va_file": TOP_K}
+    return {
+        "op2_jaccard_join": JACCARD,
+        "op3_source_mixing": MIXING,
+        "op5_suffix_doubling": BYTE_STRINGS,
+        "op6_va_file": TOP_K,
+        "op9_block_anchors": WORD_WINDOWS,
+    }

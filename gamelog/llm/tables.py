@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,20 @@ from gamelog.session import require_checkpoint_dir
 NULL_ID = -(2**63)
 
 
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver found it.
+
+    Needed where the path is known to the driver's process only; a cluster that ships the
+    package itself is not disturbed.
+    """
+    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    find_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -23,6 +38,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def keyed(docs: DataFrame, *columns) -> DataFrame:
     """(doc, tag, columns): the id with NULL first, and a checksum of the text."""
+    find_package(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
     return docs.select(doc.alias("doc"), F.crc32(text.cast("binary")).alias("tag"), *columns)
