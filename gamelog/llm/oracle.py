@@ -1,5 +1,7 @@
 """SQL twins of the registered queries that SQL can express."""
 
+from gamelog.llm import license_scan
+
 #: Poisson replication at the default parameters: power 0.5, one epoch, seed "mix".
 MIXING = """
 WITH sizes AS (
@@ -127,11 +129,77 @@ GROUP BY d.doc_id
 """
 
 
+#: The blocks of the article of the test pages: headings, paragraphs, bold type.
+ARTICLES = """
+WITH bodies AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages
+), blocks AS (
+    SELECT page_id, url, list_transform(string_split_regex(body, '</?p>|</?h1>|<br>'), lambda x:
+        trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '</?b>', '', 'g'),
+            '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS texts
+    FROM bodies
+), joined AS (
+    SELECT page_id, url, array_to_string(list_filter(texts, lambda x: x <> ''), chr(10)) AS text FROM blocks
+)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM joined
+"""
+
+
+def _licenses() -> str:
+    """Votes of word 3-grams per diagonal of every template, and what they add up to."""
+    rows = [
+        (gram, template, at, size, label, template in license_scan.BASE_PHRASES)
+        for templates in (license_scan.BASE_PHRASES, license_scan.NOTICES)
+        for gram, template, at, size in license_scan.template_positions(templates, license_scan.K)
+        for label in (templates[template],)
+    ]
+    values = ", ".join(f"('{g}', '{t}', {at}, {size}, '{label}', {base})" for g, t, at, size, label, base in rows)
+    return f"""
+WITH templates(gram, template, pos, size, label, base) AS (VALUES {values}
+), split AS (
+    SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+    FROM documents
+), grams AS (
+    SELECT row_no, s - 1 AS place, array_to_string(words[s:s + 2], ' ') AS gram
+    FROM (SELECT row_no, words, unnest(generate_series(1, len(words) - 2)) AS s FROM split WHERE len(words) > 2)
+), lines AS (
+    SELECT row_no, template, size, label, base, place - pos AS diagonal, list(DISTINCT pos) AS ats
+    FROM grams JOIN templates USING (gram) GROUP BY ALL
+), whole AS (
+    SELECT row_no, label, diagonal FROM lines WHERE base AND len(ats) = size
+), numbered AS (
+    SELECT *, sum(apart) OVER (PARTITION BY row_no, template ORDER BY diagonal) AS span FROM (
+        SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row_no, template ORDER BY diagonal)
+            <= {license_scan.NEAR_DIAGONALS} THEN 0 ELSE 1 END AS apart
+        FROM lines WHERE NOT base)
+), parts AS (
+    SELECT row_no, label, count(DISTINCT pos)::DOUBLE / size AS share
+    FROM (SELECT row_no, label, template, size, span, unnest(ats) AS pos FROM numbered)
+    GROUP BY row_no, label, template, size, span HAVING count(DISTINCT pos)::DOUBLE / size >= {license_scan.LEAST_SHARE}
+), found AS (
+    SELECT row_no, label, diagonal, 1.0 AS share FROM whole UNION ALL SELECT row_no, label, NULL, share FROM parts
+), summed AS (
+    SELECT row_no, count(diagonal) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word,
+        string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE diagonal IS NOT NULL) AS base_labels,
+        string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+    FROM found GROUP BY row_no
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+    last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    coalesce(score, 0)::DOUBLE AS score
+FROM split LEFT JOIN summed USING (row_no)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_site_style_tree": ARTICLES,
         "op2_jaccard_join": JACCARD,
         "op3_source_mixing": MIXING,
         "op5_suffix_doubling": BYTE_STRINGS,
         "op6_va_file": TOP_K,
+        "op7_license_scan": _licenses(),
         "op9_block_anchors": WORD_WINDOWS,
     }

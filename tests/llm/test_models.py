@@ -20,7 +20,7 @@ TINY = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(oracle.oracle_sql()))
 def test_sql_twins(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "pages"):
         con.execute(f"create view {table} as select * from '{TINY}/{table}.parquet'")
     assert difference(queries.registered()[name](spark, TINY), con, oracle.oracle_sql()[name]) is None
 
