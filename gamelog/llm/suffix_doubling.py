@@ -75,9 +75,11 @@ def _span_entries(length: int):
             stop = _string_names(names, size, last, length)
             span = mix(begin[0] + mix(stop[0] + run.astype(U64)))
             check = mix(begin[1] ^ mix(stop[1]))
+            # named apart from the rank, which is low for all that were chosen
+            anchor = names[least[head].astype(np.int64)]
             row = row[head]
             at = (first - offsets[row]) << LENGTH_BITS | run
-            yield Entries(doc[row], tag[row], at, (mix(names[least[head].astype(np.int64)]), span ^ (check << U64(1))))
+            yield Entries(doc[row], tag[row], at, (mix(mix(anchor) + U64(1)), span ^ (check << U64(1))))
 
     return entries
 
