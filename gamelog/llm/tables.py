@@ -67,6 +67,10 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A small table cut from its lineage by a checkpoint."""
+    """A table without texts, cut from its lineage by a checkpoint.
+
+    It has an eighth of the session's shuffle partitions: every later shuffle of it writes
+    files per partition, and such tables are many and small beside the documents.
+    """
     require_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(max(4, shuffle_partitions(df.sparkSession) // 8)).checkpoint(eager=True)
