@@ -22,7 +22,7 @@ from gamelog.llm.textbytes import U64, mix, row_slices, utf8, windows
 ORDERS = (3, 4, 5)
 BUCKET_BITS = 19
 #: Labelled rows that the regression is fitted on, at most; the ratios use all of them.
-FIT_ROWS = 4096
+FIT_ROWS = 2500
 SMOOTHING = 1.0
 #: Ratios nearer to 0 than this many standard errors are taken as 0.
 LEAST_Z = 2.0
