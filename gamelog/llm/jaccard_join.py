@@ -247,9 +247,11 @@ def root_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     sized = lambda name: sets.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"))
     answered = checkpointed(compared(groups.join(sized("a"), "a").join(sized("b"), "b"), sets))
     yes = _linked(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)
-    # the roots' answer bounds that of all sets behind them
+    # the roots' answer bounds that of all sets behind them; it is final where there are only roots
+    # (another set has shingles beyond its root, or fewer than it)
     reach = F.col("shared") + F.col("beyond_a") + F.col("beyond_b")
-    unsure = answered.filter(~yes & (F.col("beyond_a") + F.col("beyond_b") > 0) & ((100 + percent) * reach >= percent * F.col("least")))
+    others = (F.col("beyond_a") + F.col("beyond_b") > 0) | (F.col("least") < F.col("n_a") + F.col("n_b"))
+    unsure = answered.filter(~yes & others & ((100 + percent) * reach >= percent * F.col("least")))
     open_pairs = unsure.select(F.col("a").alias("root_a"), F.col("b").alias("root_b"), F.col("shared").alias("root_shared"))
     sets_a, sets_b = side(postings, "a"), side(postings, "b")
     single = (

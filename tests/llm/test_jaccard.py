@@ -80,6 +80,21 @@ def test_families_around_the_threshold(spark, seed):
     assert 8 < len({c for _, c in want.values()}) < len(texts)
 
 
+def test_smaller_sets_link_where_their_leaders_do_not(spark):
+    """x-A, y-B and x-y match, A-B do not. A and B end in widespread words, so they lead;
+    x and y are subsets of them."""
+    few, rows = [f"few{i}" for i in range(20)], []
+    for family in range(12):
+        core = [f"core{family}_{i}" for i in range(95)]
+        own = [[f"own{family}_{s}_{i}" for i in range(5)] for s in "xy"]
+        x, y = core + own[0], core + own[1]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate((x, y, x + few[:10], y + few[10:]))]
+    texts = [" ".join(few + [f"rest{k}_{i}" for i in range(40)]) for k in range(60)]
+    rows += [(len(rows) + k, t) for k, t in enumerate(texts)]
+    want = check(spark, rows, 1, 85)
+    assert len({c for _, c in want.values()}) == 12 + 60
+
+
 def test_default_threshold(spark, rows):
     check(spark, rows[:60], 5, 80)
 
