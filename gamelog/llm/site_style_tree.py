@@ -49,6 +49,10 @@ FURNITURE_WORDS = frozenset(
     "toolbar topbar footer comment comments commentlist commentform respond disqus replies share sharing social related recommended "
     "widget widgets masthead copyright form search skip".split()
 )
+#: Elements that class and id never make furniture; nor do they what is around a body or main part.
+TEXT_TAGS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+#: Elements whose id names a place on the page; other ids are made from headings.
+PLACES = frozenset("div ul table td".split())
 #: A part named header is furniture unless it is an article's own.
 OWN_HEADER = frozenset(("article", "entry", "post", "content", "story"))
 CLOSED_BY = {
@@ -64,6 +68,7 @@ MARKUP = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAMED = re.compile(r"class|id|role|hidden|itemprop|aria-", re.I)
 WORD = re.compile(r"[a-z]+")
+NO_LETTERS = re.compile(r"[\W\d_]+")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
@@ -75,6 +80,7 @@ class Node:
     label: str
     path: int
     furniture: bool
+    worded: bool  # furniture by class or id alone
     main: int  # 2 for an article, 1 for the main part of a page
     depth_main: bool  # lies in one of these
     children: list = field(default_factory=list)
@@ -88,11 +94,15 @@ class Node:
                 self.children.append(text)
 
 
-def _label(tag: str, raw: str) -> tuple[str, bool, int]:
-    """The label of an element, whether it says furniture, and whether it says main text."""
+def _label(tag: str, raw: str) -> tuple[str, bool, set[str], int]:
+    """The label of an element, whether its tag or role says furniture, what its class and
+    id name it, and whether it says main text.
+
+    A class or the id of a place names the element if all its words are furniture words.
+    """
     main = {"article": 2, "main": 1}.get(tag, 0)
     if not raw or not NAMED.search(raw):
-        return tag, tag in FURNITURE_TAGS, main
+        return tag, tag in FURNITURE_TAGS, set(), main
     found = {}
     for name, value in ATTRIBUTE.findall(raw):
         found.setdefault(name.lower(), html.unescape(value.strip("\"'")).lower())
@@ -103,15 +113,20 @@ def _label(tag: str, raw: str) -> tuple[str, bool, int]:
         main = 2
     elif role == "main":
         main = max(main, 1)
-    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or hidden or bool(FURNITURE_WORDS & set(words))
-    return " ".join([tag, *sorted({*words, *([role] if role else [])})]), furniture, main
+    tokens = found.get("class", "").split()
+    if tag in PLACES and "section" not in tokens:
+        tokens += found.get("id", "").split()
+    parts = [set(NO_LETTERS.split(token)) - {""} for token in tokens]
+    names = set() if main or tag in TEXT_TAGS else set().union(*(p for p in parts if p <= FURNITURE_WORDS or p == {"header"}))
+    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or hidden
+    return " ".join([tag, *sorted({*words, *([role] if role else [])})]), furniture, names, main
 
 
 def parse(page: str) -> Node:
     """The block elements of a page as a tree. Unclosed, misnested and cut-off markup is
     repaired as browsers do for paragraphs, list items and table cells; inline elements
     leave no trace but their text; a line break is white space."""
-    root = Node("#root", "#root", 0, False, 0, False)
+    root = Node("#root", "#root", 0, False, False, 0, False)
     stack, at = [root], 0
     end = len(page)
     match = MARKUP.search(page)
@@ -136,9 +151,34 @@ def parse(page: str) -> Node:
         match = MARKUP.search(page, at)
     while stack:
         stack.pop().close_block()
+    _unlabel(root)
     return root
 
 
+def _unlabel(root: Node) -> None:
+    """Class and id around articles do not count if the articles in parts that they name
+    furniture hold more text than the other main parts of the page."""
+    plain, named, around = 0, 0, []
+    todo: list[tuple[Node, int, tuple[Node, ...]]] = [(root, 0, ())]
+    while todo:
+        node, level, wraps = todo.pop()
+        if node.furniture and (level == 2 or not node.worded):
+            continue
+        if node.worded:
+            wraps = (*wraps, node)
+        level = max(level, node.main)
+        size = sum(len(c) for c in node.children if isinstance(c, str)) if level else 0
+        if not wraps:
+            plain += size
+        elif level == 2:
+            named += size
+            around += wraps
+        todo += [(c, level, wraps) for c in node.children if isinstance(c, Node)]
+    if named > plain:
+        for node in around:
+            node.furniture = node.worded = False
+
+
 def _step(stack: list[Node], tag: str, raw: str, closing: bool) -> None:
     if closing:
         for k in range(len(stack) - 1, 0, -1):
@@ -169,12 +209,15 @@ def _step(stack: list[Node], tag: str, raw: str, closing: bool) -> None:
     above.close_block()
     if tag == "hr":
         return
-    label, furniture, main = _label(tag, raw)
-    named = set(label.split())
-    if "header" in named and not named & OWN_HEADER:
-        furniture = furniture or not (above.main or above.depth_main)
+    label, furniture, names, main = _label(tag, raw)
+    own = bool(above.main or above.depth_main or set(label.split()) & OWN_HEADER)
+    furniture = furniture or (tag == "header" and not own)
+    worded = not furniture and bool(names & FURNITURE_WORDS or ("header" in names and not own))
+    if (main == 1 or tag == "body") and not furniture and not any(n.furniture and not n.worded for n in stack):
+        for around in stack:
+            around.furniture = around.worded = False
     path = xxhash.xxh64_intdigest(label, above.path & (2**64 - 1))
-    node = Node(tag, label, path - 2**63, furniture, main, bool(above.main or above.depth_main))
+    node = Node(tag, label, path - 2**63, furniture or worded, worded, main, bool(above.main or above.depth_main))
     above.children.append(node)
     stack.append(node)
 
@@ -235,11 +278,11 @@ def main_text(root: Node, importance: dict[int, tuple[float, float]], least: flo
 
     Where articles are marked (or else a main part), only what lies in them and in no
     furniture stays, whatever its entropy. Elsewhere furniture and branches below ``least`` go; if that leaves
-    nothing, only furniture goes.
+    nothing, only furniture goes; if the page is all furniture, it stays.
     """
     marked = max(n.main for n in _walk_plain(root))
-    if marked:
-        return "\n".join(_blocks(root, lambda *_: True, marked))
+    if marked and (text := list(_blocks(root, lambda *_: True, marked))):
+        return "\n".join(text)
     value = composite_importance(root, importance)
 
     def stays(item: Node | str, node: Node) -> bool:
@@ -247,7 +290,10 @@ def main_text(root: Node, importance: dict[int, tuple[float, float]], least: flo
             return importance.get(node.path, (1.0, 1.0))[1] >= least
         return value[id(item)][1] >= least
 
-    return "\n".join(list(_blocks(root, stays, 0)) or _blocks(root, lambda *_: True, 0))
+    everything = lambda *_: True
+    return "\n".join(
+        list(_blocks(root, stays, 0)) or list(_blocks(root, everything, 0)) or _blocks(root, everything, 0, furniture=True)
+    )
 
 
 def _walk_plain(root: Node) -> Iterator[Node]:
@@ -259,8 +305,9 @@ def _walk_plain(root: Node) -> Iterator[Node]:
         todo += [c for c in node.children if isinstance(c, Node) and not c.furniture]
 
 
-def _blocks(root: Node, stays, marked: int) -> Iterator[str]:
-    """Text blocks in page order, of nodes marked as ``marked`` (of all nodes if 0)."""
+def _blocks(root: Node, stays, marked: int, furniture: bool = False) -> Iterator[str]:
+    """Text blocks in page order, of nodes marked as ``marked`` (of all nodes if 0), outside
+    of furniture unless ``furniture``."""
     todo: list = [(root, False)]
     while todo:
         node, on = todo.pop()
@@ -270,7 +317,7 @@ def _blocks(root: Node, stays, marked: int) -> Iterator[str]:
             continue
         on = on or node.main >= marked
         todo += [
-            (c, on) for c in reversed(node.children) if not (isinstance(c, Node) and c.furniture) and stays(c, node)
+            (c, on) for c in reversed(node.children) if not (isinstance(c, Node) and c.furniture and not furniture) and stays(c, node)
         ]
 
 

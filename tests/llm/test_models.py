@@ -136,6 +136,23 @@ def test_article_text():
     assert text.split("\n") == ["A & B", "First line.", "Second one in line 1 < 2", "x", "y", "c1", "c2"]
 
 
+@pytest.mark.parametrize("page, want", [
+    ('<body class="single no-sidebar search"><div class=widget><article class="post has-sidebar comments"><p>one<p>two</article></div>', ["one", "two"]),
+    ('<body class="has-header"><div class=text><p>one</div><div class="nav menu">x</div><div class=cookie-notice>y</div>', ["one"]),
+    ('<article><h2 id="related-work">a</h2><h3 id=search class=header>b</h3><section id="search-methods">c</section><section id=notices>d</section>'
+     '<div class="section" id="search">e</div><div class="social-impact">f</div><div id="comments">g</div><p class="related">h</p></article>',
+     ["a", "b", "c", "d", "e", "f"]),
+    ('<article>one two<div class=comments><article>x y z, x y z</article></div></article><div class=related><article>x</article></div>', ["one two"]),
+    ('<div class=widget><article>one two</article></div><article>x</article>', ["one two", "x"]),
+    ("<div class=sidebar><main>one</main></div><div class=sidebar>x</div>", ["one"]),
+    ("<article></article><div>one</div>", ["one"]),
+    ("<body><aside><article>x</article></aside><div class=sidebar><aside><article>y</article></aside></div><p>one", ["one"]),
+    ("<body><form><p>one</p></form><nav>two</nav>", ["one", "two"]),
+])
+def test_labels_cut_no_text(page, want):
+    assert site_style_tree.main_text(site_style_tree.parse(page), {}, 0.2).split("\n") == want
+
+
 def site(n, host):
     """Pages without an article element: a fixed strip and a fixed note around changing text."""
     rng = random.Random(n)
