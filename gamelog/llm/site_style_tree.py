@@ -6,8 +6,9 @@ sequences (presentation) and of its text blocks (content). On a page, a branch's
 importance mixes its own entropy with that of its branches; branches of low importance go.
 
 Labels are part of the evidence: a branch whose tag, role or class says menu, advert, form
-and so on has no importance, and an article has full importance, because a host with one
-page has no entropy and copies of one article on a host have none between them.
+and so on has no importance, and an article stays whatever its importance, because a host
+with one page has no entropy and copies of one article on a host have none between them. It
+gives way only to a longer text of importance outside of it.
 """
 
 from __future__ import annotations
@@ -276,13 +277,10 @@ def composite_importance(root: Node, importance: dict[int, tuple[float, float]])
 def main_text(root: Node, importance: dict[int, tuple[float, float]], least: float) -> str:
     """The blocks of the branches that stay, in page order, joined by line ends.
 
-    Where articles are marked (or else a main part), only what lies in them and in no
-    furniture stays, whatever its entropy. Elsewhere furniture and branches below ``least`` go; if that leaves
-    nothing, only furniture goes; if the page is all furniture, it stays.
+    Where articles or else a main part are marked, these decide (``_marked_blocks``).
+    Elsewhere furniture and branches below ``least`` go; if that leaves nothing, only
+    furniture goes; if the page is all furniture, it stays.
     """
-    marked = max(n.main for n in _walk_plain(root))
-    if marked and (text := list(_blocks(root, lambda *_: True, marked))):
-        return "\n".join(text)
     value = composite_importance(root, importance)
 
     def stays(item: Node | str, node: Node) -> bool:
@@ -290,34 +288,68 @@ def main_text(root: Node, importance: dict[int, tuple[float, float]], least: flo
             return importance.get(node.path, (1.0, 1.0))[1] >= least
         return value[id(item)][1] >= least
 
+    if text := _marked_blocks(root, stays):
+        return "\n".join(text)
     everything = lambda *_: True
     return "\n".join(
-        list(_blocks(root, stays, 0)) or list(_blocks(root, everything, 0)) or _blocks(root, everything, 0, furniture=True)
+        list(_blocks(root, stays)) or list(_blocks(root, everything)) or _blocks(root, everything, furniture=True)
     )
 
 
-def _walk_plain(root: Node) -> Iterator[Node]:
-    """Nodes that lie in no furniture."""
-    todo = [root]
+def _marked_blocks(root: Node, stays) -> list[str]:
+    """The text blocks of marked parts outside of furniture, in page order.
+
+    Without articles, those of the main part. Articles are strong evidence: with them, text
+    outside of them needs importance, and to lie in the main part or, if that has none, to
+    be longer than all articles of importance. An article of no importance goes if the text
+    that stays outside is longer than it (a card next to the text, not a copied text).
+    """
+    blocks: list[tuple[str, int, Node | None, bool]] = []  # text, mark, its article, importance
+    todo: list = [(root, 0, None, True)]
+    strong: dict[int, bool] = {}
     while todo:
-        node = todo.pop()
-        yield node
-        todo += [c for c in node.children if isinstance(c, Node) and not c.furniture]
+        node, mark, article, high = todo.pop()
+        if isinstance(node, str):
+            blocks.append((node, mark, article, high))
+            continue
+        mark = max(mark, node.main)
+        if mark == 2 and article is None:
+            article = node
+            strong[id(node)] = high
+        todo += [
+            (c, mark, article, high and stays(c, node))
+            for c in reversed(node.children)
+            if not (isinstance(c, Node) and c.furniture)
+        ]
+    sizes: dict[int, int] = {}
+    for text, _, article, _ in blocks:
+        if article is not None:
+            sizes[id(article)] = sizes.get(id(article), 0) + len(text)
+    inside = any(mark == 1 for _, mark, *_ in blocks)
+    if not sizes:
+        return [text for text, mark, *_ in blocks if mark == 1]
+    around = int(inside)
+    outside = sum(len(text) for text, mark, _, high in blocks if mark == around and high)
+    if not inside and outside <= sum(size for key, size in sizes.items() if strong[key]):
+        outside = 0
+    return [
+        text
+        for text, mark, article, high in blocks
+        if (outside and mark == around and high)
+        or (article is not None and (strong[id(article)] or sizes[id(article)] >= outside))
+    ]
 
 
-def _blocks(root: Node, stays, marked: int, furniture: bool = False) -> Iterator[str]:
-    """Text blocks in page order, of nodes marked as ``marked`` (of all nodes if 0), outside
-    of furniture unless ``furniture``."""
-    todo: list = [(root, False)]
+def _blocks(root: Node, stays, furniture: bool = False) -> Iterator[str]:
+    """Text blocks in page order, outside of furniture unless ``furniture``."""
+    todo: list = [root]
     while todo:
-        node, on = todo.pop()
+        node = todo.pop()
         if isinstance(node, str):
-            if on:
-                yield node
+            yield node
             continue
-        on = on or node.main >= marked
         todo += [
-            (c, on) for c in reversed(node.children) if not (isinstance(c, Node) and c.furniture and not furniture) and stays(c, node)
+            c for c in reversed(node.children) if not (isinstance(c, Node) and c.furniture and not furniture) and stays(c, node)
         ]
 
 

@@ -173,3 +173,30 @@ def test_entropy_removes_what_all_pages_of_a_site_share(spark):
     assert "Daily" in text[30]  # one page says nothing about its site
     assert text[100] == text[101] == "" and text[None] == "alone" and text[102].startswith("cut")
     assert site_style_tree.extract_main_text(df.limit(0)).count() == 0
+
+
+def cards(n, host, frame):
+    """Pages whose own text stands beside the same three articles."""
+    rng = random.Random(host)
+    for i in range(n):
+        body = "".join(f"<p>{' '.join(str(rng.random()) for _ in range(9))}</p>" for _ in range(2))
+        yield f"http://{host}/{i}", frame.format(f"<div class=text>{body}</div>")
+
+
+def test_articles_beside_the_text(spark):
+    teasers = "".join(f"<article><h3>Card {k}</h3><p>Read on</p></article>" for k in range(3))
+    copied = "<article><h1>Copied</h1>" + "<p>the same long text</p>" * 40 + "</article>"
+    frames = {
+        "main": f"<body><main>{{}}<div class=cards>{teasers}</div></main>",
+        "below": f"<body><main>{{}}</main><div class=cards>{teasers}</div>",
+        "div": f"<body>{{}}<div class=cards>{teasers}</div>",
+        "copies": f"<body><main>{{}}{copied}</main>",
+    }
+    pages = [(f"{name}{n}", *p) for name, frame in frames.items() for n in (20, 1) for p in cards(n, f"{name}{n}.example", frame)]
+    df = spark.createDataFrame([(i, *p[1:]) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in site_style_tree.extract_main_text(df.repartition(3)).collect()}
+    for i, (name, _, page) in enumerate(pages):
+        own = [b.split("</p>")[0] for b in page.split("<div class=text>")[1].split("</div>")[0].split("<p>")[1:]]
+        assert got[i].split("\n")[:2] == own
+        assert ("Card" in got[i]) == (name in ("main1", "below1", "div1"))  # one page says nothing about its site
+        assert ("Copied" in got[i]) == name.startswith("copies")
