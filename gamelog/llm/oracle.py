@@ -193,6 +193,87 @@ FROM split LEFT JOIN summed USING (row_no)
 """
 
 
+#: Links from 80 per cent, and whether a document leads its component.
+NEAR_DUPLICATES = f"SELECT *, doc_id = component_id AS kept FROM ({JACCARD.replace('>= 85 *', '>= 80 *')})"
+
+
+def _collocations() -> str:
+    """All phrases of up to four words counted, cut at every place, and the contained ones dropped."""
+    grams = " UNION ALL ".join(
+        f"SELECT lang, {k} AS k, list_slice(w, s, s + {k - 1}) AS p FROM (SELECT lang, w, unnest(generate_series(1, len(w) - {k - 1})) AS s FROM pieces)"
+        for k in range(1, 5)
+    )
+    cuts = " UNION ALL ".join(f"SELECT *, {k} AS cut FROM often WHERE k > {k}" for k in range(1, 4))
+    return f"""
+WITH pieces AS MATERIALIZED (
+    SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+        FROM documents)
+), totals AS (
+    SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), often AS MATERIALIZED (
+    SELECT lang, k, p, count(*) AS a FROM ({grams}) GROUP BY lang, k, p HAVING count(*) >= 30
+), scored AS (
+    SELECT c.lang, c.p, c.k, c.a, c.cut, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
+    FROM ({cuts}) c
+    JOIN often x ON x.lang = c.lang AND x.p = c.p[1:c.cut]
+    JOIN often y ON y.lang = c.lang AND y.p = c.p[c.cut + 1:c.k]
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), held AS (
+    SELECT lang, p, max(a) AS most FROM (
+        SELECT lang, p[1:k - 1] AS p, a FROM often WHERE k > 2 UNION ALL SELECT lang, p[2:k] AS p, a FROM often WHERE k > 2)
+    GROUP BY lang, p
+), kept AS (
+    SELECT lowest.*, array_to_string(lowest.p, ' ') AS phrase FROM lowest LEFT JOIN held USING (lang, p)
+    WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+def _clusters(count: int = 40, rounds: int = 5) -> str:
+    """Rounds of nearest centroids and floored means, written one after another."""
+    steps = [f"""
+c0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM whole
+    ORDER BY sha256('2:' || vec_id) LIMIT {count}
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+    SELECT row_no, vec_id, v, c, d FROM (
+        SELECT w.row_no, w.vec_id, w.v, m.c, list_sum(list_transform(list_zip(w.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+        FROM whole w, c{k} m)
+    QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY d, c) = 1
+)""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (
+    SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS mean FROM (
+        SELECT c, i, sum(x) AS s, count(*)::HUGEINT AS n
+        FROM (SELECT c, unnest(v) AS x, unnest(generate_series(1, 64)) AS i FROM a{k}) GROUP BY c, i)
+), m{k} AS (
+    SELECT c, list(mean ORDER BY i) AS v FROM s{k} GROUP BY c
+), c{k + 1} AS MATERIALIZED (
+    SELECT c{k}.c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} ON m{k}.c = c{k}.c
+)""")
+    return f"""
+WITH whole AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+    FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), {",".join(steps)}
+SELECT vec_id, a{rounds}.c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a{rounds}.c))::BIGINT AS cluster_inertia,
+    (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.c = a{rounds}.c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_site_style_tree": ARTICLES,
@@ -202,4 +283,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_va_file": TOP_K,
         "op7_license_scan": _licenses(),
         "op9_block_anchors": WORD_WINDOWS,
+        "op11_bbit_minhash": NEAR_DUPLICATES,
+        "op12_collocations": _collocations(),
+        "op13_centroid_clustering": _clusters(),
     }

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gamelog.llm import (
-    block_anchors, byte_bpe, jaccard_join, license_scan, piecewise_hash, site_style_tree, source_mixing, suffix_doubling, toxicity, va_file,
+    bbit_minhash, block_anchors, byte_bpe, centroid_clustering, collocations, jaccard_join, license_scan, piecewise_hash, site_style_tree,
+    source_mixing, suffix_doubling, toxicity, va_file,
 )
 from gamelog.llm.tables import id_of, keyed_texts, read
 
@@ -120,3 +121,24 @@ def op10_piecewise_hash(spark, folder):
         sha256("edited_text").alias("edited_sha256"),
         *("fingerprint", "edited_fingerprint", "near_edited", "near_next"),
     )
+
+
+@query
+def op11_bbit_minhash(spark, folder):
+    found = bbit_minhash.near_duplicates(keyed_texts(read(spark, folder, "documents")), size=4, percent=80)
+    return found.select(
+        id_of(F.col("doc")).alias("doc_id"),
+        "n_shingles",
+        id_of(F.col("component_doc")).alias("component_id"),
+        (F.col("doc") == F.col("component_doc")).alias("kept"),
+    )
+
+
+@query
+def op12_collocations(spark, folder):
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
+@query
+def op13_centroid_clustering(spark, folder):
+    return centroid_clustering.cluster_vectors(read(spark, folder, "embeddings"))
