@@ -29,6 +29,9 @@ from gamelog.llm.tables import find_package, shuffle_partitions, stored
 from gamelog.llm.textbytes import LOWER, U64, mix, row_slices, span_codes, utf8, windows, word_spans
 
 LONGEST = 4
+#: All frequent phrases up to this length are counted, whatever the bar: any pair of words
+#: can be part of a phrase of the best score.
+WHOLE = 2
 #: Scores are in these many parts of twice the perfect one.
 SCALE = 2_000_000
 #: Bars of the score, highest first; the last one must be 0.
@@ -134,21 +137,29 @@ def _wanted(words: Words, tables: list[Bounds], size: int, least: int, bar: floa
         sums = [bound(offset, k)[0] + bound(offset + k, length - k)[0] for k in range(1, length)]
         return reduce(np.maximum, sums)
 
-    most = np.minimum(bound(0, size - 1)[1], bound(1, size - 1)[1])
-    alive = most >= least
-    places, most, parts = places[alive], most[alive], {key: (low[alive], high[alive]) for key, (low, high) in parts.items()}
-    if not bar or not len(places):
+    def possible(offset: int) -> np.ndarray:
+        """An upper bound of the count of a part of one word less, be it counted or left out
+        (then its slot may hold others with smaller counts)."""
+        if not bar or size <= WHOLE + 1:
+            return bound(offset, size - 1)[1]
+        return np.minimum(bound(offset, size - 2)[1], bound(offset + 1, size - 2)[1])
+
+    loose = np.minimum(possible(0), possible(1))
+    alive = loose >= least
+    places, loose, parts = places[alive], loose[alive], {key: (low[alive], high[alive]) for key, (low, high) in parts.items()}
+    if not bar or size <= WHOLE or not len(places):
         return places
+    # what can score as much has counted parts only
+    most = np.minimum(bound(0, size - 1)[1], bound(1, size - 1)[1])
     if size < LONGEST:
         below = np.minimum(bound(0, 1)[0], bound(size - 1, 1)[0]) + most
     else:
         below = cuts(0, size)
-    matters = SCALE * most >= bar * below
-    if size > 2:
-        for offset in (0, 1):
-            low, high = bound(offset, size - 1)
-            scores = SCALE * high >= bar * cuts(offset, size - 1)
-            matters |= scores & (100 * most >= HELD * low)
+    matters = (most >= least) & (SCALE * most >= bar * below)
+    for offset in (0, 1):
+        low, high = bound(offset, size - 1)
+        scores = (high > 0) & (SCALE * high >= bar * cuts(offset, size - 1))
+        matters |= scores & (100 * loose >= HELD * low)
     return places[matters]
 
 
@@ -331,7 +342,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30) -> DataFrame
         tables.append(bounds_of(counted[-1]))
 
     shared: tuple[list[DataFrame], list[Bounds]] = [], []
-    for _ in range(2):  # no bar cuts here: any pair can be part of a phrase of the best score
+    for _ in range(WHOLE):
         level(texts, *shared, 0)
     totals, results = None, []
     for bar in BARS:
