@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gamelog.llm.marks import (
-    Entries, bucket_count, by_document, changes, deal, exchange, first_places, forwarded, gathered, later_windows, marked, together,
+    Entries, by_document, changes, deal, exchange, first_places, forwarded, gathered, later_windows, marked, together,
 )
 from gamelog.llm.tables import id_of
 from gamelog.llm.textbytes import NOT_SPACE, mix, ranges, room, row_slices, span_codes, utf8, windows, word_spans
@@ -32,7 +32,7 @@ def _rows(batch: pa.RecordBatch):
     for low, high in row_slices(offsets):
         text = data[offsets[low] : offsets[high]]
         start, end, first = word_spans(text, offsets[low : high + 1] - offsets[low], NOT_SPACE)
-        yield low, high, doc[low:high], tag[low:high].astype(np.uint32), first, span_codes(text, start, end)
+        yield low, high, doc[low:high], tag[low:high], first, span_codes(text, start, end)
 
 
 def _block_entries(block: int):
@@ -114,7 +114,7 @@ def dedup_windows(docs: DataFrame, window: int = 20) -> DataFrame:
     """
     if window < 2 or window % 2:
         raise ValueError("a window has an even number of words")
-    block, buckets = window // 2, bucket_count(docs)
+    block, buckets = window // 2, text_buckets(docs)
     hits = by_document(block_hits(docs, block, buckets))
     near = docs.join(hits, ["doc", "tag"]).select("doc", "tag", "text", "marks")
     later = by_document(later_windows(near, _window_entries(window, block), buckets, LATER))

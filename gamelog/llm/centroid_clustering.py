@@ -126,11 +126,13 @@ def _searched(batches: Iterator[pa.RecordBatch], centers: np.ndarray, scale: int
                 yield batch.column(0).take(pa.array(which + low)), values, cluster, distance
 
 
-SUMS = "cluster int, rows long, low array<decimal(38,0)>, high array<decimal(38,0)>, near decimal(38,0), far decimal(38,0)"
+CLUSTERED = "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string"
+SUMS = "cluster int, rows long, low array<decimal(38,0)>, high array<decimal(38,0)>, inertia decimal(38,0)"
 
 
 def cluster_sums(vectors: DataFrame, centers: list[list[int]], scale: int) -> dict[int, tuple[int, list[int], int]]:
-    """By cluster: its rows, the sum of their vectors and of their distances, all exact.
+    """By cluster: its rows, the exact sum of their vectors, and the sum of their distances
+    (exact while it fits 64 bits).
 
     Tasks add up their own rows; what reaches the driver is one row per cluster. Sums travel
     as two limbs, so they may pass 64 bits.
@@ -155,17 +157,16 @@ def cluster_sums(vectors: DataFrame, centers: list[list[int]], scale: int) -> di
             pa.array([rows[c] for c in found], pa.int64()),
             pa.array([[int(v) & mask for v in total[c]] for c in found], pa.list_(wide)),
             pa.array([[int(v) >> LIMB for v in total[c]] for c in found], pa.list_(wide)),
-            pa.array([inertia[c] & mask for c in found], wide),
-            pa.array([inertia[c] >> LIMB for c in found], wide),
+            pa.array([min(inertia[c], 2 * LONGEST) for c in found], wide),  # given as LONGEST from there on
         ]
-        yield pa.record_batch(columns, names=["cluster", "rows", "low", "high", "near", "far"])
+        yield pa.record_batch(columns, names=["cluster", "rows", "low", "high", "inertia"])
 
     parts = vectors.mapInArrow(run, SUMS)
     limbs = [F.sum(F.col(name)[k]).alias(f"{name}{k}") for name in ("low", "high") for k in range(DIMENSIONS)]
     found = {}
-    for r in parts.groupBy("cluster").agg(F.sum("rows").alias("rows"), F.sum("near").alias("near"), F.sum("far").alias("far"), *limbs).collect():
+    for r in parts.groupBy("cluster").agg(F.sum("rows").alias("rows"), F.sum("inertia").alias("inertia"), *limbs).collect():
         total = [int(r[f"low{k}"]) + (int(r[f"high{k}"]) << LIMB) for k in range(DIMENSIONS)]
-        found[r["cluster"]] = (r["rows"], total, int(r["near"]) + (int(r["far"]) << LIMB))
+        found[r["cluster"]] = (r["rows"], total, int(r["inertia"]))
     return found
 
 
@@ -194,17 +195,20 @@ def cluster_vectors(table: DataFrame, count: int = 40, rounds: int = 5, seed: in
     rows are all kept and all count; rows equal in id are ordered by their vectors where
     they start centroids; a NULL id is kept, but starts a centroid only after all others.
     With fewer vectors than ``count`` each starts a centroid; an empty table has no rows.
-    Assignments and sums are exact at any size; a distance or sum of distances beyond 64
-    bits is given as 2**63 - 1. Other columns are not read.
+    Assignments and sums are exact for all 32-bit floats (components up to 1e50; sums of
+    larger ones fail); a distance or sum of distances beyond 64 bits is given as 2**63 - 1.
+    Other columns are not read.
     """
     find_package(table.sparkSession)
     vectors = usable_vectors(table)
     centers = fitted_centroids(vectors, count, rounds, seed, scale)
-    sums = cluster_sums(vectors, centers, scale) if centers else {}
+    if not centers:
+        return table.sparkSession.createDataFrame([], CLUSTERED)
+    sums = cluster_sums(vectors, centers, scale)
     by_cluster = [min(sums[c][2], LONGEST) if c in sums else 0 for c in range(len(centers))]
     inertia = min(sum(s[2] for s in sums.values()), LONGEST)
     names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centers]
-    final = np.array(centers, object).reshape(-1, DIMENSIONS)
+    final = np.array(centers, object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, _, cluster, distance in _searched(batches, final, scale):
@@ -220,4 +224,4 @@ def cluster_vectors(table: DataFrame, count: int = 40, rounds: int = 5, seed: in
                 names=["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"],
             )
 
-    return vectors.mapInArrow(run, "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
+    return vectors.mapInArrow(run, CLUSTERED)

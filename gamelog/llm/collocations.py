@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gamelog.llm.marks import changes
-from gamelog.llm.tables import find_package, shuffle_partitions, stored
+from gamelog.llm.tables import find_package, shuffle_partitions, stored, text_buckets
 from gamelog.llm.textbytes import LOWER, U64, mix, row_slices, span_codes, utf8, windows, word_spans
 
 LONGEST = 4
@@ -39,13 +39,12 @@ BARS = (50_000, 0)
 #: A phrase is dropped if a longer one holds it and has this share of its count.
 HELD = 80
 #: Slots of a table of bounds for each phrase in it, and their greatest number (64 MB).
-SLOTS_EACH, MOST_BITS = 4, 24
+SLOTS_EACH, MOST_BITS = 32, 24
 #: Steps of the logarithm that a slot keeps of a count.
 LOG_STEP = 0.0005
-#: Occurrences gathered before they are counted and sent; bounds a task's memory.
-GATHERED = 4_000_000
-#: Bytes of text whose phrases share a bucket of the exchange.
-BUCKET_BYTES = 1 << 25
+#: Occurrences gathered before they are counted and sent, and names before they are sent;
+#: both bound a task's memory.
+GATHERED, NAMED = 4_000_000, 60_000
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[*b".,;:!?\x0a\x0b\x0c\x0d"]] = True
@@ -282,7 +281,7 @@ def phrase_names(docs: DataFrame, tables, least: int, bar: float) -> DataFrame:
                         rights = [int(signed[size - k - 1][at + k]) for k in range(1, size)]
                         phrase = b" ".join(raw.split()).decode("utf-8", "replace")
                         seen[key] = (names[words.row[at]], size, phrase, key, lefts, rights)
-            if len(seen) >= GATHERED // 16:
+            if len(seen) >= NAMED:
                 yield rows()
                 seen, totals = {}, {}
         yield rows()
@@ -332,8 +331,7 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30) -> DataFrame
     spark = docs.sparkSession
     find_package(spark)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").filter(F.col("text").isNotNull())
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
+    buckets = text_buckets(texts)
 
     def level(rows: DataFrame, counted: list[DataFrame], tables: list[Bounds], bar: float) -> None:
         """Count the next longer phrases and add their bounds."""
@@ -354,8 +352,11 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = 30) -> DataFrame
             totals = names.filter("k = 0").groupBy("lang").agg(F.sum("words").alias("n"))
         scored = scored_phrases(names, reduce(DataFrame.union, counted))
         alone = F.col("most").isNull() | (_exact(F.lit(100)) * _exact(F.col("most")) < _exact(F.lit(HELD)) * _exact(F.col("a")))
-        order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-        ranked = scored.filter(alone & (F.col("score") >= bar)).withColumn("rank", F.row_number().over(order).cast("long"))
+        order = (F.desc("score"), F.desc("a"), "phrase")
+        # shares of a language are ranked apart, so that few rows of it meet in one task
+        share = Window.partitionBy("lang", F.pmod("key", F.lit(shuffle_partitions(spark)))).orderBy(*order)
+        ahead = scored.filter(alone & (F.col("score") >= bar)).withColumn("rank", F.row_number().over(share)).filter(F.col("rank") <= top)
+        ranked = ahead.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long"))
         best = stored(ranked.filter(F.col("rank") <= top))
         if not bar:
             results.append(best)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.llm.tables import checkpointed
+from gamelog.llm.tables import checkpointed, join_hot
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -18,10 +18,12 @@ def connected(links: DataFrame) -> DataFrame:
     both = checkpointed(both)
     roots = checkpointed(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root")))
     while True:
-        of_neighbour = both.join(roots, both["b"] == roots["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        lower = roots.join(of_neighbour, roots["node"] == of_neighbour["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        of_neighbour = join_hot(both, roots.select(F.col("node").alias("b"), "root"), ["b"]).groupBy("a").agg(F.min("root").alias("near"))
+        lower = checkpointed(
+            roots.join(of_neighbour, roots["node"] == of_neighbour["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        )
         above = lower.select(F.col("node").alias("mid"), F.col("mid").alias("top"))
-        jumped = checkpointed(lower.join(above, "mid").select("node", "old", F.least("mid", "top").alias("root")))
+        jumped = checkpointed(join_hot(lower, above, ["mid"]).select("node", "old", F.least("mid", "top").alias("root")))
         roots = jumped.select("node", "root")
         if jumped.filter(F.col("old") != F.col("root")).isEmpty():
             return roots

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gamelog.llm.components import connected
 from gamelog.llm.marks import PACKED, PACKED_ARROW, Entries, changes, deal, gathered, together, unpack
-from gamelog.llm.tables import checkpointed, shuffle_partitions, stored
+from gamelog.llm.tables import checkpointed, join_hot, shuffle_partitions, stored, text_buckets
 from gamelog.llm.textbytes import LOWER, NOT_SPACE, U64, mix, room, row_slices, span_codes, utf8, windows, word_spans
 
 #: Shares of a group in the rounds that look for leaders: a large group of copies is first
@@ -35,7 +35,8 @@ ROUND_SHARES = (32, 4, 1, 1)
 #: that hold the most widespread shingles and match no leader before them.
 LEADERS = 12
 KEY_BYTES = 6
-KEY_MASK = np.int64(2 ** (8 * KEY_BYTES) - 1)
+SIZE_BITS = np.int64(40)
+SIZE_MASK = (np.int64(1) << SIZE_BITS) - np.int64(1)
 #: Frequencies above this are equal in the order of shingles; any fixed order is right.
 TOP_FREQUENCY = 2**15 - 1
 
@@ -94,12 +95,12 @@ def shared_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     places in that order; ``keys`` the minima of several hashes of the tokens; ``spread`` the
     mean log frequency of all its shingles: the least edited of many copies has the most.
     """
-    buckets = 2 * shuffle_partitions(docs.sparkSession)
+    buckets = min(2 * text_buckets(docs), 1 << 16)  # the number fits beside the key's bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def entries(batch: pa.RecordBatch) -> Iterator[Entries]:
             for _, _, count, ids, row, key in _sets(batch, size):
-                yield Entries(ids[row], count[row].astype(np.uint32), np.zeros(len(row), np.int64), (key,))
+                yield Entries(ids[row], count[row], np.zeros(len(row), np.int64), (key,))
 
         for e in gathered(batches, entries):
             e = e.take(np.lexsort((e.keys[0], e.doc)))
@@ -113,24 +114,26 @@ def shared_shingles(docs: DataFrame, size: int, percent: int) -> DataFrame:
         sets = np.diff(np.append(head, len(e)))
         frequency = np.repeat(np.minimum(sets, TOP_FREQUENCY), sets)
         both = np.flatnonzero(frequency > 1)
-        token = e.keys[0][both].astype(np.int64) | frequency[both] << (8 * KEY_BYTES)
-        found = together(Entries(e.doc[both], e.tag[both], token, (mix(e.doc[both].view(U64)),)))
+        # bucket and bytes name the shingle; the frequency goes beside the size
+        token = (e.keys[0][both] | U64(table["bucket"][0].as_py()) << U64(8 * KEY_BYTES)).view(np.int64)
+        sized = e.tag[both] | frequency[both] << SIZE_BITS
+        found = together(Entries(e.doc[both], sized, token, (mix(e.doc[both].view(U64)),)))
         batches = list(deal(found, buckets, ()))
         return pa.Table.from_batches(batches) if batches else PACKED_ARROW.empty_table()
 
     def gather(table: pa.Table) -> pa.Table:
         e = Entries.joined([unpack(m, None, ()) for m in table["meta"].to_pylist()])
-        e = e.take(np.lexsort((e.at, e.doc)))  # by set in rising frequency
+        e = e.take(np.lexsort((e.at, e.tag, e.doc)))  # by set in rising frequency
         ends = np.append(np.flatnonzero(changes(e.doc)), len(e))
         rows = []
         for low, high in zip(ends, ends[1:]):
-            n, shared = int(e.tag[low]), high - low
+            n, shared = int(e.tag[low] & SIZE_MASK), high - low
             need = -(-percent * n // 100)
             if shared < need:
                 continue
             own = n - shared
-            tokens = e.at[low:high] & KEY_MASK
-            spread = float(np.log(e.at[low:high] >> (8 * KEY_BYTES)).sum() / n)
+            tokens = e.at[low:high]
+            spread = float(np.log(e.tag[low:high] >> SIZE_BITS).sum() / n)
             prefix = tokens[: max(0, n - need + 1 - own)]
             keys = [int(mix(tokens.view(U64) + U64(r + 1)).min() >> U64(1)) for r in range(len(ROUND_SHARES))]
             rows.append((int(e.doc[low]), n, np.sort(tokens).astype("<i8").tobytes(), prefix.tolist(), list(range(own, own + len(prefix))), keys, spread))
@@ -293,9 +296,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     filled = members.filter(F.col("n") > 0)
     first = filled.groupBy("id").agg(F.min(F.struct("doc", "tag")).alias("first")).join(named, "id", "left")
     first = first.select("id", F.coalesce("group", "id").alias("group"), "first")
+    first = checkpointed(first)
     least = first.groupBy("group").agg(F.min("first").alias("least"))
-    of_set = first.join(least, "group").select("id", "least")
-    together = members.join(of_set, "id", "left")
+    of_set = join_hot(first, least, ["group"]).select("id", "least")
+    together = join_hot(members, of_set, ["id"], "left")
     alone = F.col("n") == 0
     return together.select(
         "doc",

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gamelog.llm.byte_bpe import binary_rows
-from gamelog.llm.tables import shuffle_partitions
 from gamelog.llm.textbytes import U64, mix
 
 #: Entries gathered before they are dealt out; bounds a task's memory.
@@ -35,7 +34,7 @@ class Entries:
     """Arrays of equal length: one entry is a hash at a position of a document."""
 
     doc: np.ndarray  # int64
-    tag: np.ndarray  # uint32
+    tag: np.ndarray  # int64
     at: np.ndarray  # int64: what the position is is up to the operator
     keys: tuple[np.ndarray, ...]  # one or more hash columns
 
@@ -93,7 +92,7 @@ def _meta(entries: Entries) -> bytes:
         [
             np.array([len(first), len(entries)], "<i8").tobytes(),
             _planes(entries.doc[first]),
-            entries.tag[first].astype("<u4").tobytes(),
+            entries.tag[first].astype("<i8").tobytes(),
             count.astype("<u4").tobytes(),
             _planes(entries.at),
         ]
@@ -106,8 +105,8 @@ def unpack(meta: bytes, keys: bytes | None, widths: tuple[int, ...]) -> Entries:
     documents, size = np.frombuffer(raw, "<i8", 2)
     at = 16
     doc = _numbers(raw, documents, at)
-    tag = np.frombuffer(raw, "<u4", documents, at := at + 8 * documents)
-    count = np.frombuffer(raw, "<u4", documents, at := at + 4 * documents)
+    tag = np.frombuffer(raw, "<i8", documents, at := at + 8 * documents)
+    count = np.frombuffer(raw, "<u4", documents, at := at + 8 * documents)
     place = _numbers(raw, size, at + 4 * documents)
     columns, start = [], 0
     for width in widths if keys is not None else ():
@@ -149,7 +148,7 @@ def mark_rows(entries: Entries, kind: int) -> list[pa.Array]:
     ends = np.append(first, len(entries))
     return [
         pa.array(entries.doc[order][first]),
-        pa.array(entries.tag[order][first].astype(np.int64)),
+        pa.array(entries.tag[order][first]),
         pa.array(np.full(len(first), kind, np.int32)),
         binary_rows(entries.at[order].astype("<i8").view(np.uint8), ends * 8),
     ]
@@ -159,11 +158,6 @@ PACKED_ARROW = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("keys"
 _MARKS = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("kind", pa.int32()), ("marks", pa.binary())])
 
 
-def bucket_count(docs: DataFrame) -> int:
-    """Buckets follow the session's shuffle partitions."""
-    return shuffle_partitions(docs.sparkSession)
-
-
 def exchange(
     source: DataFrame,
     scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
@@ -195,7 +189,7 @@ def exchange(
         if not sum(len(e) for _, e in found):
             return PACKED_ARROW.empty_table()
         e = together(Entries.joined([Entries(e.doc, e.tag, 2 * e.at + kind, ()) for kind, e in found]))
-        e.keys = (mix(e.doc.view(U64) + e.tag.astype(U64)),)
+        e.keys = (mix(e.doc.view(U64) + mix(e.tag.view(U64))),)
         return pa.Table.from_batches(deal(e, buckets, ()))
 
     def gather(table: pa.Table) -> pa.Table:

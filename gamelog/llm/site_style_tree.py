@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gamelog.llm.tables import NULL_ID, id_of, stored
+from gamelog.llm.tables import NULL_ID, id_of, join_hot, stored
 from gamelog.llm.textbytes import row_slices, utf8
 
 DAMPING = 0.9
@@ -38,8 +38,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not markup; the text up to the end tag is one piece.
 RAW = frozenset(
-    "script style noscript template iframe textarea xmp noembed noframes svg math title button select datalist "
-    "object audio video canvas".split()
+    "script style noscript template iframe textarea xmp noembed noframes svg title datalist object audio video canvas".split()
 )
 FURNITURE_TAGS = frozenset("nav footer aside form menu dialog head search fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
@@ -50,10 +49,19 @@ FURNITURE_WORDS = frozenset(
     "toolbar topbar footer comment comments commentlist commentform respond disqus replies share sharing social related recommended "
     "widget widgets masthead copyright form search skip".split()
 )
+#: Words that name a container and say nothing of what is in it.
+CONTAINER_WORDS = frozenset(
+    "area bar block box btn button buttons container content group holder inner item items left link links list main outer page panel "
+    "post posts reader right section site slot top bottom user users wrap wrapper zone".split()
+)
+#: Words that make a part furniture where its id may as well come from a heading.
+PLAIN_WORDS = frozenset("ad ads advert advertisement comment comments commentlist cookie cookies disqus footer nav navbar respond sidebar".split())
 #: Elements that class and id never make furniture; nor do they what is around a body or main part.
 TEXT_TAGS = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
 #: Elements whose id names a place on the page; other ids are made from headings.
-PLACES = frozenset("div ul table td".split())
+PLACES = frozenset("div ul ol table td".split())
+#: Pages that must hold a branch of an article before entropy may remove it there.
+EVIDENCE = 4
 #: A part named header is furniture unless it is an article's own.
 OWN_HEADER = frozenset(("article", "entry", "post", "content", "story"))
 CLOSED_BY = {
@@ -62,10 +70,8 @@ CLOSED_BY = {
 }
 SCOPES = frozenset(("table", "ul", "ol", "dl"))
 
-MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 NAMED = re.compile(r"class|id|role|hidden|itemprop|aria-", re.I)
 WORD = re.compile(r"[a-z]+")
@@ -73,6 +79,12 @@ NO_LETTERS = re.compile(r"[\W\d_]+")
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
 
+# By path of a node: the importance of its child sequences and of its texts, and the number
+# of the host's pages that hold it.
+Importance = dict[int, tuple[float, float, int]]
+UNKNOWN = (1.0, 1.0, 1)
+
+
 @dataclass
 class Node:
     """A block element of a page: its path hash, children in order, and own text blocks."""
@@ -99,7 +111,8 @@ def _label(tag: str, raw: str) -> tuple[str, bool, set[str], int]:
     """The label of an element, whether its tag or role says furniture, what its class and
     id name it, and whether it says main text.
 
-    A class or the id of a place names the element if all its words are furniture words.
+    A class or the id of a place names the element if one of its words is a furniture word
+    and the others are too, or name a container.
     """
     main = {"article": 2, "main": 1}.get(tag, 0)
     if not raw or not NAMED.search(raw):
@@ -115,41 +128,101 @@ def _label(tag: str, raw: str) -> tuple[str, bool, set[str], int]:
     elif role == "main":
         main = max(main, 1)
     tokens = found.get("class", "").split()
+    ids = found.get("id", "").split()
     if tag in PLACES and "section" not in tokens:
-        tokens += found.get("id", "").split()
+        tokens += ids
+    elif tag in ("section", "div"):
+        tokens += [i for i in ids if set(NO_LETTERS.split(i)) & PLAIN_WORDS]
     parts = [set(NO_LETTERS.split(token)) - {""} for token in tokens]
-    names = set() if main or tag in TEXT_TAGS else set().union(*(p for p in parts if p <= FURNITURE_WORDS or p == {"header"}))
-    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or hidden
+    named = [p for p in parts if p == {"header"} or (p & FURNITURE_WORDS and p <= FURNITURE_WORDS | CONTAINER_WORDS)]
+    names = set().union(*named) - (CONTAINER_WORDS - FURNITURE_WORDS)
+    if main == 1 or tag in TEXT_TAGS - {"article"}:
+        names = set()
+    furniture = tag in FURNITURE_TAGS or role in FURNITURE_ROLES or hidden or found.get("itemprop") == "comment"
     return " ".join([tag, *sorted({*words, *([role] if role else [])})]), furniture, names, main
 
 
+class _TagEnds:
+    """Where the tags of a page end, in time linear in its length.
+
+    A tag ends at the first ``>`` outside of quotes, or at the first one at all if quotes
+    leave none. What follows a quote is worked out once, whatever tag led there.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last_end = page.rfind(">")
+        self.after: dict[int, int] = {}  # by position of an opening quote: the end it leads to, or -1
+        self.none: set[str] = set()  # quotes that do not come again
+
+    def tag(self, start: int) -> tuple[bool, str | None, str, int]:
+        """(closing, name or None, attributes, where to go on) of the markup at a ``<``."""
+        page = self.page
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            return False, None, "", len(page) if end < 0 else end + 3
+        if start > self.last_end:
+            return False, None, "", start + 1
+        if page.startswith(("<!", "<?"), start):
+            return False, None, "", page.find(">", start) + 1
+        name = TAG_NAME.match(page, start + 1)
+        if name is None:
+            return False, None, "", start + 1
+        end = self._end(name.end())
+        if end < 0:
+            end = page.find(">", name.end())
+        return bool(name[1]), name[2].lower(), page[name.end() : end], end + 1
+
+    def _end(self, at: int) -> int:
+        seen = []
+        while True:
+            hit = QUOTE_OR_END.search(self.page, at)
+            if hit is None or hit[0] == ">":
+                found = hit.start() if hit else -1
+                break
+            quote = hit.start()
+            if quote in self.after:
+                found = self.after[quote]
+                break
+            seen.append(quote)
+            close = -1 if hit[0] in self.none else self.page.find(hit[0], quote + 1)
+            if close < 0:
+                self.none.add(hit[0])
+                found = -1
+                break
+            at = close + 1
+        for quote in seen:
+            self.after[quote] = found
+        return found
+
+
 def parse(page: str) -> Node:
     """The block elements of a page as a tree. Unclosed, misnested and cut-off markup is
     repaired as browsers do for paragraphs, list items and table cells; inline elements
     leave no trace but their text; a line break is white space."""
     root = Node("#root", "#root", 0, False, False, 0, False)
-    stack, at = [root], 0
-    end = len(page)
-    match = MARKUP.search(page)
-    while at < end:
-        start = match.start() if match else end
-        if start > at:
-            text = page[at:start]
+    stack, at, ends = [root], 0, _TagEnds(page)
+    unclosed: set[str] = set()  # raw elements that no later end tag closes
+    while at < len(page):
+        start = page.find("<", at)
+        text = page[at:] if start < 0 else page[at:start]
+        if text:
             stack[-1].parts.append(html.unescape(text) if "&" in text else text)
-        if not match:
+        if start < 0:
             break
-        at = match.end()
-        closing, tag, raw = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
-        if tag:
-            tag = tag.lower()
-            if tag in RAW and not closing:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else (end if tag in ("script", "style", "title", "textarea") else at)
-            elif tag == "br":
-                stack[-1].parts.append(" ")
-            elif tag in BLOCKS or tag in FURNITURE_TAGS:
-                _step(stack, tag, raw or "", bool(closing))
-        match = MARKUP.search(page, at)
+        closing, tag, raw, at = ends.tag(start)
+        if tag is None:
+            if at == start + 1:  # no markup
+                stack[-1].parts.append("<")
+        elif tag in RAW and not closing:
+            close = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if close is None:
+                unclosed.add(tag)
+            at = close.end() if close else (len(page) if tag in ("script", "style", "title", "textarea") else at)
+        elif tag == "br":
+            stack[-1].parts.append(" ")
+        elif tag in BLOCKS or tag in FURNITURE_TAGS:
+            _step(stack, tag, raw, closing)
     while stack:
         stack.pop().close_block()
     _unlabel(root)
@@ -212,6 +285,12 @@ def _step(stack: list[Node], tag: str, raw: str, closing: bool) -> None:
         return
     label, furniture, names, main = _label(tag, raw)
     own = bool(above.main or above.depth_main or set(label.split()) & OWN_HEADER)
+    # an article inside of another one that is named furniture is a reader's comment or a card
+    card = tag == "article" and bool(names & FURNITURE_WORDS)
+    if card and any(n.main == 2 for n in stack):
+        furniture, main = True, 0
+    elif card:
+        names = set()
     furniture = furniture or (tag == "header" and not own)
     worded = not furniture and bool(names & FURNITURE_WORDS or ("header" in names and not own))
     if (main == 1 or tag == "body") and not furniture and not any(n.furniture and not n.worded for n in stack):
@@ -250,7 +329,7 @@ def page_nodes(root: Node) -> list[tuple[int, int, list[int]]]:
     ]
 
 
-def composite_importance(root: Node, importance: dict[int, tuple[float, float]]) -> dict[int, tuple[float, float]]:
+def composite_importance(root: Node, importance: Importance) -> dict[int, tuple[float, float]]:
     """By id of the node object: its composite importance, and the greatest in its branch.
 
     A node of text alone has the importance of its content; another one mixes the mean of
@@ -259,7 +338,7 @@ def composite_importance(root: Node, importance: dict[int, tuple[float, float]])
     """
     out: dict[int, tuple[float, float]] = {}
     for node in reversed(list(_walk(root))):
-        presentation, content = importance.get(node.path, (1.0, 1.0))
+        presentation, content, _ = importance.get(node.path, UNKNOWN)
         below = [out[id(c)] for c in node.children if isinstance(c, Node)]
         if any(isinstance(c, str) for c in node.children):
             below.append((content, content))
@@ -274,7 +353,7 @@ def composite_importance(root: Node, importance: dict[int, tuple[float, float]])
     return out
 
 
-def main_text(root: Node, importance: dict[int, tuple[float, float]], least: float) -> str:
+def main_text(root: Node, importance: Importance, least: float) -> str:
     """The blocks of the branches that stay, in page order, joined by line ends.
 
     Where articles or else a main part are marked, these decide (``_marked_blocks``).
@@ -285,10 +364,14 @@ def main_text(root: Node, importance: dict[int, tuple[float, float]], least: flo
 
     def stays(item: Node | str, node: Node) -> bool:
         if isinstance(item, str):
-            return importance.get(node.path, (1.0, 1.0))[1] >= least
+            return importance.get(node.path, UNKNOWN)[1] >= least
         return value[id(item)][1] >= least
 
-    if text := _marked_blocks(root, stays):
+    def repeated(item: Node) -> bool:
+        """Whether an article's branch has low importance, and enough pages say so."""
+        return value[id(item)][1] < least and importance.get(item.path, UNKNOWN)[2] >= EVIDENCE
+
+    if text := _marked_blocks(root, stays, repeated):
         return "\n".join(text)
     everything = lambda *_: True
     return "\n".join(
@@ -296,31 +379,38 @@ def main_text(root: Node, importance: dict[int, tuple[float, float]], least: flo
     )
 
 
-def _marked_blocks(root: Node, stays) -> list[str]:
+def _marked_blocks(root: Node, stays, repeated) -> list[str]:
     """The text blocks of marked parts outside of furniture, in page order.
 
-    Without articles, those of the main part. Articles are strong evidence: with them, text
+    Branches of an article, not headings, that repeat on the host's pages go if more of the
+    article stays (copies of a whole article repeat as a whole). Without articles, those of
+    the main part. Articles are strong evidence: with them, text
     outside of them needs importance, and to lie in the main part or, if that has none, to
     be longer than all articles of importance. An article of no importance goes if the text
     that stays outside is longer than it (a card next to the text, not a copied text).
     """
-    blocks: list[tuple[str, int, Node | None, bool]] = []  # text, mark, its article, importance
-    todo: list = [(root, 0, None, True)]
+    found: list[tuple[str, int, Node | None, bool, bool]] = []  # text, mark, its article, importance, in a repeated branch
+    todo: list = [(root, 0, None, True, False)]
     strong: dict[int, bool] = {}
     while todo:
-        node, mark, article, high = todo.pop()
+        node, mark, article, high, cut = todo.pop()
         if isinstance(node, str):
-            blocks.append((node, mark, article, high))
+            found.append((node, mark, article, high, cut))
             continue
+        cut = cut or (article is not None and node.tag not in TEXT_TAGS and repeated(node))
         mark = max(mark, node.main)
         if mark == 2 and article is None:
             article = node
             strong[id(node)] = high
         todo += [
-            (c, mark, article, high and stays(c, node))
+            (c, mark, article, high and stays(c, node), cut)
             for c in reversed(node.children)
             if not (isinstance(c, Node) and c.furniture)
         ]
+    left: dict[int, int] = {}  # by article: its text outside of repeated branches, less that inside
+    for text, _, article, _, cut in found:
+        left[id(article)] = left.get(id(article), 0) + (-len(text) if cut else len(text))
+    blocks = [(text, mark, article, high) for text, mark, article, high, cut in found if not (cut and left[id(article)] > 0)]
     sizes: dict[int, int] = {}
     for text, _, article, _ in blocks:
         if article is not None:
@@ -357,7 +447,7 @@ def _keyed_pages(pages: DataFrame) -> DataFrame:
     """(doc, tag, host, html): a page without a host of its url stands for itself."""
     text = F.coalesce(F.col("html"), F.lit(""))
     doc = F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID))
-    tag = F.crc32(text.cast("binary"))
+    tag = F.xxhash64(text)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), HOST, 1))
     own = F.concat_ws(":", F.lit("page"), doc, tag)
     site = F.xxhash64(F.when(host == "", own).otherwise(host))
@@ -380,7 +470,7 @@ _NODES = pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64()), ("text
 
 
 def node_importance(page_trees: DataFrame) -> DataFrame:
-    """(site, node, presentation, content): entropies over the site's pages, from 0 to 1.
+    """(site, node, presentation, content, pages): entropies over the site's pages, from 0 to 1.
 
     Both are 1 for a node of one page. Counts are combined before they are shuffled.
     """
@@ -412,6 +502,7 @@ def node_importance(page_trees: DataFrame) -> DataFrame:
         "node",
         F.when(several, presentation).otherwise(1.0).cast("float").alias("presentation"),
         F.coalesce(F.when(several, content), F.lit(1.0)).cast("float").alias("content"),
+        F.least("pages", F.lit(2**31 - 1)).cast("int").alias("pages"),
     )
 
 
@@ -428,9 +519,11 @@ def extract_main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> Data
     importance = node_importance(trees)
     of_page = (
         trees.select("doc", "tag", "site", F.explode("nodes.node").alias("node"))
-        .join(importance, ["site", "node"])
+    )
+    of_page = (
+        join_hot(of_page, importance, ["site", "node"])
         .groupBy("doc", "tag", "site")
-        .agg(F.collect_set(F.struct("node", "presentation", "content")).alias("known"))
+        .agg(F.collect_set(F.struct("node", "presentation", "content", "pages")).alias("known"))
     )
     joined = keyed.join(of_page, ["doc", "tag", "site"], "left").select("doc", "url", "html", "known")
 
@@ -440,7 +533,7 @@ def extract_main_text(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> Data
             for low, high in row_slices(offsets):
                 part = batch.slice(low, high - low)
                 texts = [
-                    main_text(parse(page), {k["node"]: (k["presentation"], k["content"]) for k in known or ()}, least)
+                    main_text(parse(page), {k["node"]: (k["presentation"], k["content"], k["pages"]) for k in known or ()}, least)
                     for page, known in zip(part.column(2).to_pylist(), part.column(3).to_pylist())
                 ]
                 yield pa.record_batch([*part.columns[:2], pa.array(texts, pa.string())], names=["doc", "url", "text"])

@@ -7,6 +7,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gamelog.llm.tables import checkpointed, shuffle_partitions
+
+#: Rates of so many sources are broadcast (each takes a few hundred bytes); beyond it the
+#: texts are joined to them by exchange.
+MOST_SENT = 10_000
+#: The largest mean of one draw: exp(-mean) stays a normal double. Larger means are sums of
+#: equal parts.
+LARGEST_MEAN = 600
 #: Digits of the hash that make the uniform number: 52 bits, exact in a double.
 HEX_DIGITS = 13
 DENOMINATOR = float(2**52)
@@ -25,7 +33,7 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, power
     one); without them a source weighs its characters to ``power``. The mix has ``epochs``
     times the characters of all documents. One row per source.
     """
-    sizes = docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size"))
+    sizes = checkpointed(docs.groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("double").alias("size")))
     if weights is None:
         weighed = sizes.withColumn("weight", F.when(F.col("size") > 0, F.pow("size", F.lit(power))).otherwise(0.0))
     else:
@@ -41,22 +49,23 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None, power
     return weighed.select("source", F.when(F.col("size") > 0, rate).otherwise(0.0).alias("rate"))
 
 
-def poisson_inverse(u, rate, most: int):
-    """The least count whose Poisson distribution function exceeds ``u``.
-
-    Terms up to ``most`` are summed, which the caller sets past the reach of 52 bits.
-    """
-    step = F.aggregate(
+def distribution(rate, most: int):
+    """The Poisson distribution function at 0, 1, ... ``most``, which is past the reach of
+    52 bits, for a column of means."""
+    last = lambda s: F.element_at(s["sums"], -1)
+    return F.aggregate(
         F.sequence(F.lit(1), F.lit(most)),
-        F.struct(F.exp(-rate).alias("term"), F.exp(-rate).alias("sum"), F.lit(0).alias("count")),
+        F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("sums")),
         lambda s, k: F.struct(
-            (s["term"] * rate / k).alias("term"),
-            (s["sum"] + s["term"] * rate / k).alias("sum"),
-            (s["count"] + F.when(u >= s["sum"], 1).otherwise(0)).alias("count"),
+            (s["term"] * rate / k).alias("term"), F.array_append(s["sums"], last(s) + s["term"] * rate / k).alias("sums")
         ),
-        lambda s: s["count"],
+        lambda s: s["sums"],
     )
-    return step
+
+
+def poisson_inverse(u, sums):
+    """The least count whose Poisson distribution function exceeds ``u``."""
+    return F.size(F.filter(sums, lambda x: u >= x))
 
 
 def mix_sources(
@@ -77,22 +86,25 @@ def mix_sources(
     are not read.
     """
     rates = source_rates(docs.select("source", "text"), weights, power, epochs)
-    top = rates.agg(F.max("rate")).first()[0] or 0.0
-    most = math.ceil(top + 12 * math.sqrt(top) + 25)
-    rated = docs.select("doc_id", "text", "lang", "source", "n_chars").join(
-        rates.withColumnRenamed("source", "rated"), F.col("source").eqNullSafe(F.col("rated"))
-    )
-    # exp(-rate) stays a normal double up to 700; larger means are sums of equal parts
-    parts = max(1, math.ceil(top / 600))
-    count = sum(
-        (poisson_inverse(uniform(f"{seed}/count/{p}", F.col("doc_id"), F.col("source")), F.col("rate") / parts, most) for p in range(1, parts)),
-        poisson_inverse(uniform(f"{seed}/count/0", F.col("doc_id"), F.col("source")), F.col("rate") / parts, most),
-    )
-    copies = rated.withColumn("count", count).filter(F.col("count") > 0)
+    top, sources = rates.agg(F.max("rate"), F.count(F.lit(1))).first()
+    parts = max(1, math.ceil((top or 0.0) / LARGEST_MEAN))
+    mean = (top or 0.0) / parts
+    most = math.ceil(mean + 12 * math.sqrt(mean) + 25)
+    # the distribution is summed up once per source; a row only looks its number up
+    known = rates.select(F.col("source").alias("rated"), distribution(F.col("rate") / parts, most).alias("sums"))
+    if sources <= MOST_SENT:
+        known = F.broadcast(known)
+    rated = docs.select("doc_id", "text", "lang", "source", "n_chars").join(known, F.col("source").eqNullSafe(F.col("rated")))
+    draws = [poisson_inverse(uniform(f"{seed}/count/{p}", F.col("doc_id"), F.col("source")), F.col("sums")) for p in range(parts)]
+    copies = rated.withColumn("count", sum(draws[1:], draws[0])).filter(F.col("count") > 0)
     repeated = copies.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
     place = F.md5(F.concat_ws(":", F.lit(f"{seed}/place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy")))
+    # places are uniform: their first digits deal them to ordered partitions without a sample
+    partitions = shuffle_partitions(docs.sparkSession)
+    ordered = F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * partitions / 2**32).cast("int")
     return (
         repeated.withColumn("place", place)
         .select("doc_id", "text", "lang", "source", "n_chars", "copy", "place")
-        .orderBy("place", "copy")
+        .repartitionById(partitions, ordered)
+        .sortWithinPartitions("place", "copy")
     )

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gamelog.llm.byte_bpe import binary_rows
 from gamelog.llm.marks import (
-    Entries, bucket_count, by_document, changes, deal, exchange, first_places, forwarded, gathered, later_windows, marked, together,
+    Entries, by_document, changes, deal, exchange, first_places, forwarded, gathered, later_windows, marked, together,
 )
 from gamelog.llm.textbytes import BYTE_CODE, U64, mix, ranges, room, row_slices, sliding_min, utf8, windows
 
@@ -40,7 +40,7 @@ def _rows(batch: pa.RecordBatch):
     doc, tag = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
     data, offsets = utf8(batch.column(2))
     for low, high in row_slices(offsets):
-        yield low, high, doc[low:high], tag[low:high].astype(np.uint32), offsets[low : high + 1] - offsets[low], data[offsets[low] : offsets[high]]
+        yield low, high, doc[low:high], tag[low:high], offsets[low : high + 1] - offsets[low], data[offsets[low] : offsets[high]]
 
 
 def _string_names(names: np.ndarray, size: int, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, whole_characters: bool = Fal
     Rows equal in id and text are one document and give equal results; rows that share an
     id only are ordered by their checksum; a NULL id comes first.
     """
-    buckets = bucket_count(docs)
+    buckets = text_buckets(docs)
     spans = repeated_spans(docs, length, buckets)
     of_open = by_document(spans.filter(F.col("kind") == OPEN))
     near = docs.join(of_open, ["doc", "tag"]).select("doc", "tag", "text", "marks")
@@ -170,7 +170,7 @@ def dedup_bytes(docs: DataFrame, length: int = 100, whole_characters: bool = Fal
                 size = np.diff(offsets)
                 yield pa.record_batch(
                     [
-                        pa.array(doc), pa.array(tag.astype(np.int64)), pa.array(size), pa.array(size - np.diff(kept)), pa.array(spans),
+                        pa.array(doc), pa.array(tag), pa.array(size), pa.array(size - np.diff(kept)), pa.array(spans),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), gone), binary_rows(data[stay], kept),
                     ],
                     names=["doc", "tag", "n_bytes", "n_removed", "n_spans", "gone", "kept"],

@@ -36,18 +36,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text whose positions share a bucket of an exchange.
+BUCKET_BYTES = 1 << 25
+
+
+def text_buckets(docs: DataFrame) -> int:
+    """Buckets for an exchange of positions in texts: as many as the texts need, and at least
+    one per shuffle partition. One pass over the lengths."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // BUCKET_BYTES))
+
+
 def keyed(docs: DataFrame, *columns) -> DataFrame:
-    """(doc, tag, columns): the id with NULL first, and a checksum of the text."""
+    """(doc, tag, columns): the id with NULL first, and a 64-bit hash of the text."""
     find_package(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    return docs.select(doc.alias("doc"), F.crc32(text.cast("binary")).alias("tag"), *columns)
+    return docs.select(doc.alias("doc"), F.xxhash64(text).alias("tag"), *columns)
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
     """(doc, tag, text), a NULL text being empty.
 
-    Rows that share an id are told apart and ordered by the checksum; rows equal in both
+    Rows that share an id are told apart and ordered by the hash; rows equal in both
     are one document. Only these columns are read, whatever else the table holds.
     """
     return keyed(docs, F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -69,8 +80,34 @@ def stored(df: DataFrame) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """A table without texts, cut from its lineage by a checkpoint.
 
-    It has an eighth of the session's shuffle partitions: every later shuffle of it writes
-    files per partition, and such tables are many and small beside the documents.
+    Its partitions are those of the plan: adaptive execution joins small ones after a shuffle.
     """
     require_checkpoint_dir(df.sparkSession)
-    return df.coalesce(max(4, shuffle_partitions(df.sparkSession) // 8)).checkpoint(eager=True)
+    return df.checkpoint(eager=True)
+
+
+#: Rows of one key that a task may well take in a join, whatever the table's size.
+FEW_ROWS = 2000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: DataFrame | None = None) -> DataFrame:
+    """``left`` joined to ``right``, which has one row per key, with frequent keys spread.
+
+    Keys with more than a quarter of a task's share are salted; at most four per shuffle
+    partition can be that frequent, which bounds what is collected and broadcast here. They
+    are counted in ``rows``, a stored table with the keys of ``left`` (``left`` itself if
+    that is stored).
+    """
+    spark = left.sparkSession
+    rows = left if rows is None else rows
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
+    each = max(FEW_ROWS, rows.count() // (4 * shuffle_partitions(spark)))
+    heavy = counts.filter(F.col("rows") > each).select(*on, F.ceil(F.col("rows") / each).cast("int").alias("salts")).collect()
+    if not heavy:
+        return left.join(right, on, how)
+    schema = left.select(*on).schema.add("salts", "integer")
+    salts = F.broadcast(spark.createDataFrame(heavy, schema))
+    parts = F.coalesce("salts", F.lit(1))
+    dealt = left.join(salts, on, "left").withColumn("salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("salts")
+    copies = right.join(salts, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("salts")
+    return dealt.join(copies, [*on, "salt"], how).drop("salt")

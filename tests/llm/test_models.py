@@ -153,6 +153,114 @@ def test_labels_cut_no_text(page, want):
     assert site_style_tree.main_text(site_style_tree.parse(page), {}, 0.2).split("\n") == want
 
 
+@pytest.mark.parametrize("inner", [
+    '<div class="comment-list">x</div>', '<div class="reader-comments">x</div>', '<section class="post-comments">x</section>',
+    '<div id="comments-area">x</div>', '<section id="comments">x</section>', '<ol id="comments"><li>x</ol>', '<div class="ad-slot">x</div>',
+    '<div class="ad-container">x</div>', '<div class="cookie-bar">x</div>', '<div class="share-buttons">x</div>',
+    '<div class="site-sidebar">x</div>', '<article class="comment"><p>x</article>', '<div itemprop="comment">x</div>',
+])
+def test_named_furniture_in_an_article_goes(inner):
+    page = f'<body><div class="main-nav">x</div><article><p>one</p>{inner}<p>two</p></article><div class="site-footer">x</div>'
+    assert site_style_tree.main_text(site_style_tree.parse(page), {}, 0.2) == "one\ntwo"
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<article>energy is <math>E</math> here</article>", "energy is <E> here"),
+    ("<article>press <button>Go</button> or <select><option>a</select></article>", "press Go or a"),
+    ('<article class="comment post"><p>its own page</article>', "its own page"),
+    ('<article><div class="post-content main-content">a</div><div class="right-post">b</div></article>', "a\nb"),
+    ("<p>a < b <3 <", "a < b <3 <"),
+    ('<p title="1 > 0">a</p><p title=\'"\'>b', "a\nb"),
+    ('<p title="open>a</p><p>b', "a\nb"),
+    ("<p>a<svg>b<p>c<!-- d", "ab\nc"),
+])
+def test_markup(page, want):
+    got = site_style_tree.main_text(site_style_tree.parse(page), {}, 0.2)
+    assert got == want.replace("<E>", "E")
+
+
+@pytest.mark.parametrize("part", ["<a ", "<svg>", "<a \">\" ", "<a '\"", "<!-", "<a \"x\"", "<p title='", "</", "<script>x</script"])
+def test_broken_markup_is_read_in_linear_time(part):
+    import time
+
+    for end in ("", ">", "\">"):
+        start = time.process_time()
+        site_style_tree._TagEnds and list(_tags(part * 60_000 + end))
+        assert time.process_time() - start < 3
+
+
+def _tags(page):
+    ends, at = site_style_tree._TagEnds(page), 0
+    while (start := page.find("<", at)) >= 0:
+        *found, at = ends.tag(start)
+        yield found
+
+
+def test_a_long_broken_page(spark):
+    import time
+
+    start = time.process_time()
+    for part in ("<a ", "<svg>", "<svg><a '"):
+        site_style_tree.parse(part * 100_000)
+    assert time.process_time() - start < 6
+
+
+def test_entropy_removes_repeated_branches_of_articles(spark):
+    """No label names the strip and the box inside of the articles; copies of one article stay whole."""
+    rng = random.Random(9)
+    text = lambda k: "".join(f"<p>{' '.join(str(rng.random()) for _ in range(9))}</p>" for _ in range(k))
+    pages = [f"<article><div class=strip><b>Daily</b></div><h1>Same title</h1>{text(3)}<div class=low><div>Read our paper</div></div></article>" for _ in range(12)]
+    copied = f"<article><div class=strip><b>Daily</b></div>{text(3)}</article>"
+    rows = [(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)] + [(100 + i, f"http://b.example/{i}", copied) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in site_style_tree.extract_main_text(df).collect()}
+    for i in range(12):
+        assert got[i].startswith("Same title\n") and got[i].count("\n") == 3 and "Daily" not in got[i] and "paper" not in got[i]
+    for i in range(6):
+        assert got[100 + i].startswith("Daily\n") and got[100 + i].count("\n") == 3
+
+
+def brute_importance(pages):
+    """(site, path) to importances, counted with plain dictionaries: {site: [parsed page]}."""
+    import math
+    from collections import Counter
+
+    out = {}
+    for site_name, roots in pages.items():
+        styles, texts, held = {}, {}, Counter()
+        for root in roots:
+            for path, style, own in site_style_tree.page_nodes(root):
+                held[path] += 1
+                styles.setdefault(path, Counter())[style] += 1
+                texts.setdefault(path, Counter()).update(set(own))
+        for path, m in held.items():
+            if m == 1:
+                out[site_name, path] = (1.0, 1.0, 1)
+                continue
+            entropy = sum(-c / m * math.log(c / m) / math.log(m) for c in styles[path].values())
+            n = sum(texts[path].values())
+            content = sum(c * (1 - math.log(c) / math.log(m)) for c in texts[path].values()) / n if n else 1.0
+            out[site_name, path] = (entropy, content, m)
+    return out
+
+
+def test_style_tree_matches_plain_counting(spark):
+    rows = [(u, p) for u, p in [*site(9, "a.example"), *site(4, "b.example"), *site(1, "c.example")]]
+    parsed = {}
+    for url, page in rows:
+        parsed.setdefault(url.split("/")[2], []).append(site_style_tree.parse(page))
+    want = brute_importance(parsed)
+    df = spark.createDataFrame([(i, u, p) for i, (u, p) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    keyed = site_style_tree._keyed_pages(df)
+    schema = "doc long, tag long, site long, nodes array<struct<node: long, style: long, texts: array<long>>>"
+    trees = keyed.select("doc", "tag", "site", "html").mapInArrow(site_style_tree._parse_batches, schema)
+    sites = {r.site: r.host for r in keyed.selectExpr("site", "split(url, '/')[2] as host").distinct().collect()}
+    got = {(sites[r.site], r.node): (r.presentation, r.content, r.pages) for r in site_style_tree.node_importance(trees).collect()}
+    assert got.keys() == want.keys()
+    for key in want:
+        assert got[key] == pytest.approx(want[key], abs=1e-6)
+
+
 def site(n, host):
     """Pages without an article element: a fixed strip and a fixed note around changing text."""
     rng = random.Random(n)

@@ -2,10 +2,10 @@
 
 import hashlib
 import re
-import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 from gamelog.llm import block_anchors, queries, suffix_doubling
 from gamelog.llm.tables import NULL_ID, keyed_texts
@@ -35,7 +35,9 @@ def removed(units, window):
 
 
 def by_key(rows):
-    return {(NULL_ID if r[0] is None else r[0], zlib.crc32((r[1] or "").encode())): (r[1] or "").encode() for r in rows}
+    tag = lambda raw: xxhash.xxh64_intdigest(raw, 42) - (xxhash.xxh64_intdigest(raw, 42) >> 63 << 64)
+    texts = [(r[0], (r[1] or "").encode()) for r in rows]
+    return {(NULL_ID if i is None else i, tag(raw)): raw for i, raw in texts}
 
 
 def want(rows, split, join, window):
