@@ -34,12 +34,16 @@ def floor_at(value: Column, low: float = 1, keep_null: bool = False) -> Column:
     return F.when(value.isNotNull(), clipped) if keep_null else clipped
 
 
-def clock_minutes(clock: Column, blanks: Sequence[str] = BLANK_CLOCKS) -> Column:
-    """``"mm:ss"`` as fractional minutes; NULL and blank clocks are 0, no seconds is NULL."""
+def clock_minutes(clock: Column, blanks: Sequence[str] = BLANK_CLOCKS, strict: bool = True) -> Column:
+    """``"mm:ss"`` as fractional minutes; NULL and blank clocks are 0, no seconds is NULL.
+
+    Text that is no number fails the job; without ``strict`` the result is NULL.
+    """
+    number = (lambda part: part.cast("double")) if strict else (lambda part: part.try_cast("double"))
     cleaned = F.when(clock.isNull() | clock.isin(*blanks), F.lit(ZERO_CLOCK)).otherwise(clock)
     parts = F.split(cleaned, ":")
-    minutes = F.try_element_at(parts, F.lit(1)).cast("double")
-    seconds = F.try_element_at(parts, F.lit(2)).cast("double")
+    minutes = number(F.try_element_at(parts, F.lit(1)))
+    seconds = number(F.try_element_at(parts, F.lit(2)))
     return minutes + seconds / F.lit(60.0)
 
 

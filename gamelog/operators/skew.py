@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Keys looked for, and counters kept per task and group while looking: both fixed, so what
@@ -24,36 +24,56 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
 
 
-def key_hash(keys: Sequence[str]) -> Column:
+def key_hash(keys: Sequence[str | Column]) -> Column:
     return F.xxhash64(*keys)
 
 
+def heavy_hitters(key: Column) -> Column:
+    """Aggregate: the most frequent hashes and their counts, approximate in bounded space."""
+    return F.call_function("approx_top_k", key, F.lit(MOST_HOT), F.lit(TRACKED))
+
+
+def hot_among(counts: Mapping[int, int], rows: int, share: float) -> list[int]:
+    """The keys that have more than ``share`` of the rows, most frequent first."""
+    return [key for key, n in sorted(counts.items(), key=lambda item: -item[1]) if n > share * rows][:MOST_HOT]
+
+
+def task_share(spark: SparkSession) -> float:
+    """The share of a table's rows that one task gets."""
+    return 1 / max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def hot_keys_of(
     tables: Mapping[str, tuple[DataFrame, Sequence[str]]], share: float | None = None
 ) -> dict[str, list[int]]:
     """The hot keys of each ``{name: (table, key columns)}``, in one job over the key columns.
 
     Hot is a key with more than a task's share of its table's rows, whatever their number
-    (or with more than ``share`` of them).
+    (or with more than ``share`` of them). Names that give the same table share its scan.
     Counts are approximate (heavy hitters in bounded space); a key they miss or overrate is
     only placed in the other plan.
     """
     if not tables:
         return {}
-    parts = [df.select(F.lit(n).alias("_table"), key_hash(keys).alias("_key")) for n, (df, keys) in tables.items()]
-    tops = (
-        reduce(DataFrame.unionAll, parts)
-        .groupBy("_table")
-        .agg(F.expr(f"approx_top_k(_key, {MOST_HOT}, {TRACKED})").alias("top"), F.count(F.lit(1)).alias("n"))
-    )
-    found = {row["_table"]: row for row in tops.collect()}
-    spark = parts[0].sparkSession
-    if share is None:
-        share = 1 / max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return {
-        name: [item["item"] for item in found[name]["top"] if item["count"] > share * found[name]["n"]] if name in found else []
-        for name in tables
-    }
+    scans: dict[int, tuple[DataFrame, dict[str, Sequence[str]]]] = {}
+    for name, (df, keys) in tables.items():
+        scans.setdefault(id(df), (df, {}))[1][name] = keys
+    width = max(len(sets) for _, sets in scans.values())
+    parts = []
+    for at, (df, sets) in enumerate(scans.values()):
+        keys = [key_hash(k).alias(f"_key{i}") for i, k in enumerate(sets.values())]
+        keys += [F.lit(None).cast("long").alias(f"_key{i}") for i in range(len(sets), width)]
+        parts.append(df.select(F.lit(at).alias("_table"), *keys))
+    tops = [heavy_hitters(F.col(f"_key{i}")).alias(f"top{i}") for i in range(width)]
+    counted = reduce(DataFrame.unionAll, parts).groupBy("_table").agg(*tops, F.count(F.lit(1)).alias("n"))
+    found = {row["_table"]: row for row in counted.collect()}
+    share = task_share(parts[0].sparkSession) if share is None else share
+    hot: dict[str, list[int]] = {name: [] for name in tables}
+    for at, (_, sets) in enumerate(scans.values()):
+        for i, name in enumerate(sets if at in found else ()):
+            counts = {item["item"]: item["count"] for item in found[at][f"top{i}"]}
+            hot[name] = hot_among(counts, found[at]["n"], share)
+    return hot
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], share: float | None = None) -> list[int]:

@@ -497,6 +497,54 @@ losses as (
 select 'pir_ma3' as feature, round(avg(loss), 6) as importance, round(stddev_pop(loss), 6) as deviation from losses"""
 
 
+def _linear_importances(names: tuple[str, ...] = ("pir_ma3", "minutes_played", "Points"), seed: int = 42, repeats: int = 10) -> str:
+    """Least squares on three inputs by Cramer's rule, then each input shuffled."""
+    draw = random.Random(seed)
+    shares = ", ".join(f"({r}, {draw.random()!r})" for r in range(repeats))
+
+    def det(m: list[list[str]]) -> str:
+        if len(m) == 1:
+            return m[0][0]
+        parts = [f"{'-' if k % 2 else '+'} ({c}) * ({det([row[:k] + row[k + 1:] for row in m[1:]])})" for k, c in enumerate(m[0])]
+        return " ".join(parts)
+
+    s = [[f"covar_pop(x{i}, x{j})" for j in range(3)] for i in range(3)]
+    replaced = lambda i: [[f"covar_pop(x{r}, y)" if c == i else s[r][c] for c in range(3)] for r in range(3)]
+    slopes = ", ".join(f"({det(replaced(i))}) / ({det(s)}) as b{i}" for i in range(3))
+    inputs = ", ".join(f"cast({n} as double) as x{i}" for i, n in enumerate(names))
+    error = "y - base - b0 * a.x0 - b1 * a.x1 - b2 * a.x2"
+    losses = " union all ".join(
+        f"select '{n}' as feature, r, (sum(({error} - b{i} * (b.x{i} - a.x{i})) ** 2) - sum(({error}) ** 2)) / (var_pop(y) * count(*)) as loss "
+        f"from trials, fitted group by r"
+        for i, n in enumerate(names)
+    ).replace("a.x", "x").replace("b.x", "moved")
+    return f"""{_FOLD_CTES},
+rows3 as (select *, cast(next_PIR as double) as y, {inputs} from folded),
+slopes as (select {slopes}, avg(y) as my, avg(x0) as m0, avg(x1) as m1, avg(x2) as m2 from rows3),
+fitted as (select b0, b1, b2, my - b0 * m0 - b1 * m1 - b2 * m2 as base from slopes),
+shuffled as (
+  select x0, x1, x2, y, count(*) over () as size, row_number() over (order by
+    md5(concat_ws('|', '{seed}', Season, Round, Gamecode, Player_ID, Team)), Season, Round, Gamecode, Player_ID, Team) - 1 as at
+  from rows3),
+shares(r, u) as (values {shares}),
+trials as (
+  select r, a.y as y, a.x0 as x0, a.x1 as x1, a.x2 as x2, b.x0 as moved0, b.x1 as moved1, b.x2 as moved2
+  from shuffled a, shares join shuffled b on true
+  where b.at = (a.at + 1 + cast(floor(u * (a.size - 1)) as bigint)) % a.size),
+losses as ({losses})
+select feature, round(avg(loss), 6) as importance, round(stddev_pop(loss), 6) as deviation from losses group by feature"""
+
+
+# Clocks that do not parse, at known places, and what a lenient reading makes of them.
+_SPOILT = (
+    "spoilt as (select Gamecode, case when Gamecode % 29 = 0 then 'x' || Minutes else Minutes end as Minutes from box)"
+)
+_LENIENT = (
+    "case when Minutes is null or Minutes in ('', 'DNP') then 0.0 "
+    "else try_cast(split_part(Minutes, ':', 1) as double) + try_cast(split_part(Minutes, ':', 2) as double) / 60 end"
+)
+
+
 def oracle_sql() -> dict[str, str]:
     twins = _oracle_sql()
     # the plan for hot keys must give the same rows
@@ -520,6 +568,25 @@ def _oracle_sql() -> dict[str, str]:
             f"select Season, '{name}' as table_name, count(*) as n_rows from {cte} group by Season"
             for name, cte in (("player_stats", "box"), ("shot_data", "shots"), ("playbyplay", "plays"))
         ),
+        "landed_manifest": f"with {ADAPTERS} "
+        + " union all ".join(
+            f"select Season, '{name}' as table_name, count(*) as n_rows from {cte} group by Season"
+            for name, cte in (("player_stats", "box"), ("shot_data", "shots"), ("playbyplay", "plays"))
+        ),
+        "feature_matrix_landed": f"{_MATRIX_CTES} select {_MATRIX_COLUMNS} from matrix",
+        "feature_matrix_bucketed": f"{_MATRIX_CTES} select {_MATRIX_COLUMNS} from matrix",
+        "lenient_minutes": f"with {ADAPTERS}, {_SPOILT} select Gamecode, Minutes, {_double(_LENIENT, 'minutes_played')} from spoilt",
+        "lenient_flags": f"with {ADAPTERS} select ID_PLAYER, "
+        "cast(sum(try_cast(case when Gamecode % 31 = 0 then 'n/a' else FASTBREAK end as int)) as bigint) as fastbreaks, "
+        "cast(sum(try_cast(SECOND_CHANCE as int)) as bigint) as second_chances, "
+        "count(try_cast(case when Gamecode % 31 = 0 then 'n/a' else FASTBREAK end as int)) as known from shots group by ID_PLAYER",
+        "quarantined_cells": f"with {ADAPTERS}, {_SPOILT} select Gamecode, 'Minutes' as column_name, Minutes as text "
+        f"from spoilt where Minutes is not null and {_LENIENT} is null "
+        "union all select Gamecode, 'FASTBREAK', 'n/a' from shots where Gamecode % 31 = 0",
+        "approx_zones": f"with {ADAPTERS} select Season, count(*) as n, "
+        "count(distinct ZONE) + max(case when ZONE is null then 1 else 0 end) as zones, true as within_bound from shots group by Season",
+        "approx_quartiles": f"with {ADAPTERS} select Season, count(*) as n, true as shot_distance_75th, true as shot_distance_25th "
+        "from shots where COORD_X is not null and COORD_Y is not null group by Season",
         "clock_minutes_played": _box_query(f"Gamecode, Minutes, {_doubles(['minutes_played'])}"),
         "shooting_percentages": _box_query(
             f"{_GAME}, "
@@ -610,6 +677,7 @@ def _oracle_sql() -> dict[str, str]:
         "linear_cv_metrics": f"{_LINE_CTES} select fold, {_doubles(['rmse', 'mae', 'r2'])} from line_metrics",
         "linear_learning_curve": _linear_curve(),
         "linear_importance": _linear_importance(),
+        "linear_importances": _linear_importances(),
         "metric_quartiles": _quartiles(),
         "oof_scatter_bins": f"{_FOLD_CTES} select cast(floor(actual / 5) as bigint) as actual_bin, "
         "cast(floor(predicted / 5) as bigint) as predicted_bin, count(*) as n "

@@ -18,7 +18,8 @@ from gamelog.plans.feature_set import (
     keyed,
     transform_together,
 )
-from gamelog.sources.catalog import SEASON, read_seasons, write_features
+from gamelog.sources.buckets import read_bucketed, store_bucketed
+from gamelog.sources.catalog import SEASON, landed_hot, read_seasons, write_features
 
 log = logging.getLogger(__name__)
 
@@ -35,6 +36,18 @@ def find_hot(tables: Mapping[str, DataFrame], sources: Sequence[str] = tuple(SEQ
     return hot_keys_of({s: (keyed(tables[s], s), SEQUENCE_KEYS[s]) for s in wanted})
 
 
+# The key sets of landed tables that stand for ``SEQUENCE_KEYS``.
+KEPT_AS = {"player_stats": "series", "shot_data": "game", "playbyplay": "game"}
+
+
+def stored_hot(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], seasons: Sequence[int | str] | None = None) -> dict[str, list[int]]:
+    """The same for stored tables: from the counts kept when they were landed, without a job
+    over rows; only tables that were not landed here are looked through."""
+    known = landed_hot(spark, root, seasons)
+    hot = {s: known[s][KEPT_AS[s]] for s in SEQUENCE_KEYS if s in known}
+    return hot | find_hot(tables, [s for s in SEQUENCE_KEYS if s not in known])
+
+
 def default_registry(hot: Mapping[str, Sequence[int]] | None = None) -> FeatureRegistry:
     hot = hot or {}
     registry = FeatureRegistry()
@@ -71,6 +84,19 @@ def feature_matrix(
     for the team totals. ``hot`` (see :func:`find_hot`) are keys to split between tasks;
     it belongs to the default registry.
     """
+    matrix, *others = matrix_parts(tables, sets, registry, season, exclude_ids, hot)
+    return joined_parts(matrix, others)
+
+
+def matrix_parts(
+    tables: Mapping[str, DataFrame],
+    sets: Sequence[str] | None = None,
+    registry: FeatureRegistry | None = None,
+    season: int | str | None = None,
+    exclude_ids: Sequence[str] = (),
+    hot: Mapping[str, Sequence[int]] | None = None,
+) -> list[DataFrame]:
+    """The box score with its features, then each other source's features by key."""
     chosen = choose_sets(registry or default_registry(hot), sets)
     by_source: dict[tuple, list[FeatureSet]] = {}
     for one in chosen:
@@ -90,15 +116,33 @@ def feature_matrix(
     for (name, step), group in by_source.items():
         if step is None and name == BASE:
             matrix = transform_together(group, matrix)
-    for (name, step), group in by_source.items():
-        if step is None:
-            continue
-        features = transform_together(group, source(name))
-        _check_new(matrix, [n for one in group for n in one.features])
+    return [matrix, *[transform_together(group, source(name)) for (name, step), group in by_source.items() if step is not None]]
+
+
+def joined_parts(matrix: DataFrame, others: Sequence[DataFrame]) -> DataFrame:
+    for features in others:
+        _check_new(matrix, [c for c in features.columns if c not in KEYS])
         matrix = matrix.join(features, list(KEYS), "left")
     return matrix.fillna(0)
 
 
+def store_parts(parts: Sequence[DataFrame], name: str, path: str, buckets: int) -> list[str]:
+    """Store the parts bucketed on (season, player, game); returns the tables' names.
+
+    The matrix joined from them (:func:`stored_matrix`) exchanges neither side.
+    """
+    tables = [f"{name}_{i}" for i in range(len(parts))]
+    for table, part in zip(tables, parts):
+        store_bucketed(part, table, f"{path}/{table}", KEYS, buckets)
+    return tables
+
+
+def stored_matrix(spark: SparkSession, tables: Sequence[str]) -> DataFrame:
+    """The feature matrix from stored parts."""
+    matrix, *others = [read_bucketed(spark, table) for table in tables]
+    return joined_parts(matrix, others)
+
+
 def _check_new(matrix: DataFrame, names: Sequence[str]) -> None:
     have = {c.lower() for c in matrix.columns}
     clash = [name for name in names if name.lower() in have]
@@ -134,7 +178,7 @@ def build_features(spark: SparkSession, config: FeatureConfig) -> str:
     """Compute the matrix of the configured seasons and write it; returns its path."""
     tables = read_seasons(spark, config.data_dir, config.seasons)
     path = f"{config.output_dir.rstrip('/')}/features"
-    hot = find_hot(tables)
+    hot = stored_hot(spark, config.data_dir, tables, config.seasons)
     write_features(feature_matrix(tables, config.sets, exclude_ids=config.exclude_ids, hot=hot), path)
     return path
 

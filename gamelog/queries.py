@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -10,12 +11,14 @@ from pyspark.sql import functions as F
 
 from gamelog.functions.aggregates import distinct_with_null, success_rate
 from gamelog.functions.scalars import clock_minutes
+from gamelog.operators import quarantine, sketches
 from gamelog.operators.quantile import nearest_quantiles
 from gamelog.operators.series import add_ewm_means, ewm_reach, rolling
 from gamelog.operators.ordering import global_row_index, with_sequences
-from gamelog.operators.skew import hot_keys
+from gamelog.operators.skew import hot_keys, hot_keys_of
 from gamelog.plans import boxscore, dataset, evaluation, matrix, model, plays, predict, shots
 from gamelog.plans.feature_set import KEYS, chain, keyed, series_order, transform_together
+from gamelog.session import scratch_path
 from gamelog.sources import catalog, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,6 +96,69 @@ def raw_manifest(spark, folder):
     return catalog.season_counts(samples.game_tables(spark, folder))
 
 
+SEASONS = (2023, 2024)
+
+
+def _landed(spark, folder):
+    """The sample tables landed season by season in a new store; its path and manifest."""
+    tables, root = samples.game_tables(spark, folder), scratch_path(spark)
+    sources = {s: {name: df.where(F.col("Season") == s) for name, df in tables.items()} for s in SEASONS}
+    return root, catalog.land_seasons(spark, sources, root)
+
+
+@query
+def landed_manifest(spark, folder):
+    return _landed(spark, folder)[1].drop("path")
+
+
+@query
+def feature_matrix_landed(spark, folder):
+    root, _ = _landed(spark, folder)
+    return catalog.read_features(spark, matrix.build_features(spark, matrix.FeatureConfig(root, root, SEASONS)))
+
+
+@query
+def feature_matrix_bucketed(spark, folder):
+    tables, name = samples.game_tables(spark, folder), f"features_{uuid.uuid4().hex}"
+    parts = matrix.matrix_parts(tables, hot=matrix.find_hot(tables))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return matrix.stored_matrix(spark, matrix.store_parts(parts, name, scratch_path(spark), buckets))
+
+
+# Bad cells at known places, for the lenient casts.
+
+
+def _checked_clocks(spark, folder):
+    box = samples.player_stats(spark, folder)
+    clocks = F.when(F.col("Gamecode") % 29 == 0, F.concat(F.lit("x"), "Minutes")).otherwise(F.col("Minutes"))
+    parsed = {"minutes_played": ("Minutes", clock_minutes(F.col("Minutes"), strict=False))}
+    return quarantine.checked(box.withColumn("Minutes", clocks), parsed)
+
+
+def _checked_flags(spark, folder):
+    rows = samples.shot_data(spark, folder)
+    flag = F.when(F.col("Gamecode") % 31 == 0, F.lit("n/a")).otherwise(F.col("FASTBREAK"))
+    return quarantine.checked(rows.withColumn("FASTBREAK", flag), quarantine.casts({"FASTBREAK": "int", "SECOND_CHANCE": "int"}))
+
+
+@query
+def lenient_minutes(spark, folder):
+    return quarantine.good_rows(_checked_clocks(spark, folder)).select("Gamecode", "Minutes", "minutes_played")
+
+
+@query
+def lenient_flags(spark, folder):
+    rows = quarantine.good_rows(_checked_flags(spark, folder))
+    return rows.groupBy("ID_PLAYER").agg(F.sum("FASTBREAK").alias("fastbreaks"), F.sum("SECOND_CHANCE").alias("second_chances"), F.count("FASTBREAK").alias("known"))
+
+
+@query
+def quarantined_cells(spark, folder):
+    written = [quarantine.write_checked(_checked_clocks(spark, folder), scratch_path(spark), ["Gamecode"])]
+    written.append(quarantine.write_checked(_checked_flags(spark, folder), scratch_path(spark), ["Gamecode"]))
+    return written[0][1].unionByName(written[1][1])
+
+
 # --- box score ---------------------------------------------------------------
 
 
@@ -255,6 +321,43 @@ def shot_zone_distinct(spark, folder):
     return _shots(spark, folder).groupBy(*KEYS).agg(zones)
 
 
+# Sketches are stored per player and game and merged to seasons; the queries give the exact
+# figures and whether the estimates keep their bounds.
+
+
+def _season_sketches(spark, folder):
+    rows = _shots(spark, folder)
+    fine = sketches.sketched(rows, KEYS, {"zones": "ZONE"}, {"distances": "shot_distance"})
+    return rows, sketches.merged(fine, ["Season"], ["zones"], ["distances"])
+
+
+@query
+def approx_zones(spark, folder):
+    rows, coarse = _season_sketches(spark, folder)
+    exact = rows.groupBy("Season").agg(distinct_with_null(F.col("ZONE")).alias("zones_exact"))
+    found = coarse.select("Season", "n", sketches.distinct_estimate("zones").alias("zones"))
+    near = F.abs(F.col("zones") - F.col("zones_exact")) <= 3 * 0.016 * F.col("zones_exact")
+    return found.join(exact, "Season").select("Season", "n", F.col("zones_exact").alias("zones"), near.alias("within_bound"))
+
+
+@query
+def approx_quartiles(spark, folder):
+    rows, coarse = _season_sketches(spark, folder)
+    estimates = {name: sketches.quantile_estimate("distances", q).alias(name) for name, q in shots.QUARTILES.items()}
+    known = F.col("shot_distance").isNotNull()
+    ranked = rows.join(coarse.select("Season", *estimates.values()), "Season").groupBy("Season").agg(
+        F.count_if(known).alias("n"),
+        *[F.count_if(F.col("shot_distance") < F.col(name)).alias(f"{name}_below") for name in estimates],
+        *[F.count_if(F.col("shot_distance") <= F.col(name)).alias(f"{name}_upto") for name in estimates],
+    )
+    error = sketches.RANK_ERROR
+    within = [
+        ((F.col(f"{name}_below") / F.col("n") <= q + error) & (F.col(f"{name}_upto") / F.col("n") >= q - error)).alias(name)
+        for name, q in shots.QUARTILES.items()
+    ]
+    return ranked.select("Season", "n", *within)
+
+
 @query
 def shot_success_by_distance(spark, folder):
     made = shots.is_made()
@@ -394,8 +497,11 @@ def feature_summary(spark, folder):
 
 
 def _next_games(spark, folder, share=None):
-    hot = hot_keys(samples.player_stats(spark, folder), ["Player_ID"], share)
-    return dataset.with_next_game(_box_matrix(spark, folder), hot=hot)
+    stats = samples.player_stats(spark, folder)
+    sets = {"player_stats": (stats, boxscore.SERIES_KEYS), "player": (stats, ["Player_ID"])}
+    hot = hot_keys_of(sets, share)
+    features = matrix.feature_matrix({"player_stats": stats}, ["combined_stats"], hot=hot)
+    return dataset.with_next_game(features, hot=hot["player"])
 
 
 @query
@@ -551,13 +657,24 @@ def linear_learning_curve(spark, folder):
 @query
 def linear_importance(spark, folder):
     rows = _timed(spark, folder)
-    return model.permutation_importance(model.fit_linear(rows, LINE, dataset.TARGET), rows)
+    return model.permutation_importance(model.fit_forecaster(rows, names=LINE, fit=model.fit_linear), rows)
+
+
+LINES = ["pir_ma3", "minutes_played", "Points"]
+
+
+@query
+def linear_importances(spark, folder):
+    rows = _next_games(spark, folder).select(*GAME, "Round", "Team", *LINES, "next_PIR").persist()
+    return model.permutation_importance(model.fit_forecaster(rows, names=LINES, fit=model.fit_linear), rows)
 
 
 def _training(spark, folder):
     """The training rows and the model inputs that some feature set provides."""
-    hot = hot_keys(samples.player_stats(spark, folder), ["Player_ID"])
-    rows, made_up = dataset.training_set(_matrix(spark, folder), hot=hot)
+    tables = samples.game_tables(spark, folder)
+    sets = {name: (keyed(tables[name], name), keys) for name, keys in matrix.SEQUENCE_KEYS.items()}
+    hot = hot_keys_of(sets | {"player": (sets["player_stats"][0], ["Player_ID"])})
+    rows, made_up = dataset.training_set(matrix.feature_matrix(tables, hot=hot), hot=hot["player"])
     return rows.persist(), [c for c in dataset.MODEL_FEATURES if c not in made_up]
 
 

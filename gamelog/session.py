@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +41,8 @@ def require_checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder."""
+    return f"{require_checkpoint_dir(spark)}/gamelog-{uuid.uuid4().hex}"

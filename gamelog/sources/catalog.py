@@ -1,4 +1,8 @@
-"""The tables of a game-log store: ``<root>/<table>/season=<year>/*.parquet``."""
+"""The tables of a game-log store, by season.
+
+Landed tables are kept in versions (:mod:`gamelog.sources.versions`). Plain folders without a
+manifest, ``<root>/<table>/Season=<year>/*.parquet``, are read as they are.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +12,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gamelog.operators.skew import hot_among, task_share
+from gamelog.sources import versions
+from gamelog.sources.versions import SEASON
+
 # Tables the features are computed from, and tables that are only landed.
 FEATURE_TABLES = ("player_stats", "shot_data", "playbyplay")
 LANDED_TABLES = (*FEATURE_TABLES, "quarter_data", "end_quarter_data")
-SEASON = "Season"
+# Keys that windows and ranks of a table are partitioned by; their frequent values are kept
+# when a season is landed.
+KEY_SETS = {
+    "player_stats": {"series": (SEASON, "Player_ID"), "player": ("Player_ID",)},
+    "shot_data": {"game": (SEASON, "ID_PLAYER", "Gamecode")},
+    "playbyplay": {"game": (SEASON, "PLAYER_ID", "Gamecode")},
+}
 
 
 def table_path(root: str, table: str) -> str:
@@ -32,9 +46,10 @@ def read_table(
     ``keep`` persists it (memory and disk) for callers that read it several times.
     """
     path = table_path(root, table)
-    if seasons is None:
+    df = versions.read(spark, path, seasons)
+    if df is None and seasons is None:
         df = read_parquet(spark, [path], f"table {table!r}")
-    else:
+    elif df is None:
         # The folders themselves are read, so a season that was never landed is an error.
         parts = [f"{path}/{SEASON}={int(s)}" for s in seasons]
         df = read_parquet(spark, parts, f"table {table!r}, seasons {[int(s) for s in seasons]}", path)
@@ -68,12 +83,29 @@ def union_seasons(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def land_season(df: DataFrame, root: str, table: str, season: int | str) -> tuple[str, int] | None:
-    """Write one season of a raw table; returns its path and rows. An empty one is skipped."""
-    path = f"{table_path(root, table)}/{SEASON}={int(season)}"
-    if df.isEmpty():
-        return None
-    df.drop(SEASON).write.mode("overwrite").parquet(path)
-    return path, df.sparkSession.read.parquet(path).count()  # from the footers
+    """Replace one season of a raw table; returns its path and rows. An empty one is skipped."""
+    columns = set(df.columns)
+    key_sets = {name: keys for name, keys in KEY_SETS.get(table, {}).items() if columns >= {*keys} - {SEASON}}
+    files = versions.land(df, table_path(root, table), int(season), key_sets)
+    return None if files is None else (files.path, files.n_rows)
+
+
+def landed_hot(
+    spark: SparkSession, root: str, seasons: Sequence[int | str] | None = None, share: float | None = None
+) -> dict[str, dict[str, list[int]]]:
+    """Hot keys ``{table: {key set: hashes}}`` of landed tables, from what was counted while
+    they were written: no scan.
+
+    A season's frequent keys are the 64 most frequent ones at most, so a key that is
+    moderately frequent in every season may be rated too low; the rows are the same.
+    """
+    share = task_share(spark) if share is None else share
+    found = {}
+    for table, key_sets in KEY_SETS.items():
+        rows, counts = versions.heavy_keys(spark, table_path(root, table), seasons)
+        if rows:
+            found[table] = {name: hot_among(counts.get(name, {}), rows, share) for name in key_sets}
+    return found
 
 
 def land_seasons(
@@ -131,36 +163,34 @@ def table_columns(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def write_features(features: DataFrame, path: str) -> None:
-    """Write the feature matrix by season; only the seasons present are replaced.
+    """Write the feature matrix by season; only the seasons present are replaced, all at once.
 
     All seasons must have the same columns: a matrix whose columns differ from the stored
     ones is refused.
     """
-    try:
-        stored = features.sparkSession.read.parquet(path)
-    except AnalysisException:
-        stored = None  # nothing is stored yet
+    stored = versions.read(features.sparkSession, path)
     if stored is not None:
         have, new = ({f.name: f.dataType for f in df.schema} for df in (stored, features))
         if have != new:
             differing = sorted(c for c in {*have, *new} if have.get(c) != new.get(c))
             raise ValueError(f"columns differ from the stored seasons at {path}: {differing}")
-    (
-        features.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(SEASON)
-        .parquet(path)
-    )
+    versions.replace(features, path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return read_parquet(spark, [path], "the feature matrix; build it first")
+    stored = versions.read(spark, path)
+    return read_parquet(spark, [path], "the feature matrix; build it first") if stored is None else stored
 
 
 def write_report_files(df: DataFrame, path: str) -> bool:
-    """Write a result as JSON and CSV (with header); an empty one is skipped."""
-    if df.isEmpty():
-        return False
-    df.write.mode("overwrite").json(f"{path}.json")
-    df.write.mode("overwrite").option("header", True).csv(f"{path}.csv")
-    return True
+    """Write a result as JSON and CSV (with header); an empty one is skipped.
+
+    The rows are kept while they are written, so they are computed once.
+    """
+    kept = df.persist()
+    some = not kept.isEmpty()
+    if some:
+        kept.write.mode("overwrite").json(f"{path}.json")
+        kept.write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+    kept.unpersist()
+    return some

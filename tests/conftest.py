@@ -9,7 +9,7 @@ sys.path.insert(0, str(ROOT / "tests"))
 
 from gamelog.session import local_session  # noqa: E402
 
-TINY = "/root/testdata/sf0.001"
+from helpers import TINY  # noqa: E402
 
 
 @pytest.fixture(scope="session")

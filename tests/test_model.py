@@ -62,6 +62,59 @@ def test_folds_move_no_rows(signal):
     assert "Exchange" not in plan and "Window" not in plan
 
 
+def test_folds_take_two_jobs(signal, monkeypatch):
+    collected = []
+    plain = type(signal).collect
+    monkeypatch.setattr(type(signal), "collect", lambda df: collected.append(1) or plain(df))
+    evaluation.with_time_folds(signal)
+    assert len(collected) <= 2
+
+
+def test_a_large_round_is_refined_column_by_column(signal, monkeypatch):
+    order = evaluation.time_order(signal)
+    whole = evaluation.rows_at(signal, order, [5, 99, 100, 599, 600])
+    monkeypatch.setattr(evaluation, "REFINED_ROWS", 3)
+    assert evaluation.rows_at(signal, order, [5, 99, 100, 599, 600]) == whole and 600 not in whole
+
+
+def test_first_trees_equal_a_shorter_fit(signal):
+    long, short = [
+        model.fit_forecaster(signal, model.ForecastParams(max_iter=n, max_depth=3, early_stopping=False), NAMES) for n in (8, 5)
+    ]
+    cut = model.first_trees(long.stages[-1], 5)
+    assert cut.getNumTrees == 5 and cut.treeWeights == short.stages[-1].treeWeights
+    assert cut.toDebugString.split("\n", 1)[1] == short.stages[-1].toDebugString.split("\n", 1)[1]
+    assert cut.featureImportances == short.stages[-1].featureImportances
+    scored = [short.stages[1].transform(short.stages[0].transform(signal))]
+    columns = ["Gamecode", "predicted"]
+    assert_same(cut.transform(scored[0]).select(columns), short.transform(signal).select(columns))
+    with pytest.raises(ValueError):
+        model.first_trees(long.stages[-1], 9)
+
+
+def test_early_stopping_keeps_the_first_trees(signal):
+    params = model.ForecastParams(max_iter=12, max_depth=2, tolerance=5.0, patience=1)
+    fitted = model.fit_forecaster(signal, params, NAMES).stages[-1]
+    whole = model.fit_forecaster(signal, model.ForecastParams(max_iter=12, max_depth=2, tolerance=-1e9), NAMES).stages[-1]
+    assert 1 <= fitted.getNumTrees < whole.getNumTrees == 12
+    assert fitted.toDebugString.split("\n", 1)[1] in whole.toDebugString
+
+
+def test_fits_together_equal_fits_in_a_row(signal):
+    row = model.ForecastParams(**{**SMALL.__dict__, "parallel_fits": 1})
+    assert_same(model.cross_validate(signal, SMALL, NAMES), model.cross_validate(signal, row, NAMES))
+    curves = [model.learning_curve(signal, p, NAMES, fractions=(0.3, 1.0)) for p in (SMALL, row)]
+    assert_same(*curves)
+
+
+def test_a_failing_fit_is_reported(signal):
+    def bad(rows, target):
+        raise ValueError("no fit")
+
+    with pytest.raises(ValueError, match="no fit"):
+        model.cross_validate(signal, SMALL, NAMES, fit=bad)
+
+
 @pytest.mark.parametrize("errors,keep", [([5, 4, 3, 2], 4), ([5, 4, 4, 4, 1], 4), ([3, 4, 2, 2, 2.0], 5), ([1, 2, 3], 3)])
 def test_trees_until_the_error_stays(errors, keep):
     assert model.trees_to_keep(errors, 2, 1e-7) == keep
@@ -139,6 +192,40 @@ def test_importance_matches_brute_force(signal):
     assert got["a"] == pytest.approx(sum(losses) / 2, rel=1e-9)
 
 
+def test_rescoring_by_tree_equals_rescoring_whole(signal):
+    """Every feature and repeat against the whole model; untouched trees are not run again."""
+    params = model.ForecastParams(max_iter=12, max_depth=2, min_samples_leaf=5, early_stopping=False)
+    rows, fitted = signal, model.fit_forecaster(signal, params, NAMES)
+    trees = fitted.stages[-1]
+    touched = model.trees_by_slot(trees)
+    assert 2 not in touched and sum(map(len, touched.values())) < 2 * 12
+    got = {r.feature: (r.importance, r.deviation) for r in model.permutation_importance(fitted, rows, repeats=3).collect()}
+    import random
+    from pyspark.ml.linalg import Vectors
+
+    key = F.md5(F.concat_ws("|", F.lit("42"), *[F.col(c).cast("string") for c in evaluation.TIME_ORDER]))
+    listed = rows.withColumn("_k", key).orderBy("_k").collect()
+    draw, n = random.Random(42), len(listed)
+    shifts = [1 + int(draw.random() * (n - 1)) for _ in range(3)]
+    scaler = fitted.stages[1]
+    scale = lambda r: [(v - m) / s if s else 0.0 for v, m, s in zip(r, scaler.mean, scaler.std)]
+    x = [scale([r.a, r.b, r.c]) for r in listed]
+    y = [r[TARGET] for r in listed]
+    mean = sum(y) / n
+    spread = sum((v - mean) ** 2 for v in y)
+
+    def errors(tables):
+        frame = signal.sparkSession.createDataFrame([(k, yy, Vectors.dense(v)) for k, t in enumerate(tables) for yy, v in zip(y, t)], ["k", "y", "scaled"])
+        scored = trees.transform(frame).groupBy("k").agg(F.sum((F.col("y") - F.col("predicted")) ** 2).alias("e"))
+        return {r.k: r.e for r in scored.collect()}
+
+    moved = [[[*r[:i], x[(at + s) % n][i], *r[i + 1 :]] for at, r in enumerate(x)] for i in range(2) for s in shifts]
+    found = errors([x, *moved])
+    for i, name in enumerate("ab"):
+        losses = [(found[1 + 3 * i + k] - found[0]) / spread for k in range(3)]
+        assert got[name][0] == pytest.approx(sum(losses) / 3, rel=1e-6, abs=1e-9)
+
+
 def test_standardize(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "x double, k double")
     rows = model.standardize(df, ["x", "k"]).orderBy("x").collect()

@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, difference
-from conftest import TINY
+from helpers import TINY
 
 import __spark_entry__ as contract
 from gamelog import oracle, queries

@@ -1,7 +1,7 @@
 """What the physical plans must look like."""
 
 import pytest
-from conftest import TINY
+from helpers import TINY
 from pyspark.sql import functions as F
 
 from gamelog.plans import boxscore, dataset, matrix, plays, predict, shots
