@@ -17,9 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gamelog.llm.marks import (
-    Entries, by_document, changes, deal, exchange, first_places, forwarded, gathered, later_windows, marked, together,
+    Entries, by_document, changes, deal, exchange, forwarded, gathered, later_windows, marked, together,
 )
-from gamelog.llm.tables import id_of
+from gamelog.llm.tables import text_buckets
 from gamelog.llm.textbytes import NOT_SPACE, mix, ranges, room, row_slices, span_codes, utf8, windows, word_spans
 
 HITS, LATER = 0, 1

@@ -21,6 +21,7 @@ from gamelog.llm.byte_bpe import binary_rows
 from gamelog.llm.marks import (
     Entries, by_document, changes, deal, exchange, first_places, forwarded, gathered, later_windows, marked, together,
 )
+from gamelog.llm.tables import text_buckets
 from gamelog.llm.textbytes import BYTE_CODE, U64, mix, ranges, room, row_slices, sliding_min, utf8, windows
 
 REPEATED, OPEN = 0, 1

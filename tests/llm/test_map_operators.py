@@ -61,6 +61,84 @@ def test_edited_texts(spark, folder, rows):
     assert sum(r["near_next"] < r["near_edited"] for r in long) > 0.8 * len(long)
 
 
+TOP = 2**64
+
+
+def _mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % TOP
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % TOP
+    return x ^ (x >> 31)
+
+
+BYTE_CODES = [_mixed((b + 1) * 0x9E3779B97F4A7C15 % TOP) for b in range(256)]
+
+
+def brute_print(raw):
+    """Piecewise hash of bytes, by whole numbers."""
+    cuts = []
+    for i in range(len(raw) - 6):
+        h = 0
+        for b in raw[i : i + 7]:
+            h = (h * 0xD6E8FEB86659FD93 + BYTE_CODES[b]) % TOP
+        third, left = divmod(_mixed(h), 3)
+        if left == 2:
+            level = 0
+            while third >> level & 1:
+                level += 1
+            cuts.append((i + 7, level))
+    k = 0
+    while sum(level >= k for _, level in cuts) >= 64:
+        k += 1
+
+    def signature(least):
+        ends = [at for at, level in cuts if level >= least]
+        ends += [len(raw)] if len(raw) > (ends[-1] if ends else 0) else []
+        out, begin = "", 0
+        for end in ends:
+            total = sum(BYTE_CODES[b] * pow(0x9E3779B97F4A7C15, n, TOP) for n, b in enumerate(raw[begin:end])) % TOP
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[_mixed(total) >> 58]
+            begin = end
+        return out
+
+    return f"{3 << k}:{signature(k)}:{signature(k + 1)}"
+
+
+def brute_likeness(x, y):
+    if x == y:
+        return 1.0
+    sides = []
+    for p in (x, y):
+        size, one, two = p.split(":")
+        sides.append({int(size): one, 2 * int(size): two})
+    best = 0.0
+    for size in sides[0].keys() & sides[1].keys():
+        a, b = sides[0][size], sides[1][size]
+        run = min(len(a), len(b), 4)
+        if not run or not any(a[i : i + run] in b for i in range(len(a) - run + 1)):
+            continue
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        best = max(best, 1 - row[-1] / max(len(a), len(b)))
+    return best
+
+
+def test_fingerprints_and_likeness_match_brute_force(spark, folder, rows):
+    prints = {}
+    of = lambda text: prints[text] if text in prints else prints.setdefault(text, brute_print(text.encode()))
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    want = Counter()
+    for k, (doc_id, text) in enumerate(order):
+        after, n = order[(k + 1) % len(order)][1], len(text)
+        own, edited, follows = of(text), of(text[: n - n // 2] + after[: n // 2]), of(after)
+        want[doc_id, own, edited, round(brute_likeness(own, edited), 9), round(brute_likeness(own, follows), 9)] += 1
+    got = result(spark, folder, "op10_piecewise_hash")
+    found = Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got)
+    assert found == want
+
+
 def test_likeness_is_edit_distance_over_length():
     assert piecewise_hash.likeness(["3:ABCDEFGH:ABCD"], ["3:ABCDEFGH:ABCD"]).tolist() == [1.0]
     assert piecewise_hash.likeness(["3:ABCDEFGH:"], ["3:ABCDxFGHi:"]).tolist() == [1 - 2 / 9]

@@ -83,6 +83,74 @@ def test_toxicity_without_labels(spark, no_docs, docs):
     assert {r.toxicity < 0.01 for r in toxicity.score_documents(docs, model).collect()} == {True}
 
 
+def brute_grams(text, bits, orders):
+    """Bucket numbers of a text's n-grams, by whole numbers."""
+    top, out = 2**64, set()
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % top
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB % top
+        return x ^ (x >> 31)
+
+    codes = [mixed(ord(c) + 1) for c in f"\n{text.lower()}\n"] if text else []
+    for n in orders:
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for c in codes[i : i + n]:
+                h = (h * 0xD6E8FEB86659FD93 + c) % top
+            out.add(mixed((h + n) % top) >> (64 - bits))
+    return out
+
+
+def test_toxicity_query_matches_brute_force(spark, tmp_path):
+    """Counts, ratios, regression and scores of the registered query, all worked out plainly."""
+    rng = random.Random(8)
+    plain = ["the", "house", "river", "walked", "slowly", "and", "green", "paper"]
+    docs = [(i, " ".join(rng.choices(plain + ["gruk", "Blarg"] * (i % 3 == 0), k=rng.randint(2, 25)))) for i in range(90)]
+    docs += [(90, None), (91, ""), (None, "gruk gruk"), (92, "Ünicode gruk 😀"), docs[5]]
+    labels = [(i, int(i % 3 == 0)) for i in range(0, 88)] + [(90, 0), (92, 1), (None, 1), (3, None), (4, 0), (4, 1), (93, 1)]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'x' as score", "'en' as lang").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.createDataFrame(labels, "doc_id long, toxic int").selectExpr("*", "1 as quality", "'clash' as text", "2 as label")
+    frame.write.parquet(f"{tmp_path}/labels.parquet")
+    bits, orders = toxicity.BUCKET_BITS, toxicity.ORDERS
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    known = {}
+    for i, label in labels:
+        if i is not None and label is not None and not held(i):
+            known[i] = max(label, known.get(i, 0))
+    rows = [(brute_grams(t, bits, orders), known[i]) for i, t in docs if i in known]
+    texts = [sum(1 for _, y in rows if y == label) for label in (0, 1)]
+    seen = [{}, {}]
+    for grams, label in rows:
+        for g in grams:
+            seen[label][g] = seen[label].get(g, 0) + 1
+    ratios = {}
+    for g in seen[0].keys() | seen[1].keys():
+        zero, one = seen[0].get(g, 0) + 1, seen[1].get(g, 0) + 1
+        ratio = math.log(one / (texts[1] + 2)) - math.log(zero / (texts[0] + 2))
+        if abs(ratio) / math.sqrt(1 / one + 1 / zero) >= toxicity.LEAST_Z:
+            ratios[g] = ratio
+    names = sorted(ratios)
+    x = np.array([[ratios[g] if g in grams else 0.0 for g in names] for grams, _ in rows])
+    y = np.array([label for _, label in rows], float)
+    w, b = np.zeros(len(names)), math.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    before, rate = (w, b), 4 / ((x**2).sum(1).max() + 1)
+    for t in range(toxicity.STEPS):
+        momentum = t / (t + 3)
+        look_w, look_b = w + momentum * (w - before[0]), b + momentum * (b - before[1])
+        miss = 1 / (1 + np.exp(-(x @ look_w + look_b))) - y
+        before = (w, b)
+        w, b = look_w - rate * (x.T @ miss / len(y) + toxicity.PENALTY * look_w), look_b - rate * miss.mean()
+    weights = {g: v * ratios[g] for g, v in zip(names, w)}
+    score = lambda t: 1 / (1 + math.exp(-b - sum(weights.get(g, 0.0) for g in brute_grams(t, bits, orders))))
+    got = queries.registered()["op4_toxicity"](spark, str(tmp_path)).collect()
+    want = sorted((-1 if i is None else i, held(i), score(t)) for i, t in docs)
+    found = sorted((-1 if r.doc_id is None else r.doc_id, r.held_out, r.score) for r in got)
+    assert [r[:2] for r in found] == [r[:2] for r in want]
+    assert [r[2] for r in found] == pytest.approx([r[2] for r in want], abs=2e-4)
+    assert all(r.predicted == (r.score >= 0.3) for r in got)
+
+
 def brute_top(vectors, k, every):
     scaled = {}
     for i, v in vectors:
@@ -109,19 +177,38 @@ def test_search(spark):
     assert va_file.exact_top_k(df.limit(0), 5, 50).count() == 0
 
 
-def test_blocks_read_few_exact_vectors(monkeypatch):
-    rng = np.random.default_rng(1)
-    rows = rng.normal(0, 32, (4000, 64)).astype(np.int64)
-    read, scores = [0], va_file._scores
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    """One bar over all blocks; a second reading only of what reaches the kth exact score."""
+    monkeypatch.setattr(va_file, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(va_file, "QUERY_ROWS", 16)
+    read, scores = [], va_file.exact_scores
 
-    def counted(queries, rows):
-        read[0] += len(rows) if len(queries) == 1 else 0
-        return scores(queries, rows)
+    def counted(pairs, whole):
+        read.append(pairs.count())
+        return scores(pairs, whole)
 
-    monkeypatch.setattr(va_file, "_scores", counted)
-    ids = np.arange(4000)
-    va_file.block_top(ids[:20], rows[:20], ids, rows, 5)
-    assert read[0] < 20 * 4000 / 5
+    monkeypatch.setattr(va_file, "exact_scores", counted)
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(0, 0.125, (3000, 64)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert {tuple(r) for r in va_file.exact_top_k(df, 5, 50).collect()} == brute_top(rows, 5, 50)
+    assert read[0] <= 60 * 20 and sum(read) < 60 * 3000 / 20
+
+
+def test_bounds_hold_in_any_cell():
+    rng = np.random.default_rng(2)
+    for scale in (50, 5000, 10**9):
+        rows = rng.integers(-scale, scale, (200, 64))
+        shift = max(1, int(scale).bit_length() - 7)
+        lower, upper = va_file.score_bounds(rows[:9], (rows >> shift).astype(np.int8), shift)
+        exact = rows[:9].astype(object) @ rows.T.astype(object)
+        assert (lower <= exact).all() and (exact <= upper).all()
+
+
+def test_scores_that_do_not_fit_fail(spark):
+    df = spark.createDataFrame([(0, [1e15] * 4), (1, [1e15] * 4)], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="OVERFLOW|overflow"):
+        va_file.exact_top_k(df, 5, 50).collect()
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
