@@ -6,9 +6,9 @@ candidates, corrected for minima that agree in these bits by chance. What the es
 not rule out is confirmed on the full sets.
 
 Documents of equal sets are one set. A band that many sets share is never paired off whole:
-first its sets are compared with its most central one, then with another one, and once links
-have joined them into few components, only sets of different components are compared, in
-blocks of bounded size.
+first its sets are compared with its most central one, and once links have joined them into
+few components, only sets of different components are compared, in blocks of bounded size,
+first each with its most similar one of every other component.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from gamelog.llm.byte_bpe import binary_rows
 from gamelog.llm.components import connected
 from gamelog.llm.jaccard_join import overlap, shingle_sets
-from gamelog.llm.tables import checkpointed, join_hot, shuffle_partitions, stored
+from gamelog.llm.tables import checkpointed, join_hot, row_count, shuffle_partitions, stored
 from gamelog.llm.textbytes import U64, mix, row_slices, utf8
 
 #: A pair of similarity s shares no band with probability (1 - s**ROWS)**BANDS: 5e-7 at 0.8.
@@ -248,13 +248,16 @@ def _pair_rows(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*sorted(pairs))], names=["a", "b"])
 
 
-def open_bands(met: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, id, weight, label) of the bands whose sets are in more than one component."""
-    stored_rows = met
-    labels = connected(links).select(F.col("node").alias("id"), "root")
-    met = join_hot(met, labels, ["id"], "left").withColumn("label", F.coalesce("root", "id")).drop("root")
+def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows with a ``label``, replaced by what it is connected to in (node, root)."""
+    known = join_hot(rows, roots.select(F.col("node").alias("label"), "root"), ["label"], "left")
+    return known.withColumn("label", F.coalesce("root", "label")).select(rows.columns)
+
+
+def open_bands(met: DataFrame) -> DataFrame:
+    """The rows of the bands whose sets are in more than one component."""
     several = met.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return checkpointed(join_hot(met, several, ["key"], rows=stored_rows).select("key", "id", "weight", "label"))
+    return checkpointed(join_hot(met, several, ["key"]).select(met.columns))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -277,31 +280,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > 1)
     met = checkpointed(dealt.join(shared, "key"))
     # sets that share their bands with many others are the most central ones of their group
-    weights = met.groupBy("id").agg(F.sum(F.log(F.col("sets").cast("double"))).alias("weight"))
+    weights = checkpointed(met.groupBy("id").agg(F.sum(F.log(F.col("sets").cast("double"))).alias("weight")))
     met = checkpointed(join_hot(met.drop("sets"), weights, ["id"]).withColumn("label", F.col("id")))
     rows = sets.join(weights.select("id"), "id", "left_semi").select("first.*", "id")
     tokens = stored(full_sets(docs, rows, size))
-    links, open_ones = None, met
+    named = weights.select("id", F.col("id").alias("label"))
     steps = (
         lambda m: estimated(checkpointed(star_pairs(m, F.round("weight", 6))), sets, percent),
-        lambda m: estimated(checkpointed(star_pairs(m, F.xxhash64("id"))), sets, percent),
         lambda m: block_pairs(m, sets, percent, True),
         lambda m: block_pairs(m, sets, percent, False),
     )
-    for last, step in enumerate(steps, 1 - len(steps)):
-        found = checkpointed(confirmed(checkpointed(step(open_ones)), tokens, percent))
-        links = found if links is None else links.union(found)
-        if not last:
-            break
-        open_ones = open_bands(open_ones, links)
-        if open_ones.isEmpty():
+    for step in steps:
+        if met.isEmpty():
             break
-    first = sets.select("id", "first")
-    if not links.isEmpty():
-        roots = connected(links).select(F.col("node").alias("id"), "root")
-        first = first.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("group"), "first")
-        least = first.groupBy("group").agg(F.min("first").alias("least"))
-        first = join_hot(checkpointed(first), least, ["group"]).select("id", F.col("least").alias("first"))
+        found = checkpointed(confirmed(checkpointed(step(met)), tokens, percent))
+        if row_count(found):
+            # links of components: only sets of different ones were compared
+            of = lambda side: named.select(F.col("id").alias(side), F.col("label").alias(f"of_{side}"))
+            ends = join_hot(join_hot(found, of("a"), ["a"]), of("b"), ["b"], rows=found)
+            roots = connected(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+            named = checkpointed(labelled(named, roots))
+            met = checkpointed(labelled(met, roots))
+        met = open_bands(met)
+    first = sets.select("id", "first").join(named, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "first")
+    first = checkpointed(first)
+    least = first.groupBy("label").agg(F.min("first").alias("least"))
+    first = join_hot(first, least, ["label"]).select("id", F.col("least").alias("first"))
     together = join_hot(sketched.select("doc", "tag", "id", "n"), first, ["id"], "left")
     return together.select(
         "doc",

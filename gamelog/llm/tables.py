@@ -6,7 +6,7 @@ import os
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gamelog.session import require_checkpoint_dir
@@ -77,17 +77,30 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a task may well take in a join, whatever the table's size.
+FEW_ROWS = 20_000
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A table without texts, cut from its lineage by a checkpoint.
 
-    Its partitions are those of the plan: adaptive execution joins small ones after a shuffle.
+    Its rows are counted as they are written. A table that is small for its partitions is
+    read in fewer of them (what made it ran on all): every later shuffle writes a file per
+    partition on both sides, and such tables are many.
     """
     require_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    seen = Observation()
+    kept = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(eager=True)
+    rows = seen.get["rows"]
+    kept = kept.coalesce(max(1, -(-rows // FEW_ROWS)))
+    kept.known_rows = rows
+    return kept
 
 
-#: Rows of one key that a task may well take in a join, whatever the table's size.
-FEW_ROWS = 2000
+def row_count(df: DataFrame) -> int:
+    """Rows of a stored table, without a job if they were counted when it was written."""
+    known = getattr(df, "known_rows", None)
+    return df.count() if known is None else known
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: DataFrame | None = None) -> DataFrame:
@@ -100,8 +113,11 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner
     """
     spark = left.sparkSession
     rows = left if rows is None else rows
+    total = row_count(rows)
+    if total <= FEW_ROWS:
+        return left.join(right, on, how)
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
-    each = max(FEW_ROWS, rows.count() // (4 * shuffle_partitions(spark)))
+    each = max(FEW_ROWS // 10, total // (4 * shuffle_partitions(spark)))
     heavy = counts.filter(F.col("rows") > each).select(*on, F.ceil(F.col("rows") / each).cast("int").alias("salts")).collect()
     if not heavy:
         return left.join(right, on, how)

@@ -100,7 +100,7 @@ def test_no_documents(spark, empty_folder):
 def test_frequent_keys_are_spread(spark, monkeypatch):
     from gamelog.llm import tables
 
-    monkeypatch.setattr(tables, "FEW_ROWS", 3)
+    monkeypatch.setattr(tables, "FEW_ROWS", 30)
     left = spark.createDataFrame([(k % 5 if k > 300 else 7, k) for k in range(400)] + [(9, 1000)], "k long, v long")
     right = spark.createDataFrame([(k, k * 10) for k in range(8)], "k long, w long")
     for how in ("inner", "left"):
