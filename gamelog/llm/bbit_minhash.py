@@ -7,13 +7,13 @@ not rule out is confirmed on the full sets.
 
 Documents of equal sets are one set. A band that many sets share is never paired off whole:
 first its sets are compared with its most central one, and once links have joined them into
-few components, only sets of different components are compared, in blocks of bounded size,
-first each with its most similar one of every other component.
+few components, only sets of different components are compared, in blocks of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -174,20 +174,20 @@ def confirmed(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def star_pairs(met: DataFrame, rank) -> DataFrame:
-    """(a, b): every set with the foremost set of each of its bands, where labels differ."""
-    leader = F.max(F.struct(rank.alias("rank"), F.col("id").alias("leader"), F.col("label").alias("of"))).alias("top")
-    tops = met.groupBy("key").agg(leader).select("key", "top.leader", "top.of")
-    pairs = join_hot(met, tops, ["key"]).filter(F.col("label") != F.col("of"))
+def star_pairs(met: DataFrame) -> DataFrame:
+    """(a, b): every set with the most central set of each of its bands."""
+    leader = F.max(F.struct(F.round("weight", 6).alias("rank"), F.col("id").alias("leader"))).alias("top")
+    tops = met.groupBy("key").agg(leader).select("key", "top.leader")
+    pairs = join_hot(met, tops, ["key"]).filter(F.col("id") != F.col("leader"))
     return pairs.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
 
 
-def block_pairs(met: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(a, b): the pairs of different labels in a band that estimates do not rule out; with
-    ``best`` only each set's most similar one of every other label in a block.
+def _laid_out(met: DataFrame, columns: DataFrame) -> DataFrame:
+    """The sets of every band in blocks, with ``columns`` by id, and beside each block the
+    sets that it must be compared with (``minor``), in chunks.
 
-    The sets of a band's largest label need no comparison with each other: the others, in
-    chunks, go to every block of the band.
+    The sets of a band's largest label need no comparison with each other: all others, the
+    minor ones, go to every block of the band.
     """
     labels = met.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     largest = labels.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("all"))
@@ -196,56 +196,112 @@ def block_pairs(met: DataFrame, sets: DataFrame, percent: int, best: bool) -> Da
         F.col("top.label").alias("main"),
         F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"),
         F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("chunks"),
-    )
+    ).filter("chunks > 0")
     dealt = join_hot(met.select("key", "id", "label"), spans, ["key"])
-    dealt = join_hot(dealt, sets.select("id", "n", "bits"), ["id"], rows=met)
+    dealt = join_hot(dealt, columns, ["id"], rows=met)
     place = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col(parts)).cast("int")
     upto = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     minor = dealt.filter(F.col("label") != F.col("main")).withColumn("chunk", place(1, "chunks")).withColumn("block", upto("blocks"))
     whole = dealt.withColumn("block", place(2, "blocks")).withColumn("chunk", upto("chunks"))
-    columns = ["key", "block", "chunk", "minor", "id", "label", "n", "bits"]
-    sides = [df.withColumn("minor", F.lit(m)).select(columns) for df, m in ((minor, 1), (whole, 0))]
+    names = ["key", "block", "chunk", "minor", "label", *columns.columns]
+    sides = [df.withColumn("minor", F.lit(m)).select(names) for df, m in ((minor, 1), (whole, 0))]
     rows = sides[0].union(sides[1]).repartition(shuffle_partitions(met.sparkSession), "key", "block", "chunk")
-    rows = rows.sortWithinPartitions("key", "block", "chunk", F.desc("minor"), "id")
-    least = least_estimate(percent)
+    return rows.sortWithinPartitions("key", "block", "chunk", F.desc("minor"), "id")
+
+
+@dataclass
+class Side:
+    """Sets of a block or a chunk, column by column."""
+
+    label: np.ndarray
+    id: np.ndarray
+    n: np.ndarray
+    bits: np.ndarray
+    bands: np.ndarray
+    tokens: list
+
+    @staticmethod
+    def of(rows: list[tuple]) -> Side:
+        label, ids, n, bits, bands, *tokens = zip(*rows)
+        packed = np.frombuffer(b"".join(bits), np.uint8).reshape(len(rows), -1)
+        return Side(np.array(label), np.array(ids), np.array(n), packed, np.array(bands), [np.frombuffer(t, "<u8") for t in tokens[0]] if tokens else [])
+
 
-    def judged(few: list[tuple], many: list[tuple]) -> Iterator[tuple[int, int]]:
-        if not few or not many:
-            return
-        (ida, la, na, a), (idb, lb, nb, b) = ((*(np.array([r[c] for r in side]) for c in range(3)), np.array([np.frombuffer(r[3], np.uint8) for r in side])) for side in (few, many))
-        for k in range(len(few)):
-            likely = similarity(a[k], b)
-            likely[(lb == la[k]) | (100 * np.minimum(na[k], nb) < percent * np.maximum(na[k], nb))] = -1.0
-            hits = np.flatnonzero(likely >= least)
-            if best and len(hits):
-                hits = hits[np.lexsort((idb[hits], -likely[hits], lb[hits]))]
-                hits = hits[np.concatenate([[True], lb[hits][1:] != lb[hits][:-1]])]
-            for other in idb[hits].tolist():
-                yield (min(int(ida[k]), other), max(int(ida[k]), other))
+def _candidates(few: Side, k: int, many: Side, key: int, percent: int) -> np.ndarray:
+    """Sets of other labels that the estimate does not rule out beside set ``k`` of ``few``,
+    the likeliest first; a pair is met in the first band that it shares."""
+    likely = similarity(few.bits[k], many.bits)
+    band = int((few.bands[k] == key).argmax())
+    ruled_out = (many.label == few.label[k]) | (many.bands[:, :band] == few.bands[k, :band]).any(1)
+    ruled_out |= 100 * np.minimum(few.n[k], many.n) < percent * np.maximum(few.n[k], many.n)
+    hits = np.flatnonzero(~ruled_out & (likely >= least_estimate(percent)))
+    return hits[np.lexsort((many.id[hits], -likely[hits]))]
+
+
+def _over_blocks(rows: DataFrame, judge: Callable[[Side, Side, int], set], schema: str) -> DataFrame:
+    """What ``judge`` finds in every block beside its minor sets; at most BLOCK rows of a
+    block and one batch are held besides."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, few, many = None, [], []
+        group, few, many, found = None, [], [], set()
+
+        def judged() -> set:
+            return judge(Side.of(few), Side.of(many), group[0]) if few and many else set()
+
         for batch in batches:
-            found = set()
             for key, block, chunk, is_minor, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if (key, block, chunk) != group:
-                    found.update(judged(few, many))
+                    found |= judged()
                     group, few, many = (key, block, chunk), [], []
                 (few if is_minor else many).append(row)
-            if len(many) >= BLOCK:  # a block's sets are judged against all of its chunk, in parts
-                found.update(judged(few, many))
+            if len(many) >= BLOCK:
+                found |= judged()
                 many = []
             if found:
-                yield _pair_rows(found)
-        found = set(judged(few, many))
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*sorted(found))], names=names)
+                found = set()
+        found |= judged()
         if found:
-            yield _pair_rows(found)
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*sorted(found))], names=names)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, schema).distinct()
 
 
-def _pair_rows(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*sorted(pairs))], names=["a", "b"])
+def block_links(met: DataFrame, sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between sets of different labels, at least one for each set and label
+    that it is linked to.
+
+    First the packed bits tell which sets have a likely partner; only these meet again with
+    their full sets. Of each set only its first confirmed link to a label is given.
+    """
+
+    def near(few: Side, many: Side, key: int) -> set:
+        found = set()
+        for k in range(len(few.id)):
+            hits = _candidates(few, k, many, key, percent)
+            if len(hits):
+                found.add((key, int(few.id[k])))
+                found.update((key, i) for i in many.id[hits].tolist())
+        return found
+
+    def linked(few: Side, many: Side, key: int) -> set:
+        found = set()
+        for k in range(len(few.id)):
+            known = set()
+            for h in _candidates(few, k, many, key, percent).tolist():
+                if many.label[h] in known:
+                    continue
+                both = overlap(few.tokens[k], many.tokens[h])
+                if 100 * both >= percent * (few.n[k] + many.n[h] - both):
+                    known.add(many.label[h])
+                    found.add((int(min(few.id[k], many.id[h])), int(max(few.id[k], many.id[h]))))
+        return found
+
+    columns = sets.select("id", "n", "bits", "bands")
+    likely = _over_blocks(_laid_out(met, columns), near, "key long, id long")
+    met = checkpointed(met.join(likely, ["key", "id"], "left_semi"))
+    return _over_blocks(_laid_out(met, columns.join(tokens, "id")), linked, "a long, b long")
 
 
 def labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -286,22 +342,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     tokens = stored(full_sets(docs, rows, size))
     named = weights.select("id", F.col("id").alias("label"))
     steps = (
-        lambda m: estimated(checkpointed(star_pairs(m, F.round("weight", 6))), sets, percent),
-        lambda m: block_pairs(m, sets, percent, True),
-        lambda m: block_pairs(m, sets, percent, False),
+        lambda m: confirmed(checkpointed(estimated(checkpointed(star_pairs(m)), sets, percent)), tokens, percent),
+        lambda m: block_links(m, sets, tokens, percent),
     )
-    for step in steps:
+    for last, step in zip((False, True), steps):
         if met.isEmpty():
             break
-        found = checkpointed(confirmed(checkpointed(step(met)), tokens, percent))
+        found = checkpointed(step(met))
         if row_count(found):
             # links of components: only sets of different ones were compared
             of = lambda side: named.select(F.col("id").alias(side), F.col("label").alias(f"of_{side}"))
             ends = join_hot(join_hot(found, of("a"), ["a"]), of("b"), ["b"], rows=found)
             roots = connected(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
             named = checkpointed(labelled(named, roots))
-            met = checkpointed(labelled(met, roots))
-        met = open_bands(met)
+            met = met if last else checkpointed(labelled(met, roots))
+        if not last:
+            met = open_bands(met)
     first = sets.select("id", "first").join(named, "id", "left").select("id", F.coalesce("label", "id").alias("label"), "first")
     first = checkpointed(first)
     least = first.groupBy("label").agg(F.min("first").alias("least"))
