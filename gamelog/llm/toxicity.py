@@ -26,8 +26,6 @@ FIT_ROWS = 2500
 SMOOTHING = 1.0
 #: Ratios nearer to 0 than this many standard errors are taken as 0.
 LEAST_Z = 2.0
-#: So are all but this many ratios, those that are the most standard errors away from 0.
-KEPT = 1 << 15
 PENALTY = 1e-3
 STEPS = 150
 SHARES = 16  # parts of the count vectors, summed apart
@@ -116,9 +114,7 @@ def log_count_ratios(seen: np.ndarray, texts: np.ndarray) -> np.ndarray:
     zero, one = seen + SMOOTHING
     ratio = np.log(one / (texts[1] + 2 * SMOOTHING)) - np.log(zero / (texts[0] + 2 * SMOOTHING))
     error = np.sqrt(1 / one + 1 / zero)
-    z = np.abs(ratio) / error
-    least = max(LEAST_Z, np.partition(z, -KEPT)[-KEPT] if len(z) > KEPT else 0.0)
-    return np.where(z >= least, ratio, 0.0)
+    return np.where(np.abs(ratio) / error >= LEAST_Z, ratio, 0.0)
 
 
 def fit_regression(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, float]:

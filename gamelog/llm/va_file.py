@@ -1,9 +1,10 @@
 """Exact top-k inner products by a vector-approximation file.
 
-Vectors become integers, are packed into blocks, and each block holds, beside the exact
-values, the quantised cell of every component. For a block of queries all cells are scanned
-for upper and lower bounds of the scores; exact vectors are then read in falling order of
-their upper bound until no unread bound can reach the kth best score.
+The file holds one byte per component, the quantised cell, apart from the exact vectors. For
+a block of queries all cells are scanned for lower and upper bounds of the scores. The kth
+best lower bound over the whole file bars every vector whose upper bound is less. Exact
+vectors of the rest are then read in the order of their bounds: the most promising ones
+first, and after them only those whose bound still reaches the kth exact score.
 """
 
 from __future__ import annotations
@@ -12,104 +13,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gamelog.llm.tables import find_package, shuffle_partitions, stored
 
-CELL_BITS = 3  # a cell spans 8 integers
+#: A cell spans at least so many bits of an integer; more where a byte could not hold it.
+CELL_BITS = 1
 BLOCK_ROWS = 4096
 QUERY_ROWS = 512
-#: Exact vectors read at a time for each query.
-STEP = 32
-#: Beyond this, products of a block are summed as 64-bit integers instead of doubles.
-EXACT_DOUBLE = 2**53
+#: Vectors of each query that are read first, in multiples of k.
+FIRST_READS = 4
+#: Sums of products up to this are exact in doubles; larger ones get slack on both sides.
+EXACT_DOUBLE = 2.0**53
+SLACK = 2.0**-40
 
 
 def integer_vectors(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, values): floor(scale * x) of vectors whose components are all finite numbers."""
+    """(vec_id, dim, values): floor(scale * x) of vectors whose components are all finite
+    numbers, without repeated rows."""
     x = F.col("embedding")
     usable = (
         F.col("vec_id").isNotNull()
         & x.isNotNull()
         & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     )
-    return vectors.filter(usable).select(
-        F.col("vec_id").cast("long"),
-        F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long")).alias("values"),
-    )
+    values = F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("long"))
+    return vectors.filter(usable).select(F.col("vec_id").cast("long"), F.size(x).alias("dim"), values.alias("values")).distinct()
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
 
-def packed_blocks(vectors: DataFrame, blocks: int) -> DataFrame:
-    """(block, dim, ids, values): equal-length vectors side by side; a repeated row counts once."""
+def cell_blocks(vectors: DataFrame, blocks: int) -> DataFrame:
+    """(block, dim, shift, ids, cells): the approximation file, a byte per component."""
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        ids = table["vec_id"].to_numpy()
-        dim = table["dim"][0].as_py()
-        values = table["values"].combine_chunks()
-        flat = values.flatten().to_numpy().reshape(len(ids), dim)
-        order = np.lexsort([*flat.T[::-1], ids])
-        ids, flat = ids[order], flat[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (flat[1:] != flat[:-1]).any(1)
-        ids, flat = ids[new], flat[new]
-        parts = [(ids[k : k + BLOCK_ROWS], flat[k : k + BLOCK_ROWS]) for k in range(0, len(ids), BLOCK_ROWS)]
-        return pa.table(
-            {
-                "dim": pa.array([dim] * len(parts), pa.int32()),
-                "ids": pa.array([i.astype("<i8").tobytes() for i, _ in parts], pa.binary()),
-                "values": pa.array([f.astype("<i8").tobytes() for _, f in parts], pa.binary()),
-            }
-        )
-
-    return (
-        vectors.withColumn("dim", F.size("values"))
-        .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-        .groupBy("block", "dim")
-        .applyInArrow(pack, "dim int, ids binary, values binary")
-    )
+        table = table.combine_chunks().sort_by("vec_id")
+        dim, parts = table["dim"][0].as_py(), []
+        for low in range(0, len(table), BLOCK_ROWS):
+            piece = table.slice(low, BLOCK_ROWS).combine_chunks()
+            values = _matrix(piece["values"].combine_chunks(), dim)
+            widest = max(int(values.max(initial=0)), -int(values.min(initial=0)), 1).bit_length()
+            shift = max(CELL_BITS, widest - 7)
+            parts.append((dim, shift, piece["vec_id"].to_numpy().tobytes(), (values >> shift).astype(np.int8).tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["dim", "shift", "ids", "cells"])
 
+    placed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    return placed.groupBy("block", "dim").applyInArrow(pack, "dim int, shift int, ids binary, cells binary")
 
-def _scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact inner products, as integers."""
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, rows.shape[1])
-    if top < EXACT_DOUBLE:
-        return np.rint(queries.astype(np.float64) @ rows.T.astype(np.float64)).astype(np.int64)
-    return queries @ rows.T
 
+def query_blocks(vectors: DataFrame, blocks: int) -> DataFrame:
+    """(dim, queries, values): exact query vectors side by side."""
 
-def block_top(query_ids, queries, ids, rows, k: int):
-    """(query position, vec_id, score) of each query's best k rows of one block, exactly.
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("vec_id")
+        dim, parts = table["dim"][0].as_py(), []
+        for low in range(0, len(table), QUERY_ROWS):
+            piece = table.slice(low, QUERY_ROWS).combine_chunks()
+            parts.append((dim, piece["vec_id"].to_numpy().tobytes(), _matrix(piece["values"].combine_chunks(), dim).tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int32(), pa.binary(), pa.binary()))], names=["dim", "query_ids", "queries"])
+
+    placed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    return placed.groupBy("block", "dim").applyInArrow(pack, "dim int, query_ids binary, queries binary")
+
+
+def score_bounds(queries: np.ndarray, cells: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the inner products of queries with vectors in these cells."""
+    q, edges = queries.astype(np.float64), cells.astype(np.float64) * 2.0**shift
+    base, width = q @ edges.T, 2.0**shift - 1
+    lower = base + width * np.minimum(q, 0).sum(1)[:, None]
+    upper = base + width * np.maximum(q, 0).sum(1)[:, None]
+    largest = np.abs(q).sum(1).max(initial=0) * (np.abs(edges).max(initial=0) + width)
+    if largest >= EXACT_DOUBLE:
+        lower, upper = lower - largest * SLACK, upper + largest * SLACK
+    return lower, upper
+
+
+def likely_pairs(cells: DataFrame, queries: DataFrame, shares: int, k: int) -> DataFrame:
+    """(query_id, vec_id, lower, upper) of the pairs that the file does not rule out within a
+    share of it. Every query block meets every share; a task holds one block of each."""
+    sent = queries.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    dealt = cells.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
+    pairs = dealt.join(sent, ["share", "dim"]).repartition(shuffle_partitions(cells.sparkSession), "share", "dim", "query_ids")
+    pairs = pairs.sortWithinPartitions("share", "dim", "query_ids").select("share", "dim", "shift", "ids", "cells", "query_ids", "queries")
+
+    def kept(query_ids, best: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
+        """The pairs of one query block and share whose upper bounds reach its kth lower bound."""
+        if found:
+            at, ids, lower, upper = (np.concatenate(x) for x in zip(*found))
+            stay = upper >= best[at, 0]
+            yield pa.record_batch([query_ids[at[stay]], ids[stay], lower[stay], upper[stay]], names=["query_id", "vec_id", "lower", "upper"])
 
-    Ties go to the smaller id; rows with the query's own id are left out.
-    """
-    cells = rows >> CELL_BITS
-    width = (1 << CELL_BITS) - 1
-    base = _scores(queries, cells << CELL_BITS)
-    upper = base + width * np.maximum(queries, 0).sum(1)[:, None]
-    lower = base + width * np.minimum(queries, 0).sum(1)[:, None]
-    own = query_ids[:, None] == ids
-    floor = np.iinfo(np.int64).min
-    upper[own] = lower[own] = floor
-    usable = len(ids) - own.sum(1)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    # the kth best lower bound already bars every row whose upper bound is less
-    at = max(0, len(ids) - k)
-    bar = np.where(usable >= k, np.partition(lower, at, axis=1)[:, at], floor)
-    for q in range(len(query_ids)):
-        near = np.flatnonzero((upper[q] >= bar[q]) & ~own[q])
-        near = near[np.argsort(-upper[q][near], kind="stable")]
-        best_id, best = np.empty(0, np.int64), np.empty(0, np.int64)
-        for low in range(0, len(near), STEP):
-            part = near[low : low + STEP]
-            if len(best) >= k and upper[q][part[0]] < best[k - 1]:
-                break  # no unread row can reach the kth score
-            best_id = np.concatenate([best_id, ids[part]])
-            best = np.concatenate([best, _scores(queries[q : q + 1], rows[part])[0]])
-            order = np.lexsort([best_id, -best])[:k]
-            best_id, best = best_id[order], best[order]
-        out.append((np.full(len(best), q), best_id, best))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, query_ids, best, found = None, None, None, []
+        for batch in batches:
+            for row in range(len(batch)):
+                share, dim, shift, ids, raw, names, values = (c[row].as_py() for c in batch.columns)
+                if (share, dim, names) != group:
+                    yield from kept(query_ids, best, found)
+                    group, query_ids, found = (share, dim, names), np.frombuffer(names, "<i8"), []
+                    exact = np.frombuffer(values, "<i8").reshape(len(query_ids), dim)
+                    best = np.full((len(query_ids), k), -np.inf)  # rising lower bounds
+                ids = np.frombuffer(ids, "<i8")
+                lower, upper = score_bounds(exact, np.frombuffer(raw, np.int8).reshape(len(ids), dim), shift)
+                own = query_ids[:, None] == ids
+                lower[own], upper[own] = -np.inf, -np.inf
+                top = np.partition(lower, -k, axis=1)[:, -k:] if len(ids) > k else lower
+                best = np.sort(np.concatenate([best, top], axis=1), axis=1)[:, -k:]
+                at, of = np.nonzero((upper >= best[:, :1]) & ~own)
+                found.append((at, ids[of], lower[at, of], upper[at, of]))
+        yield from kept(query_ids, best, found)
+
+    return pairs.mapInArrow(run, "query_id long, vec_id long, lower double, upper double")
+
+
+def best_lower_bounds(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, bar): the kth best lower bound over the whole file, -infinity with fewer."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("lower"))
+    ranked = pairs.select("query_id", "lower", F.row_number().over(order).alias("place")).filter(F.col("place") <= k)
+    bar = F.max(F.when(F.col("place") == k, F.col("lower")))
+    return ranked.groupBy("query_id").agg(F.coalesce(bar, F.lit(float("-inf"))).alias("bar"))
+
+
+def exact_scores(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score) of the pairs: the only place where exact vectors are read."""
+    of = lambda name, values: whole.select(F.col("vec_id").alias(name), F.col("values").alias(values), F.col("dim").alias(f"{name}_dim"))
+    met = pairs.join(of("query_id", "q"), "query_id").join(of("vec_id", "v"), "vec_id").filter(F.col("query_id_dim") == F.col("vec_id_dim"))
+    products = F.zip_with("q", "v", lambda a, b: a * b)
+    return met.select("query_id", "vec_id", F.aggregate(products, F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
+
+
+def ranked(scores: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def exact_top_k(vectors: DataFrame, k: int, every: int, scale: int = 256) -> DataFrame:
@@ -119,44 +157,25 @@ def exact_top_k(vectors: DataFrame, k: int, every: int, scale: int = 256) -> Dat
     same length but those with the query's own vec_id. Vectors that are NULL, hold NULL or a
     non-finite component, or have a NULL vec_id take no part; rows equal in id and vector
     count once; vectors of different ids that are equal are ties, and ties go to the smaller
-    vec_id. Fewer than k candidates are all returned; a query without candidates has no
-    rows. Scores are 64-bit integers. Other columns are not read.
-
-    Query blocks meet candidate blocks; a block pair yields at most k rows a query.
+    vec_id. Different vectors of one id are scored each. Fewer than k candidates are all
+    returned; a query without candidates has no rows. Scores are 64-bit integers; where a
+    component or a score does not fit, the job fails. Other columns are not read.
     """
     spark = vectors.sparkSession
-    whole = integer_vectors(vectors, scale)
-    count = whole.agg(F.count(F.lit(1)), F.count_if(F.col("vec_id") % every == 0)).first()
-    blocks = max(1, -(-count[0] // BLOCK_ROWS))
-    query_blocks = max(1, -(-count[1] // QUERY_ROWS))
-    candidates = packed_blocks(whole, blocks)
-    chosen = packed_blocks(whole.filter(F.col("vec_id") % every == 0), query_blocks).select(
-        "dim", F.col("ids").alias("query_ids"), F.col("values").alias("queries")
-    )
-    # every query block goes to every share of the candidate blocks
-    shares = min(blocks, 4 * spark.sparkContext.defaultParallelism)
-    sent = chosen.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    pairs = candidates.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).join(sent, ["share", "dim"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(len(batch)):
-                dim, ids, values, query_ids, queries = (
-                    x if isinstance(x, int) else np.frombuffer(x, "<i8") for x in (c[row].as_py() for c in batch.columns)
-                )
-                at, found, score = block_top(
-                    query_ids, queries.reshape(len(query_ids), dim), ids, values.reshape(len(ids), dim), k
-                )
-                yield pa.record_batch([query_ids[at], found, score], names=["query_id", "vec_id", "score"])
-
-    parts = pairs.select("dim", "ids", "values", "query_ids", "queries").mapInArrow(
-        run, "query_id long, vec_id long, score long"
-    )
-    order = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "vec_id", "score")))
-    best = parts.groupBy("query_id").agg(F.slice(order, 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("place", "hit")).select(
-        "query_id",
-        (F.col("place") + 1).alias("rank"),
-        F.col("hit.vec_id").alias("vec_id"),
-        F.col("hit.score").alias("score"),
-    )
+    find_package(spark)
+    whole = stored(integer_vectors(vectors, scale))
+    is_query = F.col("vec_id") % every == 0
+    count, wanted = whole.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    blocks = max(1, -(-count // BLOCK_ROWS))
+    cells = stored(cell_blocks(whole, blocks))
+    chosen = query_blocks(whole.filter(is_query), max(1, -(-wanted // QUERY_ROWS)))
+    likely = stored(likely_pairs(cells, chosen, min(blocks, 4 * shuffle_partitions(spark)), k))
+    open_pairs = likely.join(best_lower_bounds(likely, k), "query_id").filter(F.col("upper") >= F.col("bar"))
+    open_pairs = open_pairs.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper"))
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
+    open_pairs = stored(open_pairs.withColumn("turn", F.row_number().over(by_bound)).select("query_id", "vec_id", "upper", "turn"))
+    first = stored(exact_scores(open_pairs.filter(F.col("turn") <= FIRST_READS * k), whole))
+    certain = ranked(first, k).groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("kth"))
+    rest = open_pairs.filter(F.col("turn") > FIRST_READS * k).join(certain, "query_id", "left")
+    rest = rest.filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).select("query_id", "vec_id")
+    return ranked(first.unionByName(exact_scores(rest, whole)), k).select("query_id", "rank", "vec_id", "score")

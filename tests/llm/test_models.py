@@ -1,5 +1,6 @@
 """Mixing, toxicity, search and page extraction on small tables."""
 
+import math
 import random
 import sys
 import zlib
@@ -309,7 +310,6 @@ def test_entropy_removes_repeated_branches_of_articles(spark):
 
 def brute_importance(pages):
     """(site, path) to importances, counted with plain dictionaries: {site: [parsed page]}."""
-    import math
     from collections import Counter
 
     out = {}
