@@ -549,7 +549,9 @@ def oracle_sql() -> dict[str, str]:
     twins = _oracle_sql()
     # the plan for hot keys must give the same rows
     split = ("rolling_means", "ewm_form", "play_streaks", "next_game_target", "shot_quantiles")
-    return twins | {f"{name}_split": twins[name] for name in split}
+    twins |= {f"{name}_split": twins[name] for name in split}
+    # and so must new rounds appended to carried state
+    return twins | {"box_features_advanced": twins["box_features"]}
 
 
 def _oracle_sql() -> dict[str, str]:

@@ -16,7 +16,7 @@ from gamelog.operators.quantile import nearest_quantiles
 from gamelog.operators.series import add_ewm_means, ewm_reach, rolling
 from gamelog.operators.ordering import global_row_index, with_sequences
 from gamelog.operators.skew import hot_keys, hot_keys_of
-from gamelog.plans import boxscore, dataset, evaluation, matrix, model, plays, predict, shots
+from gamelog.plans import boxscore, dataset, evaluation, increment, matrix, model, plays, predict, shots
 from gamelog.plans.feature_set import KEYS, chain, keyed, series_order, transform_together
 from gamelog.session import scratch_path
 from gamelog.sources import catalog, samples
@@ -268,6 +268,23 @@ def box_features(spark, folder):
     return boxscore.box_features(stats, hot_keys(stats, boxscore.SERIES_KEYS))
 
 
+# The last rounds of each season, and some games of earlier ones, arrive after the rest.
+LAST_ROUNDS = 6
+
+
+@query
+def box_features_advanced(spark, folder):
+    stats = samples.player_stats(spark, folder)
+    last = F.max("Round").over(Window.partitionBy("Season"))
+    late = (F.col("Round") > last - LAST_ROUNDS) | (F.col("Gamecode") % 997 == 0)
+    rows = stats.withColumn("_late", F.coalesce(late, F.lit(False)))
+    old, new = (rows.where(c).drop("_late") for c in (~F.col("_late"), F.col("_late")))
+    columns = (*boxscore.PASSED_ON, *boxscore.FEATURES)
+    stored = boxscore.make_set().transform(old)
+    step = increment.advance(increment.form_state(old), new, stats)
+    return increment.merged(stored, step).select(*columns)
+
+
 # --- shots -------------------------------------------------------------------
 
 

@@ -1,5 +1,7 @@
 """Versions of season tables, statistics kept while landing, bucketed parts, quarantine and sketches."""
 
+import random
+
 import pytest
 from helpers import assert_same, box_table, shot_table
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from gamelog.functions.scalars import clock_minutes
 from gamelog.operators import quarantine, sketches
 from gamelog.operators.skew import hot_keys, hot_keys_of
-from gamelog.plans import boxscore, dataset, matrix
+from gamelog.plans import boxscore, dataset, increment, matrix
 from gamelog.plans.feature_set import KEYS, keyed
 from gamelog.sources import catalog, versions
 
@@ -154,3 +156,48 @@ def test_target_uses_both_key_sets(tables):
     split = dataset.with_next_game(matrix.feature_matrix({"player_stats": stats}, ["combined_stats"], hot=hot), hot=hot["player"])
     whole = dataset.with_next_game(matrix.feature_matrix({"player_stats": stats}, ["combined_stats"]))
     assert_same(split.select(*KEYS, "next_PIR"), whole.select(*KEYS, "next_PIR"))
+
+
+def _box(spark, rng, players, rounds, keep):
+    games = [
+        {
+            "Player_ID": p, "Round": r, "Gamecode": 100 * r + i, "Points": rng.choice([None, *range(30)]), "Steals": rng.randint(0, 4),
+            "Minutes": f"{rng.randint(0, 39)}:{rng.randint(10, 59)}",
+        }
+        for i, p in enumerate(players)
+        for r in rounds
+        if keep(p, r)
+    ]
+    return box_table(spark, games)
+
+
+def test_new_rounds_equal_a_full_rebuild(spark):
+    """In steps: new rounds, a new player, a player without games, a late game, many games at once."""
+    rng = random.Random(3)
+    box = _box(spark, rng, ["P1", "P2", "P3", None], range(1, 31), lambda p, r: (p != "P3" or r > 20) and (p != "P2" or r % 3)).persist()
+    arrives = F.when((F.col("Player_ID") == "P1") & (F.col("Round") == 7), 3).when(F.col("Round") <= 12, 0).when(F.col("Round") <= 22, 1)
+    box = box.withColumn("_step", arrives.when(F.col("Round") <= 23, 2).otherwise(3)).persist()
+    seen = lambda k: box.where(F.col("_step") <= k).drop("_step")
+    stored, state = boxscore.add_box_features(seen(0)), increment.form_state(seen(0))
+    for k in (2, 3):
+        step = increment.advance(state, box.where(F.col("_step").between(k - 1 if k == 2 else k, k)).drop("_step"), seen(k))
+        assert [r.Player_ID for r in step.replaced.collect()] == (["P1"] if k == 3 else [])
+        if k < 3:
+            assert step.features.count() == box.where(F.col("_step").between(1, 2)).count()
+        stored, state = increment.merged(stored, step).persist(), step.state.persist()
+        assert_same(stored, boxscore.add_box_features(seen(k)))
+        assert state.count() == seen(k).select("Season", "Player_ID").distinct().count()
+        assert state.agg(F.max(F.size("tail"))).first()[0] == increment.REACH
+
+
+def test_only_late_series_are_read_again(spark):
+    rng = random.Random(4)
+    box = _box(spark, rng, ["P1", "P2"], range(1, 20), lambda p, r: True)
+    old, new = box.where("Round <= 15"), box.where("Round > 15")
+    history = box.withColumn("Steals", F.raise_error(F.lit("history was read")).cast("long"))
+    step = increment.advance(increment.form_state(old), new, history)
+    assert step.replaced.count() == 0 and step.features.count() == 8
+    nothing = increment.advance(increment.form_state(old), new.limit(0), old)
+    assert nothing.features.count() == 0 and nothing.state.count() == 2
+    first = increment.advance(increment.form_state(old.limit(0)), old, old)
+    assert_same(first.features, boxscore.add_box_features(old))
