@@ -157,6 +157,50 @@ def test_learning_curve(signal):
     assert all(r.val_mse > 0 for r in curve)
 
 
+def _seen_fits(monkeypatch):
+    """(trees, partitions of the rows) of every fit of trees from here on."""
+    seen, learner = [], model._learner
+
+    class Watched:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def setMaxIter(self, trees):
+            return Watched(self.inner.setMaxIter(trees))
+
+        def fit(self, rows):
+            seen.append((self.inner.getMaxIter(), rows.rdd.getNumPartitions()))
+            return self.inner.fit(rows)
+
+    monkeypatch.setattr(model, "_learner", lambda params, target: Watched(learner(params, target)))
+    return seen
+
+
+def test_trees_are_grown_in_two_steps_at_most(signal, monkeypatch):
+    """Early stopping that never ends the growth costs twice the patience, not the trees again and again."""
+    seen = _seen_fits(monkeypatch)
+    params = model.ForecastParams(max_iter=12, max_depth=2, patience=1, tolerance=-1e9)
+    assert model.fit_forecaster(signal, params, NAMES).stages[-1].getNumTrees == 12
+    assert [trees for trees, _ in seen] == [2, 12]
+
+
+def test_a_fit_has_tasks_by_its_rows(signal, monkeypatch):
+    seen = _seen_fits(monkeypatch)
+    params = model.ForecastParams(max_iter=1, early_stopping=False)
+    model.fit_forecaster(signal.repartition(9), params, NAMES)
+    monkeypatch.setattr(model, "FIT_ROWS_EACH", 200)
+    model.fit_forecaster(signal.repartition(9), params, NAMES)
+    assert [parts for _, parts in seen] == [1, 3]
+
+
+def test_shuffled_rows_are_kept_nowhere(signal, monkeypatch):
+    kept, persist = [], type(signal).persist
+    monkeypatch.setattr(type(signal), "persist", lambda df, *level: kept.append(df.columns) or persist(df, *level))
+    fitted = model.fit_forecaster(signal, SMALL, NAMES)
+    assert model.permutation_importance(fitted, signal, repeats=3).count() == len(NAMES)
+    assert kept and not any("_repeat" in columns for columns in kept)
+
+
 def test_importance_ranks_the_signal(signal):
     fitted = model.fit_forecaster(signal, SMALL, NAMES)
     rows = model.permutation_importance(fitted, signal, repeats=4).collect()
