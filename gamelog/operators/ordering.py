@@ -13,7 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gamelog.operators.skew import split_hot
+from gamelog.operators.skew import rows_behind, split_hot
+from gamelog.operators.spread import spread
 from gamelog.session import require_checkpoint_dir
 
 CHUNK = "_chunk"
@@ -73,10 +74,11 @@ def with_sequences(
     row. Only the columns in ``carry`` reach further: where NULL, they take their last
     known value. The keys in ``hot`` (see :func:`gamelog.operators.skew.hot_keys`) are
     processed in chunks; the result is the same as one window per key. Without them no
-    job runs here.
+    job runs here. Where ``hot`` knows the table's rows, the others are dealt out in as many
+    tasks as they need.
     """
     ordinary, apart = split_hot(df, keys, hot)
-    result = add(ordinary, list(keys))
+    result = add(spread(ordinary, keys, rows_behind(hot)), list(keys))
     if apart is None:
         return result
     keys, order = list(keys), list(order)

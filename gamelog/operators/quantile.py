@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gamelog.functions.aggregates import distinct_with_null
-from gamelog.operators.skew import same_keys, split_hot
+from gamelog.operators.skew import rows_behind, same_keys, split_hot
+from gamelog.operators.spread import spread
 
 #: Bins of a hot group's range of values; the few bins that hold a quantile are ordered.
 BINS = 1000
@@ -100,6 +101,7 @@ def nearest_quantiles(
     """
     extra, distinct = extra or {}, distinct or {}
     ordinary, apart = split_hot(df, keys, hot)
+    ordinary = spread(ordinary, keys, rows_behind(hot))
     others = [column.alias(name) for name, column in extra.items()]
     firsts = {
         f"_first_{name}": F.row_number().over(Window.partitionBy(*keys, c).orderBy(value)) == 1

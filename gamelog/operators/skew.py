@@ -6,7 +6,7 @@ apart: the plans for ordinary and for hot keys give the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -19,6 +19,19 @@ MOST_HOT = 64
 TRACKED = 1024
 
 
+class HotKeys(list):
+    """Hot keys, and the rows of the table they were looked for in (None if not counted)."""
+
+    def __init__(self, keys: Iterable[int] = (), rows: int | None = None) -> None:
+        super().__init__(keys)
+        self.rows = rows
+
+
+def rows_behind(hot: Sequence[int]) -> int | None:
+    """The rows of the table that ``hot`` was found in, if known."""
+    return getattr(hot, "rows", None)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Null-safe equality: a NULL key is a group of its own, as in a group-by."""
     return reduce(and_, [left[k].eqNullSafe(right[k]) for k in keys])
@@ -33,9 +46,9 @@ def heavy_hitters(key: Column) -> Column:
     return F.call_function("approx_top_k", key, F.lit(MOST_HOT), F.lit(TRACKED))
 
 
-def hot_among(counts: Mapping[int, int], rows: int, share: float) -> list[int]:
+def hot_among(counts: Mapping[int, int], rows: int, share: float) -> HotKeys:
     """The keys that have more than ``share`` of the rows, most frequent first."""
-    return [key for key, n in sorted(counts.items(), key=lambda item: -item[1]) if n > share * rows][:MOST_HOT]
+    return HotKeys([key for key, n in sorted(counts.items(), key=lambda item: -item[1]) if n > share * rows][:MOST_HOT], rows)
 
 
 def task_share(spark: SparkSession) -> float:
@@ -51,7 +64,7 @@ def hot_keys_of(
     Hot is a key with more than a task's share of its table's rows, whatever their number
     (or with more than ``share`` of them). Names that give the same table share its scan.
     Counts are approximate (heavy hitters in bounded space); a key they miss or overrate is
-    only placed in the other plan.
+    only placed in the other plan. Each result knows its table's rows, which are exact.
     """
     if not tables:
         return {}
@@ -68,7 +81,7 @@ def hot_keys_of(
     counted = reduce(DataFrame.unionAll, parts).groupBy("_table").agg(*tops, F.count(F.lit(1)).alias("n"))
     found = {row["_table"]: row for row in counted.collect()}
     share = task_share(parts[0].sparkSession) if share is None else share
-    hot: dict[str, list[int]] = {name: [] for name in tables}
+    hot: dict[str, list[int]] = {name: HotKeys(rows=0) for name in tables}
     for at, (_, sets) in enumerate(scans.values()):
         for i, name in enumerate(sets if at in found else ()):
             counts = {item["item"]: item["count"] for item in found[at][f"top{i}"]}

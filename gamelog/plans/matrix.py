@@ -9,7 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gamelog.operators.skew import hot_keys_of
+from gamelog.operators.skew import hot_keys_of, rows_behind
+from gamelog.operators.spread import spread
 from gamelog.plans import boxscore, plays, shots
 from gamelog.plans.feature_set import (
     KEYS,
@@ -85,7 +86,7 @@ def feature_matrix(
     it belongs to the default registry.
     """
     matrix, *others = matrix_parts(tables, sets, registry, season, exclude_ids, hot)
-    return joined_parts(matrix, others)
+    return joined_parts(matrix, others, most_rows(hot))
 
 
 def matrix_parts(
@@ -119,7 +120,15 @@ def matrix_parts(
     return [matrix, *[transform_together(group, source(name)) for (name, step), group in by_source.items() if step is not None]]
 
 
-def joined_parts(matrix: DataFrame, others: Sequence[DataFrame]) -> DataFrame:
+def most_rows(hot: Mapping[str, Sequence[int]] | None) -> int | None:
+    """The rows of the largest source, where ``hot`` knows them."""
+    return max((n for keys in (hot or {}).values() if (n := rows_behind(keys)) is not None), default=None)
+
+
+def joined_parts(matrix: DataFrame, others: Sequence[DataFrame], rows: int | None = None) -> DataFrame:
+    """The parts joined on their keys, in as many tasks as ``rows`` of the largest source need."""
+    if others:
+        matrix = spread(matrix, KEYS, rows)
     for features in others:
         _check_new(matrix, [c for c in features.columns if c not in KEYS])
         matrix = matrix.join(features, list(KEYS), "left")

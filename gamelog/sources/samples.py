@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gamelog.operators.spread import spread
+
 SOURCES = (
     "region",
     "nation",
@@ -31,6 +33,12 @@ def read_source(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _together(left: DataFrame, left_key: Column, right: DataFrame, right_key: Column) -> DataFrame:
+    """The two tables joined, in as many tasks as the rows of ``left`` need."""
+    rows = left.count()
+    return spread(left, [left_key], rows).join(spread(right, [right_key], rows), left_key == right_key)
+
+
 def _season() -> Column:
     second = F.col("o_orderdate") >= F.lit("1998-04-15 00:00:00").cast("timestamp")
     return F.when(second, 2024).otherwise(2023)
@@ -66,7 +74,9 @@ def _counts(lineitem: DataFrame) -> DataFrame:
 
 
 def player_stats(spark: SparkSession, folder: str) -> DataFrame:
-    counts = _counts(read_source(spark, folder, "lineitem"))
+    lineitem = read_source(spark, folder, "lineitem")
+    rows = lineitem.count()
+    counts = _counts(spread(lineitem, ["l_orderkey"], rows))
     names = [c for c in counts.columns if c != "l_orderkey"]
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
     points = (
@@ -77,7 +87,7 @@ def player_stats(spark: SparkSession, folder: str) -> DataFrame:
     )
     team = (F.floor(F.col("o_custkey") / 10) % 18).cast("string")
     return (
-        read_source(spark, folder, "orders")
+        spread(read_source(spark, folder, "orders"), ["o_orderkey"], rows)
         .join(counts, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .select(
             _season().alias("Season"),
@@ -111,10 +121,7 @@ def shot_data(spark: SparkSession, folder: str) -> DataFrame:
     )
     zone = F.round(F.col("l_tax") * 100).cast("int").cast("string")
     return (
-        read_source(spark, folder, "lineitem")
-        .join(
-            read_source(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
-        )
+        _together(read_source(spark, folder, "lineitem"), F.col("l_orderkey"), read_source(spark, folder, "orders"), F.col("o_orderkey"))
         .select(
             _season().alias("Season"),
             _player().alias("ID_PLAYER"),
@@ -146,11 +153,7 @@ def playbyplay(spark: SparkSession, folder: str) -> DataFrame:
     )
     own = F.floor(F.col("value") / 4).cast("int").cast("string")
     return (
-        read_source(spark, folder, "events")
-        .join(
-            read_source(spark, folder, "orders"),
-            F.col("o_orderkey") == F.floor(event / 8).cast("bigint"),
-        )
+        _together(read_source(spark, folder, "events"), F.floor(event / 8).cast("bigint"), read_source(spark, folder, "orders"), F.col("o_orderkey"))
         .select(
             _season().alias("Season"),
             _player().alias("PLAYER_ID"),
