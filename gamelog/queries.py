@@ -15,7 +15,8 @@ from gamelog.operators import quarantine, sketches
 from gamelog.operators.quantile import nearest_quantiles
 from gamelog.operators.series import add_ewm_means, ewm_reach, rolling
 from gamelog.operators.ordering import global_row_index, with_sequences
-from gamelog.operators.skew import hot_keys, hot_keys_of
+from gamelog.operators.skew import hot_keys, hot_keys_of, rows_behind
+from gamelog.operators.spread import spread, tasks_for
 from gamelog.plans import boxscore, dataset, evaluation, increment, matrix, model, plays, predict, shots
 from gamelog.plans.feature_set import KEYS, chain, keyed, series_order, transform_together
 from gamelog.session import scratch_path
@@ -120,8 +121,9 @@ def feature_matrix_landed(spark, folder):
 @query
 def feature_matrix_bucketed(spark, folder):
     tables, name = samples.game_tables(spark, folder), f"features_{uuid.uuid4().hex}"
-    parts = matrix.matrix_parts(tables, hot=matrix.find_hot(tables))
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = matrix.find_hot(tables)
+    parts = matrix.matrix_parts(tables, hot=hot)
+    buckets = tasks_for(spark, matrix.most_rows(hot))
     return matrix.stored_matrix(spark, matrix.store_parts(parts, name, scratch_path(spark), buckets))
 
 
@@ -275,13 +277,18 @@ LAST_ROUNDS = 6
 @query
 def box_features_advanced(spark, folder):
     stats = samples.player_stats(spark, folder)
-    last = F.max("Round").over(Window.partitionBy("Season"))
-    late = (F.col("Round") > last - LAST_ROUNDS) | (F.col("Gamecode") % 997 == 0)
-    rows = stats.withColumn("_late", F.coalesce(late, F.lit(False)))
+    # one row per season; a window would put a season into one task
+    last = stats.groupBy(F.col("Season").alias("_season")).agg(F.max("Round").alias("_last"))
+    late = (F.col("Round") > F.col("_last") - LAST_ROUNDS) | (F.col("Gamecode") % 997 == 0)
+    dated = stats.join(F.broadcast(last), F.col("Season").eqNullSafe(F.col("_season")))
+    rows = dated.withColumn("_late", F.coalesce(late, F.lit(False))).drop("_season", "_last")
     old, new = (rows.where(c).drop("_late") for c in (~F.col("_late"), F.col("_late")))
     columns = (*boxscore.PASSED_ON, *boxscore.FEATURES)
-    stored = boxscore.make_set().transform(old)
-    step = increment.advance(increment.form_state(old), new, stats)
+    hot = hot_keys(stats, boxscore.SERIES_KEYS)
+    stored = boxscore.make_set(hot).transform(old)
+    # the parts of a step are dealt out by their series, once each
+    old, new, history = (spread(part, boxscore.SERIES_KEYS, rows_behind(hot)) for part in (old, new, stats))
+    step = increment.advance(increment.form_state(old), new, history)
     return increment.merged(stored, step).select(*columns)
 
 
