@@ -162,6 +162,34 @@ def _wanted(words: Words, tables: list[Bounds], size: int, least: int, bar: floa
     return places[matters]
 
 
+def _telling(words: Words, tables: list[Bounds], size: int, places: np.ndarray, least: int, bar: float) -> np.ndarray:
+    """Those of ``places`` whose phrases must be named at the bar: frequent ones that can score
+    as much, or hold one word less with ``HELD`` per cent of a count that scores as much.
+
+    ``tables`` bound the counts of these phrases, too. What scores as much has counted parts
+    only, so a part that was left out (its slot may hold others) loses nothing here.
+    """
+    upper = lambda at: tables[size - 1].of(words.keys[size - 1][at])[1]
+    places = places[upper(places) >= least]
+    if not bar or not len(places):
+        return places
+
+    def low(offset: int, length: int) -> np.ndarray:
+        return tables[length - 1].of(words.keys[length - 1][places + offset])[0]
+
+    def can_score(most: np.ndarray, offset: int, length: int) -> np.ndarray:
+        sums = [low(offset, k) + low(offset + k, length - k) for k in range(1, length)]
+        return SCALE * most >= bar * reduce(np.maximum, sums)
+
+    most = upper(places)
+    told = can_score(most, 0, size)
+    if size > 2:
+        for offset in (0, 1):
+            least_held, most_held = tables[size - 2].of(words.keys[size - 2][places + offset])
+            told |= (100 * most >= HELD * least_held) & can_score(most_held, offset, size - 1)
+    return places[told]
+
+
 def _packed(keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Sorted keys and counts, a row per bucket: steps between keys by byte plane."""
     ends = np.searchsorted((keys >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1, dtype=U64))
@@ -246,8 +274,8 @@ def bounds_of(counts: DataFrame) -> Bounds:
 
 
 def phrase_names(docs: DataFrame, tables, least: int, bar: float) -> DataFrame:
-    """Every phrase that may matter and may be frequent, with the hashes of the parts of each
-    cut; and the number of words of each language (k = 0)."""
+    """Every phrase that can reach the bar or hold one that does, with the hashes of the parts
+    of each cut; and the number of words of each language (k = 0)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = tables.value
@@ -272,7 +300,7 @@ def phrase_names(docs: DataFrame, tables, least: int, bar: float) -> DataFrame:
                 if len(words.start) < size:
                     break
                 places = _wanted(words, bounds[: size - 1], size, least, bar)
-                places = places[bounds[size - 1].of(words.keys[size - 1][places])[1] >= least]
+                places = _telling(words, bounds[:size], size, places, least, bar)
                 fresh, first = np.unique(signed[size - 1][places], return_index=True)
                 for key, at in zip(fresh.tolist(), places[first].tolist()):
                     if key not in seen:
