@@ -28,6 +28,9 @@ KEY_SETS = {
 }
 
 
+WRITTEN = f"{SEASON} int, table_name string, path string, n_rows long"
+
+
 def table_path(root: str, table: str) -> str:
     if table not in LANDED_TABLES:
         raise ValueError(f"unknown table {table!r}; known: {', '.join(LANDED_TABLES)}")
@@ -82,11 +85,14 @@ def union_seasons(parts: Sequence[DataFrame]) -> DataFrame:
     return stacked
 
 
+def _key_sets(df: DataFrame, table: str) -> dict[str, tuple[str, ...]]:
+    columns = {*df.columns, SEASON}
+    return {name: keys for name, keys in KEY_SETS.get(table, {}).items() if columns >= {*keys}}
+
+
 def land_season(df: DataFrame, root: str, table: str, season: int | str) -> tuple[str, int] | None:
     """Replace one season of a raw table; returns its path and rows. An empty one is skipped."""
-    columns = set(df.columns)
-    key_sets = {name: keys for name, keys in KEY_SETS.get(table, {}).items() if columns >= {*keys} - {SEASON}}
-    files = versions.land(df, table_path(root, table), int(season), key_sets)
+    files = versions.land(df, table_path(root, table), int(season), _key_sets(df, table))
     return None if files is None else (files.path, files.n_rows)
 
 
@@ -120,8 +126,19 @@ def land_seasons(
         for table, df in tables.items()
         if (landed := land_season(df, root, table, season)) is not None
     ]
-    schema = f"{SEASON} int, table_name string, path string, n_rows long"
-    return spark.createDataFrame(written, schema)
+    return spark.createDataFrame(written, WRITTEN)
+
+
+def land_tables(spark: SparkSession, tables: dict[str, DataFrame], root: str, seasons: Sequence[int | str]) -> DataFrame:
+    """The same for tables that hold all seasons: each is computed once and written in one go."""
+    landed = {name: versions.land_all(df, table_path(root, name), seasons, _key_sets(df, name)) for name, df in tables.items()}
+    written = [
+        (int(season), table, files[int(season)].path, files[int(season)].n_rows)
+        for season in seasons
+        for table, files in landed.items()
+        if int(season) in files
+    ]
+    return spark.createDataFrame(written, WRITTEN)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
