@@ -126,13 +126,23 @@ def most_rows(hot: Mapping[str, Sequence[int]] | None) -> int | None:
 
 
 def joined_parts(matrix: DataFrame, others: Sequence[DataFrame], rows: int | None = None) -> DataFrame:
-    """The parts joined on their keys, in as many tasks as ``rows`` of the largest source need."""
+    """The parts joined on their keys, in as many tasks as ``rows`` of the largest source need.
+
+    Unknown values become 0 part by part: one projection over all columns of the matrix is a
+    method too long to be compiled. Keys are filled last, as an unknown key matches nothing.
+    """
+    matrix = matrix.fillna(0, subset=_but_keys(matrix))
     if others:
         matrix = spread(matrix, KEYS, rows)
     for features in others:
-        _check_new(matrix, [c for c in features.columns if c not in KEYS])
-        matrix = matrix.join(features, list(KEYS), "left")
-    return matrix.fillna(0)
+        names = _but_keys(features)
+        _check_new(matrix, names)
+        matrix = matrix.join(features, list(KEYS), "left").fillna(0, subset=names)
+    return matrix.fillna(0, subset=list(KEYS))
+
+
+def _but_keys(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in KEYS]
 
 
 def store_parts(parts: Sequence[DataFrame], name: str, path: str, buckets: int) -> list[str]:

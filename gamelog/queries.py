@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gamelog.functions.aggregates import distinct_with_null, success_rate
-from gamelog.functions.scalars import clock_minutes
+from gamelog.functions.scalars import clock_minutes, round_half_up
 from gamelog.operators import quarantine, sketches
 from gamelog.operators.quantile import nearest_quantiles
 from gamelog.operators.series import add_ewm_means, ewm_reach, rolling
@@ -33,7 +33,7 @@ DIGITS = 6
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six digits: sums of doubles differ in the last bits by summing order."""
     doubles = [f.name for f in df.schema if f.dataType.typeName() == "double"]
-    return df.withColumns({c: F.round(c, DIGITS) for c in doubles}) if doubles else df
+    return df.withColumns({c: round_half_up(F.col(c), DIGITS) for c in doubles}) if doubles else df
 
 
 def query(build: Query) -> Query:
