@@ -1,10 +1,12 @@
 """Forecasts and importances do no more work than their results need."""
 
 from helpers import TINY, assert_same
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from gamelog import queries
-from gamelog.plans import matrix, predict
+from gamelog.plans import matrix, model, predict
+from gamelog.plans.dataset import with_next_game
 from gamelog.sources import samples
 
 SEASON = queries.SEASON
@@ -27,3 +29,20 @@ def test_unknown_rounds_are_active_as_in_the_matrix(spark):
     features = matrix.feature_matrix({"player_stats": stats}, ["combined_stats"])
     games = predict.games_of_active(stats, SEASON)
     assert_same(games.select("Player_ID").distinct(), predict.active_players(features, SEASON))
+
+
+def test_a_line_scores_no_shuffled_row(spark, monkeypatch):
+    names = ["pir_ma3", "minutes_played", "Points"]
+    features = matrix.feature_matrix({"player_stats": samples.player_stats(spark, TINY)}, ["combined_stats"])
+    rows = with_next_game(features).select("Season", "Player_ID", "Gamecode", "Round", "Team", *names, "next_PIR").persist()
+    fitted = model.fit_forecaster(rows, names=names, fit=model.fit_linear)
+    n, scored, plain = rows.count(), [], LinearRegressionModel.transform
+
+    def counted(self, frame, *others):
+        scored.append(frame.count())
+        return plain(self, frame, *others)
+
+    monkeypatch.setattr(LinearRegressionModel, "transform", counted)
+    shuffled = model.permutation_importance(fitted, rows, repeats=4)
+    assert shuffled.count() == len(names) and set(scored) == {n}
+    rows.unpersist()
