@@ -93,10 +93,11 @@ def score_bounds(queries: np.ndarray, cells: np.ndarray, shift: int) -> tuple[np
 
 def likely_pairs(cells: DataFrame, queries: DataFrame, shares: int, k: int) -> DataFrame:
     """(query_id, vec_id, lower, upper) of the pairs that the file does not rule out within a
-    share of it. Every query block meets every share; a task holds one block of each."""
+    share of it. Every query block meets every share; a task holds one block of each. Spark
+    takes the sent blocks for a few rows, however large, so nothing is left to it to broadcast."""
     sent = queries.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     dealt = cells.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int"))
-    pairs = dealt.join(sent, ["share", "dim"]).repartition(shuffle_partitions(cells.sparkSession), "share", "dim", "query_ids")
+    pairs = sent.hint("merge").join(dealt, ["share", "dim"]).repartition(shuffle_partitions(cells.sparkSession), "share", "dim", "query_ids")
     pairs = pairs.sortWithinPartitions("share", "dim", "query_ids").select("share", "dim", "shift", "ids", "cells", "query_ids", "queries")
 
     def kept(query_ids, best: np.ndarray, found: list) -> Iterator[pa.RecordBatch]:
@@ -138,8 +139,11 @@ def best_lower_bounds(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def exact_scores(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score) of the pairs: the only place where exact vectors are read."""
-    of = lambda name, values: whole.select(F.col("vec_id").alias(name), F.col("values").alias(values), F.col("dim").alias(f"{name}_dim"))
+    """(query_id, vec_id, score) of the pairs: the only place where exact vectors are read.
+
+    Files of pairs and vectors are several times smaller than their rows, so no side is
+    broadcast for the size of its file."""
+    of = lambda name, values: whole.select(F.col("vec_id").alias(name), F.col("values").alias(values), F.col("dim").alias(f"{name}_dim")).hint("merge")
     met = pairs.join(of("query_id", "q"), "query_id").join(of("vec_id", "v"), "vec_id").filter(F.col("query_id_dim") == F.col("vec_id_dim"))
     products = F.zip_with("q", "v", lambda a, b: a * b)
     return met.select("query_id", "vec_id", F.aggregate(products, F.lit(0).cast("long"), lambda a, b: a + b).alias("score"))
@@ -170,12 +174,12 @@ def exact_top_k(vectors: DataFrame, k: int, every: int, scale: int = 256) -> Dat
     cells = stored(cell_blocks(whole, blocks))
     chosen = query_blocks(whole.filter(is_query), max(1, -(-wanted // QUERY_ROWS)))
     likely = stored(likely_pairs(cells, chosen, min(blocks, 4 * shuffle_partitions(spark)), k))
-    open_pairs = likely.join(best_lower_bounds(likely, k), "query_id").filter(F.col("upper") >= F.col("bar"))
+    open_pairs = likely.join(best_lower_bounds(likely, k).hint("merge"), "query_id").filter(F.col("upper") >= F.col("bar"))
     open_pairs = open_pairs.groupBy("query_id", "vec_id").agg(F.max("upper").alias("upper"))
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id")
     open_pairs = stored(open_pairs.withColumn("turn", F.row_number().over(by_bound)).select("query_id", "vec_id", "upper", "turn"))
     first = stored(exact_scores(open_pairs.filter(F.col("turn") <= FIRST_READS * k), whole))
     certain = ranked(first, k).groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("kth"))
-    rest = open_pairs.filter(F.col("turn") > FIRST_READS * k).join(certain, "query_id", "left")
+    rest = open_pairs.filter(F.col("turn") > FIRST_READS * k).join(certain.hint("merge"), "query_id", "left")
     rest = rest.filter(F.col("kth").isNull() | (F.col("upper") >= F.col("kth"))).select("query_id", "vec_id")
     return ranked(first.unionByName(exact_scores(rest, whole)), k).select("query_id", "rank", "vec_id", "score")

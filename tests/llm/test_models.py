@@ -196,6 +196,16 @@ def test_few_exact_vectors_are_read(spark, monkeypatch):
     assert read[0] <= 60 * 20 and sum(read) < 60 * 3000 / 20
 
 
+def test_no_side_of_a_search_is_broadcast(spark, monkeypatch):
+    """Blocks of queries for every share, vectors and pairs pass the driver in no join, however few they seem."""
+    plans, stored = [], va_file.stored
+    monkeypatch.setattr(va_file, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stored(df))
+    df = spark.createDataFrame([(i, [i / 400, 0.5]) for i in range(300)], "vec_id long, embedding array<float>")
+    found = va_file.exact_top_k(df, 5, 50)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 4 and not any("Broadcast" in plan for plan in plans)
+
+
 def test_bounds_hold_in_any_cell():
     rng = np.random.default_rng(2)
     for scale in (50, 5000, 10**9):
