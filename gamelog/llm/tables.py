@@ -2,31 +2,17 @@
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from gamelog.session import require_checkpoint_dir
+from gamelog.session import find_package, require_checkpoint_dir
 
 #: Stands for a NULL id wherever ids are compared: it comes before every other id.
 NULL_ID = -(2**63)
 
 
-def find_package(spark: SparkSession) -> None:
-    """Let Python workers find this package where the driver found it.
-
-    Needed where the path is known to the driver's process only; a cluster that ships the
-    package itself is not disturbed.
-    """
-    root, environment = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
-
-
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     find_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
