@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from gamelog.session import find_package, require_checkpoint_dir
+from gamelog.session import find_package, require_checkpoint_dir, stored  # noqa: F401
 
 #: Stands for a NULL id wherever ids are compared: it comes before every other id.
 NULL_ID = -(2**63)
@@ -55,14 +53,6 @@ def id_of(doc):
     return F.when(doc != NULL_ID, doc)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder, read back without lineage."""
-    spark = df.sparkSession
-    path = f"{require_checkpoint_dir(spark)}/gamelog-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of one key that a task may well take in a join, whatever the table's size.
 FEW_ROWS = 20_000
 
