@@ -31,4 +31,19 @@ def test_scaled_rows_take_no_disk(rows, monkeypatch):
     kept, persist = [], type(rows).persist
     monkeypatch.setattr(type(rows), "persist", lambda df, *level: kept.append(persist(df, *level).storageLevel) or df)
     model.fit_forecaster(rows, SMALL, NAMES)
+    model.cross_validate(rows, SMALL, NAMES)
+    model.learning_curve(rows, SMALL, NAMES, fractions=(0.5, 1.0))
     assert kept and not any(level.useDisk for level in kept)
+
+
+def test_fits_that_fill_the_cores_run_one_at_a_time(rows, monkeypatch):
+    """Each keeps its binned rows and errors for as long as it runs."""
+    seen, together = [], model.fit_together
+    monkeypatch.setattr(model, "fit_together", lambda fits, at_once: seen.append(at_once) or together(fits, at_once))
+    few = model.cross_validate(rows, SMALL, NAMES)
+    model.learning_curve(rows, SMALL, NAMES, fractions=(0.5, 1.0))
+    assert seen == [SMALL.parallel_fits] * 2
+    monkeypatch.setattr(model, "FIT_ROUNDS", 1)
+    monkeypatch.setattr(model, "FIT_ROWS_EACH", 10)
+    assert model.fits_at_once(SMALL, 20) > 1 and model.fits_at_once(SMALL, 0) == SMALL.parallel_fits
+    assert model.cross_validate(rows, SMALL, NAMES).columns == few.columns and seen[2:] == [1]
