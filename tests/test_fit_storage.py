@@ -17,8 +17,9 @@ def rows(spark):
     return spark.createDataFrame(table, f"Season int, Round int, Gamecode int, Player_ID string, a double, b double, {dataset.TARGET} double")
 
 
-def test_training_rows_are_files_of_what_a_fit_reads(spark):
+def test_training_rows_are_files_of_what_a_fit_reads(spark, monkeypatch):
     """Nothing is cached, and only the columns of the order, the inputs and the target are written."""
+    monkeypatch.setattr(model, "FIT_ROWS_EACH", 1000)
     stored, names = queries._training(spark, TINY)
     whole, made_up = dataset.training_set(matrix.feature_matrix(samples.game_tables(spark, TINY)))
     wanted = [*evaluation.time_order(whole), *[c for c in dataset.MODEL_FEATURES if c not in made_up], dataset.TARGET]
